@@ -62,16 +62,23 @@ def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as questions (0-based position among user turns) and the
-    assistant reply that follows each one (null when missing)."""
+    assistant reply that directly follows each one (null when missing).
+
+    Both the reply lookup (``lead``) and the position (``row_number``) use
+    the same window, so the plan has a single shuffle on ``conv_id`` and no
+    self-join, whatever the table size.
+    """
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    q = conv.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("question"))
-    a = conv.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return (q.join(a, ["conv_id", "turn"], "left")
-            .select("conv_id", (F.row_number().over(w) - 1).cast("bigint").alias("idx"),
-                    "question", "answer"))
+    nxt = conv.select(
+        "conv_id", "turn", "role", F.col("text").alias("question"),
+        F.lead("role").over(w).alias("_next_role"), F.lead("turn").over(w).alias("_next_turn"),
+        F.lead("text").over(w).alias("_next_text"))
+    reply = (F.col("_next_role") == "assistant") & (F.col("_next_turn") == F.col("turn") + 1)
+    users = nxt.where(F.col("role") == "user").select(
+        "conv_id", "turn", "question", F.when(reply, F.col("_next_text")).alias("answer"))
+    return users.select("conv_id", (F.row_number().over(w) - 1).cast("bigint").alias("idx"),
+                        "question", "answer")
 
 
 # Literal malformed responses added to the derived ones (fixed test rows).
@@ -100,14 +107,15 @@ def _chat_json(content_col):
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat-completion responses: replies wrap the assistant answers (kind
     ``eval``) and the questions (kind ``model_answer``), plus bad literals."""
-    base = qa(spark, sf_dir)
     pid = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("idx").cast("string"))
-    ev = base.select(F.concat(F.lit("eval:"), pid).alias("prompt_id"), F.lit("eval").alias("kind"),
-                     _chat_json(F.col("answer")).alias("raw"))
-    ma = base.select(F.concat(F.lit("model_answer:"), pid).alias("prompt_id"),
-                     F.lit("model_answer").alias("kind"), _chat_json(F.col("question")).alias("raw"))
+    # One pass over qa: each row yields its eval and its model-answer response.
+    both = qa(spark, sf_dir).select(pid.alias("pid"), F.explode(F.array(
+        F.struct(F.lit("eval").alias("kind"), F.col("answer").alias("content")),
+        F.struct(F.lit("model_answer").alias("kind"), F.col("question").alias("content")))).alias("r"))
+    derived = both.select(F.concat(F.col("r.kind"), F.lit(":"), F.col("pid")).alias("prompt_id"),
+                          F.col("r.kind").alias("kind"), _chat_json(F.col("r.content")).alias("raw"))
     bad = spark.createDataFrame(BAD_RESPONSES, "prompt_id string, kind string, raw string")
-    return ev.unionByName(ma).unionByName(bad)
+    return derived.unionByName(bad)
 
 
 BAD_TRANSCRIPTIONS = [
