@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..operators.ordering import DEFAULT_BUCKET, bucketed_rank
 from ..sources.tables import read_table
 
 
@@ -60,25 +61,29 @@ def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("raw")))
 
 
-def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+def qa(spark: SparkSession, sf_dir: str, bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
     """User turns as questions (0-based position among user turns) and the
     assistant reply that directly follows each one (null when missing).
 
-    Both the reply lookup (``lead``) and the position (``row_number``) use
-    the same window, so the plan has a single shuffle on ``conv_id`` and no
-    self-join, whatever the table size.
+    Turns are salted into buckets of ``bucket_size`` so a conversation of any
+    length is spread over many tasks.  An assistant turn is keyed to the
+    bucket of the turn before it, so a reply always sits in its question's
+    bucket and ``lead`` finds it; positions are made global per conversation
+    by :func:`bucketed_rank`.  One shuffle of the rows (on conv_id, bucket).
     """
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = conv.select(
-        "conv_id", "turn", "role", F.col("text").alias("question"),
+    key_turn = F.when(F.col("role") == "assistant", F.col("turn") - 1).otherwise(F.col("turn"))
+    keyed = conv.withColumn("_bucket", F.floor(key_turn / bucket_size))
+    w = Window.partitionBy("conv_id", "_bucket").orderBy("turn")
+    nxt = keyed.select(
+        "conv_id", "_bucket", "turn", "role", F.col("text").alias("question"),
         F.lead("role").over(w).alias("_next_role"), F.lead("turn").over(w).alias("_next_turn"),
         F.lead("text").over(w).alias("_next_text"))
     reply = (F.col("_next_role") == "assistant") & (F.col("_next_turn") == F.col("turn") + 1)
     users = nxt.where(F.col("role") == "user").select(
-        "conv_id", "turn", "question", F.when(reply, F.col("_next_text")).alias("answer"))
-    return users.select("conv_id", (F.row_number().over(w) - 1).cast("bigint").alias("idx"),
-                        "question", "answer")
+        "conv_id", "_bucket", "turn", "question", F.when(reply, F.col("_next_text")).alias("answer"))
+    return bucketed_rank(users, "conv_id", "turn", "_bucket", "idx").select(
+        "conv_id", "idx", "question", "answer")
 
 
 # Literal malformed responses added to the derived ones (fixed test rows).
