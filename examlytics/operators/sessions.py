@@ -109,3 +109,10 @@ def violations_terminate(proctor: DataFrame, limit: int = K.VIOLATION_LIMIT) ->
     counts = proctor.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_violations"))
     return kth.join(counts, "session_id").select(
         "session_id", "n_violations", "terminated_at", "terminating_event_id")
+
+
+def exclude_terminated(sessions: DataFrame, terminated: DataFrame, key: str = "session_id") -> DataFrame:
+    """Drop sessions that reached the violation limit (from
+    :func:`violations_terminate`) from resume/final-gate outputs: a
+    terminated exam can be neither resumed nor graded."""
+    return sessions.join(terminated.select(key), key, "left_anti")
