@@ -30,8 +30,10 @@ def _array_has_string(v: Column, value: str) -> Column:
                     lambda x: F.try_variant_get(x, "$", "string") == F.lit(value))
 
 
-def _has_key(raw: Column, key: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(raw), F.lit(key)), F.lit(False))
+def _has_key(v: Column, key: str) -> Column:
+    """Key present in a JSON object (a JSON null value still counts).  A
+    missing path is SQL NULL, a JSON null is a VARIANT null."""
+    return F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
 
 
 def completion_content(raw) -> Column:
@@ -39,7 +41,13 @@ def completion_content(raw) -> Column:
     return F.try_variant_get(F.try_parse_json(_c(raw)), CONTENT_PATH, "string")
 
 
-def completion_state(raw) -> Column:
+def parsed(raw) -> Column:
+    """Parse once; pass the result as ``v=`` to the helpers below so the
+    document is not parsed again in every branch."""
+    return F.try_parse_json(_c(raw))
+
+
+def completion_state(raw, v=None) -> Column:
     """Outcome of a question-generation response.
 
     * ``ok``          – content is a string at ``choices[0].message.content``
@@ -49,11 +57,11 @@ def completion_state(raw) -> Column:
                         key is there but the path to a string content breaks
     """
     r = _c(raw)
-    v = F.try_parse_json(r)
+    v = F.try_parse_json(r) if v is None else _c(v)
     kind = _kind(v)
     content_is_string = F.schema_of_variant(
         F.try_variant_get(v, CONTENT_PATH, "variant")) == F.lit("STRING")
-    in_test = (F.when(kind == "object", _has_key(r, "choices"))
+    in_test = (F.when(kind == "object", _has_key(v, "choices"))
                .when(kind == "array", F.coalesce(_array_has_string(v, "choices"), F.lit(False)))
                .when(kind == "string",
                      F.instr(F.try_variant_get(v, "$", "string"), "choices") > 0))
@@ -63,7 +71,7 @@ def completion_state(raw) -> Column:
             .otherwise(F.lit("failed")))
 
 
-def transcription_text(raw) -> Column:
+def transcription_text(raw, v=None) -> Column:
     """Normalise a speech-to-text response to answer text.
 
     object with string ``text``  -> stripped text, or the no-speech marker if empty
@@ -72,7 +80,7 @@ def transcription_text(raw) -> Column:
     anything else                -> failure text
     """
     r = _c(raw)
-    v = F.try_parse_json(r)
+    v = F.try_parse_json(r) if v is None else _c(v)
     kind = _kind(v)
     text_v = F.try_variant_get(v, "$.text", "variant")
     text_is_string = F.coalesce(F.schema_of_variant(text_v) == F.lit("STRING"), F.lit(False))
@@ -80,7 +88,7 @@ def transcription_text(raw) -> Column:
     s_val = F.try_variant_get(v, "$", "string")
     return (F.when(kind.isNull() | (kind == "scalar"), F.lit(TEXT_TRANSCRIPTION_FAILED))
             .when(kind == "object",
-                  F.when(~_has_key(r, "text"), r)
+                  F.when(~_has_key(v, "text"), r)
                   .when(text_is_string,
                         F.when(stripped == "", F.lit(TEXT_NO_SPEECH)).otherwise(stripped))
                   .otherwise(F.lit(TEXT_TRANSCRIPTION_FAILED)))

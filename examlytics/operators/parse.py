@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.json import completion_content, completion_state as _state, transcription_text
+from ..functions.json import completion_content, completion_state as _state, parsed, transcription_text
 from ..functions.questions import limit_questions, parse_questions, with_fallback
 
 FALLBACK_BY_KIND = {"eval": K.TEXT_EVAL_FAILED, "model_answer": K.TEXT_MODEL_ANSWER_FAILED,
@@ -28,7 +28,8 @@ def completion_extract(responses: DataFrame, raw_col: str = "raw", kind_col: str
 
 def completion_state(responses: DataFrame, raw_col: str = "raw") -> DataFrame:
     """ok / no_choices / failed for a question-generation response."""
-    return responses.select("prompt_id", _state(raw_col).alias("state"))
+    staged = responses.select("prompt_id", raw_col, parsed(raw_col).alias("_v"))
+    return staged.select("prompt_id", _state(raw_col, v="_v").alias("state"))
 
 
 def _exploded(df: DataFrame, key: str, arr: str, extra=()) -> DataFrame:
@@ -61,6 +62,6 @@ def question_limit(raw_questions: DataFrame, key: str = "conv_id", raw_col: str
 
 def transcription_normalize(transcriptions: DataFrame, key: str = "item_id",
                             raw_col: str = "raw") -> DataFrame:
-    t = transcription_text(raw_col)
-    return transcriptions.select(key, t.alias("transcript"),
-                                 (t == F.lit(K.TEXT_TRANSCRIPTION_FAILED)).alias("failed"))
+    staged = transcriptions.select(key, raw_col, parsed(raw_col).alias("_v"))
+    t = staged.select(key, transcription_text(raw_col, v="_v").alias("transcript"))
+    return t.select(key, "transcript", (F.col("transcript") == F.lit(K.TEXT_TRANSCRIPTION_FAILED)).alias("failed"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.json import transcription_text
+from ..functions.json import parsed, transcription_text
 from ..functions.text import progress_percent, ustrip
 
 
@@ -23,11 +23,19 @@ def answer_upsert(answers: DataFrame, keys=("session_id", "idx")) -> DataFrame:
             .agg(F.max_by("answer", F.struct("ts", "event_id")).alias("answer")))
 
 
-def voice_upsert(voice: DataFrame) -> DataFrame:
+def voice_upsert(voice: DataFrame, keys=("session_id", "idx")) -> DataFrame:
     """Voice answers: normalise the transcription response, then the same
-    blank filter and last-write-wins as typed answers."""
-    normalised = voice.withColumn("answer", transcription_text("raw"))
-    return answer_upsert(blank_answer_filter(normalised))
+    blank rule and last-write-wins as typed answers.
+
+    The blank test sits in the ordering key (``max_by`` skips rows whose
+    key is null) rather than in a filter: a filter would be pushed below the
+    projection with the JSON parsing inlined, parsing every response twice.
+    """
+    staged = voice.select(*keys, "ts", "event_id", "raw", parsed("raw").alias("_v"))
+    normalised = staged.select(*keys, "ts", "event_id", transcription_text("raw", v="_v").alias("answer"))
+    order = F.when(ustrip("answer") != F.lit(""), F.struct("ts", "event_id"))
+    return (normalised.groupBy(*keys).agg(F.max_by("answer", order).alias("answer"))
+            .where(F.col("answer").isNotNull()))
 
 
 def _answered_mask(answer_log: DataFrame) -> DataFrame:
