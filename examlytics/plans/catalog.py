@@ -17,6 +17,7 @@ from ..operators import sessions as S
 from ..session import scratch_path
 from ..sources import ingest as I
 from ..sources import reports, results_store, roster
+from ..sources.literals import literal_frame
 from ..sources.tables import read_table
 from ..streaming import streams as G
 from . import fixtures as fx
@@ -65,14 +66,14 @@ def _results_append(spark, sf_dir):
 def _ingest_files(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages", "url").select(
         F.regexp_extract("url", URL_PATH, 1).alias("name"), F.lit("text/html").alias("media_type"))
-    lit = spark.createDataFrame(LITERAL_FILES, "name string, media_type string")
+    lit = literal_frame(spark, LITERAL_FILES, "name string, media_type string")
     return pages.unionByName(lit)
 
 
 def _labels(spark, sf_dir):
     docs = R.mark_label(_docs_marks(spark, sf_dir)).select(
         F.col("doc_id").alias("label_id"), "marks_label")
-    return docs.unionByName(spark.createDataFrame(LITERAL_LABELS, "label_id bigint, marks_label string"))
+    return docs.unionByName(literal_frame(spark, LITERAL_LABELS, "label_id bigint, marks_label string"))
 
 
 def _stream_dir(spark, name):
@@ -110,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # A: sources and sinks
     "saved_results": _saved_results,
     "roster_lookup": lambda s, d: roster.roster_lookup(
-        fx.results_raw(s, d, students=False), s.createDataFrame([(n,) for n in ROSTER], "username string")),
+        fx.results_raw(s, d, students=False), literal_frame(s, [(n,) for n in ROSTER], "username string")),
     "text_ingest": lambda s, d: I.text_ingest(fx.upload_bytes(s, d)),
     "ingest_route": lambda s, d: I.ingest_route(_ingest_files(s, d)),
     "results_append": _results_append,

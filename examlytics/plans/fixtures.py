@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators.ordering import DEFAULT_BUCKET, bucketed_rank
+from ..sources.literals import literal_frame
 from ..sources.tables import read_table
 
 
@@ -119,7 +120,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("model_answer").alias("kind"), F.col("question").alias("content")))).alias("r"))
     derived = both.select(F.concat(F.col("r.kind"), F.lit(":"), F.col("pid")).alias("prompt_id"),
                           F.col("r.kind").alias("kind"), _chat_json(F.col("r.content")).alias("raw"))
-    bad = spark.createDataFrame(BAD_RESPONSES, "prompt_id string, kind string, raw string")
+    bad = literal_frame(spark, BAD_RESPONSES, "prompt_id string, kind string, raw string")
     return derived.unionByName(bad)
 
 
@@ -145,7 +146,7 @@ def transcriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived = conv.where(F.col("role") == "user").select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"),
         F.to_json(F.struct(F.col("text").alias("text"))).alias("raw"))
-    bad = spark.createDataFrame(BAD_TRANSCRIPTIONS, "item_id string, raw string")
+    bad = literal_frame(spark, BAD_TRANSCRIPTIONS, "item_id string, raw string")
     return derived.unionByName(bad)
 
 
