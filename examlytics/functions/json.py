@@ -15,13 +15,18 @@ from .text import _c, ustrip
 CONTENT_PATH = "$.choices[0].message.content"
 
 
-def _kind(v: Column) -> Column:
-    """Top-level JSON kind: object / array / string / scalar, null if unparsable."""
-    s = F.schema_of_variant(v)
+def _kind(v: Column, raw: Column) -> Column:
+    """Top-level JSON kind: object / array / string / scalar, null if unparsable.
+
+    For a document that parsed, its first non-blank character decides the
+    kind; that is a short anchored regex instead of walking the whole
+    document to build its schema.
+    """
+    first = F.regexp_extract(raw, r"^[ \t\n\r]*(.)", 1)
     return (F.when(v.isNull(), F.lit(None))
-            .when(s.startswith("OBJECT"), F.lit("object"))
-            .when(s.startswith("ARRAY"), F.lit("array"))
-            .when(s == F.lit("STRING"), F.lit("string"))
+            .when(first == "{", F.lit("object"))
+            .when(first == "[", F.lit("array"))
+            .when(first == '"', F.lit("string"))
             .otherwise(F.lit("scalar")))
 
 
@@ -58,7 +63,7 @@ def completion_state(raw, v=None) -> Column:
     """
     r = _c(raw)
     v = F.try_parse_json(r) if v is None else _c(v)
-    kind = _kind(v)
+    kind = _kind(v, r)
     content_is_string = F.schema_of_variant(
         F.try_variant_get(v, CONTENT_PATH, "variant")) == F.lit("STRING")
     in_test = (F.when(kind == "object", _has_key(v, "choices"))
@@ -81,7 +86,7 @@ def transcription_text(raw, v=None) -> Column:
     """
     r = _c(raw)
     v = F.try_parse_json(r) if v is None else _c(v)
-    kind = _kind(v)
+    kind = _kind(v, r)
     text_v = F.try_variant_get(v, "$.text", "variant")
     text_is_string = F.coalesce(F.schema_of_variant(text_v) == F.lit("STRING"), F.lit(False))
     stripped = ustrip(F.try_variant_get(v, "$.text", "string"))

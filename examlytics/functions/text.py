@@ -41,8 +41,9 @@ def first_int(col) -> Column:
     A run that overflows bigint gives null (and so a null status) rather
     than an error.  Only ASCII digits count.
     """
-    d = first_digits(col)
-    return F.when(d == F.lit(""), F.lit(0).cast("bigint")).otherwise(d.try_cast("bigint"))
+    # '0' || digits: '' -> 0, leading zeros are harmless, overflow -> null;
+    # the regex is evaluated once per row.
+    return F.concat(F.lit("0"), first_digits(col)).try_cast("bigint")
 
 
 def reparse_marks(col) -> Column:

@@ -83,24 +83,25 @@ def _stream_dir(spark, name):
 
 def _violations_stream(spark, sf_dir):
     ck, sink = _stream_dir(spark, "violations")
-    q = G.violations_stream(G.read_event_stream(spark, sf_dir), ck, sink)
+    q = G.violations_stream(G.read_event_stream(spark, G.table_glob(sf_dir, "events")), ck, sink)
     q.awaitTermination()
-    return G.last_per_key(spark, sink, ["session_id"])
+    return G.last_per_key(spark, sink, ["session_id"], "session_id string, n_violations bigint")
 
 
 def _answers_stream(spark, sf_dir):
     ck, sink = _stream_dir(spark, "answers")
-    q = G.answers_stream(G.read_event_stream(spark, sf_dir), ck, sink)
+    q = G.answers_stream(G.read_event_stream(spark, G.table_glob(sf_dir, "events")), ck, sink)
     q.awaitTermination()
-    return G.last_per_key(spark, sink, ["session_id", "idx"])
+    return G.last_per_key(spark, sink, ["session_id", "idx"], "session_id string, idx bigint, answer string")
 
 
 def _results_stream(spark, sf_dir):
     ck, sink = _stream_dir(spark, "results")
     customers = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
-    q = G.results_stream(G.read_event_stream(spark, sf_dir), customers, ck, sink)
+    q = G.results_stream(G.read_event_stream(spark, G.table_glob(sf_dir, "events")), customers, ck, sink)
     q.awaitTermination()
-    return spark.read.schema(results_store.RESULTS).parquet(sink)
+    # The file sink's metadata log makes the read see committed files only.
+    return results_store.saved_results(spark, sink)
 
 
 def _answer_log(spark, sf_dir):

@@ -19,12 +19,21 @@ from ..operators.sessions import blank_answer_filter
 from ..schemas import EVENTS
 
 
-def read_event_stream(spark: SparkSession, directory: str, file_glob: str = "events*.parquet",
+def table_glob(sf_dir: str, name: str) -> str:
+    """Path of a table for the file stream source.  A one-character class
+    makes it a glob that matches exactly ``<name>.parquet``, which the source
+    accepts both as a single file and as a directory of part files (a plain
+    file path is refused: its base path must be a directory)."""
+    return f"{sf_dir.rstrip('/')}/{name}.parque[t]"
+
+
+def read_event_stream(spark: SparkSession, path: str,
                       max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", file_glob)
+    """Event files as a stream, with the declared schema (no inference)."""
+    reader = spark.readStream.schema(EVENTS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.parquet(directory)
+    return reader.parquet(path)
 
 
 def utc_instant(ntz: str, spark: SparkSession) -> Column:
@@ -43,9 +52,15 @@ def _upsert_sink(path: str):
     return write
 
 
-def last_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Read an update-mode table: the row from the latest batch per key."""
-    df = spark.read.parquet(path)
+def last_per_key(spark: SparkSession, path: str, keys: list[str], schema: str | None = None) -> DataFrame:
+    """Read an update-mode table: the row from the latest batch per key.
+    A sink that never received a batch (no input) reads as empty."""
+    try:
+        df = spark.read.parquet(path)
+    except Exception as exc:  # noqa: BLE001 - only a missing sink is expected
+        if schema is None or "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return spark.createDataFrame([], schema)
     values = [c for c in df.columns if c not in keys and c != "_batch"]
     latest = F.max_by(F.struct(*values), "_batch").alias("_v")
     return df.groupBy(*keys).agg(latest).select(*keys, *[F.col("_v")[c].alias(c) for c in values])
