@@ -28,13 +28,27 @@ def pass_status(df: DataFrame, marks_col: str = "marks", out: str = "status") ->
     return df.withColumn(out, _status(marks_col))
 
 
+def stamp_saved_at(df: DataFrame) -> DataFrame:
+    """Save time for records saved now: the session-time-zone wall clock,
+    to the second, as ``timestamp_ntz`` (the app stores local wall-clock
+    text).  Batch rebuilds keep the event time carried by the data."""
+    return df.withColumn("saved_at", F.date_trunc("second", F.localtimestamp()))
+
+
+def saved_at_text(col="saved_at"):
+    """Display form ``yyyy-MM-dd HH:mm:ss``."""
+    return F.date_format(F.col(col) if isinstance(col, str) else col, "yyyy-MM-dd HH:mm:ss")
+
+
 def result_build(raw: DataFrame) -> DataFrame:
     """Assemble the stored record: raw attributes + marks, label and status.
 
     ``raw`` needs record_id, examiner_name, student_name, roll_number,
-    department, project_title, result and saved_at.  One projection, no
-    shuffle.
+    department, project_title and result; ``saved_at`` is stamped with the
+    wall clock when absent.  One projection, no shuffle.
     """
+    if "saved_at" not in raw.columns:
+        raw = stamp_saved_at(raw)
     m = first_int("result")
     return raw.select(
         "record_id", "examiner_name", "student_name", "roll_number", "department",

@@ -87,3 +87,13 @@ def test_exclude_terminated(spark):
     s = spark.createDataFrame([("a", 0), ("b", 2)], "session_id string, resume_idx long")
     t = spark.createDataFrame([("b", 3)], "session_id string, n_violations long")
     assert [r.session_id for r in S.exclude_terminated(s, t).collect()] == ["a"]
+
+
+def test_result_build_stamps_wall_clock_when_missing(spark):
+    from examlytics.operators.results import result_build, saved_at_text
+    raw = spark.createDataFrame([("1", "ex", "Ann", "7", "CS", "P", "Overall 72/100")],
+                                "record_id string, examiner_name string, student_name string, "
+                                "roll_number string, department string, project_title string, result string")
+    r = result_build(raw).select("*", saved_at_text().alias("t")).first()
+    assert (r.marks, r.marks_label, r.status) == (72, "72/100", "PASS")
+    assert r.saved_at is not None and r.saved_at.microsecond == 0 and len(r.t) == 19
