@@ -60,14 +60,22 @@ def progress(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSION)
                      F.lit(f" / {n_questions}"))).alias("label"))
 
 
-def final_gate(answer_log: DataFrame, mode: str = K.MODE_EXAM,
+def final_gate(answer_log: DataFrame, sessions: DataFrame | None = None, mode: str = K.MODE_EXAM,
                n_questions: int = K.QUESTIONS_PER_SESSION) -> DataFrame:
     """Sessions ready for the final evaluation: exam mode, questions present
-    and every question answered."""
-    p = progress(answer_log, n_questions)
-    if mode != K.MODE_EXAM or n_questions <= 0:
-        return p.where(F.lit(False)).select("session_id", "answered")
-    return p.where(F.col("complete")).select("session_id", "answered")
+    and every question answered.
+
+    ``sessions`` (session_id, mode, n_questions) gives both per session;
+    without it every session has ``mode`` and ``n_questions``.
+    """
+    p = progress(answer_log, n_questions).select("session_id", "answered")
+    if sessions is None:
+        s_mode, s_n = F.lit(mode), F.lit(n_questions)
+    else:
+        p = p.join(sessions.select("session_id", "mode", F.col("n_questions").alias("_n")), "session_id")
+        s_mode, s_n = F.col("mode"), F.col("_n")
+    ready = (s_mode == K.MODE_EXAM) & (s_n > 0) & (F.col("answered") >= s_n)
+    return p.where(ready).select("session_id", "answered")
 
 
 def resume_point(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSION) -> DataFrame:

@@ -33,5 +33,16 @@ def report_text(results: DataFrame) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One text file per roll number, overwriting earlier runs."""
-    reports.select("roll_number", "report").write.mode("overwrite").partitionBy("roll_number").text(path)
+    """Report table, range-partitioned and sorted by roll number.
+
+    One file per student (the app's layout) would mean millions of files or
+    directories; a sorted Parquet table keeps lookups of one student cheap
+    through row-group min/max statistics on ``roll_number``.
+    """
+    (reports.repartitionByRange("roll_number").sortWithinPartitions("roll_number")
+     .write.mode("overwrite").parquet(path))
+
+
+def read_report(spark, path: str, roll_number: str) -> DataFrame:
+    """One student's report; the equality filter is pushed to the Parquet scan."""
+    return spark.read.parquet(path).where(F.col("roll_number") == roll_number)
