@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.json import completion_content, completion_state as _state, parsed, transcription_text
-from ..functions.questions import limit_questions, parse_questions, with_fallback
+from ..functions.questions import limit_questions, parse_questions, parsed_count, with_fallback
 
 FALLBACK_BY_KIND = {"eval": K.TEXT_EVAL_FAILED, "model_answer": K.TEXT_MODEL_ANSWER_FAILED,
                     "final": K.TEXT_EVAL_FAILED}
@@ -48,7 +48,7 @@ def question_fallback(raw_questions: DataFrame, key: str = "conv_id", raw_col: s
     section = F.lit(K.DEFAULT_SECTION) if section is None else section
     p = raw_questions.select(key, parse_questions(raw_col).alias("p"), section.alias("section"))
     q = p.select(key, with_fallback("p", "section").alias("qs"),
-                 (F.size("p") < K.QUESTIONS_PER_SESSION).alias("used_fallback"))
+                 (parsed_count("p") < K.QUESTIONS_PER_SESSION).alias("used_fallback"))
     return _exploded(q, key, "qs", extra=("used_fallback",))
 
 

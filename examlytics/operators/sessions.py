@@ -38,18 +38,21 @@ def voice_upsert(voice: DataFrame, keys=("session_id", "idx")) -> DataFrame:
             .where(F.col("answer").isNotNull()))
 
 
-def _answered_mask(answer_log: DataFrame) -> DataFrame:
-    """Per session: bit i set when slot i holds a non-blank answer.  A bounded
-    (one long) partial aggregate, so skewed sessions do not matter."""
+def _answered_mask(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSION) -> DataFrame:
+    """Per session: bit i set when slot i (0 <= i < n_questions) holds a
+    non-blank answer.  A bounded (one long) partial aggregate, so skewed
+    sessions do not matter."""
+    if not 0 < n_questions <= 63:
+        raise ValueError("n_questions must be in 1..63")
     bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(idx AS INT))")
+    counted = (ustrip("answer") != F.lit("")) & F.col("idx").between(0, n_questions - 1)
     return answer_log.groupBy("session_id").agg(
-        F.bit_or(F.when(ustrip("answer") != F.lit(""), bit).otherwise(F.lit(0).cast("bigint")))
-        .alias("mask"))
+        F.bit_or(F.when(counted, bit).otherwise(F.lit(0).cast("bigint"))).alias("mask"))
 
 
 def progress(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSION) -> DataFrame:
     """Per session: answered slots, ``int(i / n * 100)``, completion, label."""
-    m = _answered_mask(answer_log)
+    m = _answered_mask(answer_log, n_questions)
     answered = F.bit_count("mask").cast("bigint")
     return m.select(
         "session_id", answered.alias("answered"),
@@ -84,7 +87,7 @@ def resume_point(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSI
     Finished sessions are left out; a session with only blank submissions
     resumes at 0.  Computed from the per-session bit mask, no anti-join.
     """
-    m = _answered_mask(answer_log)
+    m = _answered_mask(answer_log, n_questions)
     first_open = F.expr(
         f"array_min(filter(sequence(CAST(0 AS BIGINT), CAST({n_questions - 1} AS BIGINT)),"
         " i -> (shiftright(mask, CAST(i AS INT)) & 1) = 0))")

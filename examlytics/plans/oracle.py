@@ -273,11 +273,12 @@ def _build() -> dict[str, str]:
     fallback = _fallback_list(q(K.DEFAULT_SECTION))
     o["question_fallback"] = with_views(
         f"""SELECT conv_id, unnest(generate_series(0, len(fq) - 1)) AS idx, unnest(fq) AS question, used_fallback
-            FROM (SELECT conv_id, len(qs) < 6 AS used_fallback,
-                  CASE WHEN len(qs) < 6 THEN {fallback} ELSE qs END AS fq FROM parsed)""", "parsed")
+            FROM (SELECT conv_id, coalesce(len(qs), 0) < 6 AS used_fallback,
+                  CASE WHEN coalesce(len(qs), 0) < 6 THEN {fallback} ELSE qs END AS fq FROM parsed)""", "parsed")
     o["question_limit"] = with_views(
         f"""SELECT conv_id, unnest(generate_series(0, len(fq) - 1)) AS idx, unnest(fq) AS question
-            FROM (SELECT conv_id, (CASE WHEN len(qs) < 6 THEN {fallback} ELSE qs END)[1:6] AS fq FROM parsed)""",
+            FROM (SELECT conv_id, (CASE WHEN coalesce(len(qs), 0) < 6 THEN {fallback} ELSE qs END)[1:6] AS fq
+                  FROM parsed)""",
         "parsed")
     o["mark_extract"] = with_views("SELECT doc_id, marks FROM doc_marks", "doc_marks")
     o["mark_label"] = with_views(
@@ -301,7 +302,7 @@ def _build() -> dict[str, str]:
     o["voice_upsert"] = with_views(
         f"""SELECT session_id, idx, answer FROM (SELECT session_id, idx, {transcription_case('raw')} AS answer,
             ts, event_id FROM voice_log) WHERE {nonblank} {last}""", "voice_log")
-    answered = f"""SELECT session_id, count(DISTINCT CASE WHEN {nonblank} THEN idx END) AS answered
+    answered = f"""SELECT session_id, count(DISTINCT CASE WHEN {nonblank} AND idx BETWEEN 0 AND 5 THEN idx END) AS answered
                    FROM answer_log GROUP BY session_id"""
     o["progress"] = with_views(
         f"""SELECT session_id, answered, CAST(trunc(answered / 6 * 100) AS INTEGER) AS progress_pct,
