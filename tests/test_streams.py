@@ -23,7 +23,10 @@ def split_events():
     d = tempfile.mkdtemp(prefix="examlytics-stream-in-")
     n = t.num_rows
     for i in range(4):
-        pq.write_table(t.slice(i * n // 4, (i + 1) * n // 4 - i * n // 4), os.path.join(d, f"events_{i}.parquet"))
+        f = os.path.join(d, f"events_{i}.parquet")
+        pq.write_table(t.slice(i * n // 4, (i + 1) * n // 4 - i * n // 4), f)
+        # the file source takes files in modification-time order; make it the time order
+        os.utime(f, (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))
     return d
 
 
@@ -81,3 +84,38 @@ def test_restart_from_checkpoint_skips_processed_files(spark, split_events):
     q = G.violations_stream(G.read_event_stream(spark, split_events), f"{base}/ck", f"{base}/sink")
     q.awaitTermination()
     assert rows(G.last_per_key(spark, f"{base}/sink", ["session_id"])) == first
+
+
+def test_answer_state_is_evicted_after_sessions_close(spark, split_events):
+    ev = G.read_event_stream(spark, split_events, max_files_per_trigger=1)
+    _, q = _run(lambda ck, s: G.answers_stream(ev, ck, s), spark, "evict")
+    progress = [p for p in q.recentProgress if p["numInputRows"] > 0]
+    state = [p["stateOperators"][0] for p in progress]
+    # later micro-batches evict the state of sessions the watermark has closed
+    assert sum(s.get("numRowsRemoved", 0) for s in state) > 0
+    peak_keys = fx.answer_log(spark, SF_SMALL).select("session_id", "idx").distinct().count()
+    assert state[-1]["numRowsTotal"] < peak_keys
+
+
+def test_late_violations_are_dropped_by_watermark(spark, tmp_path):
+    # batch 1: a click on day 20; batch 2: three clicks a week earlier (past the 1-hour delay)
+    import datetime as dt
+    import pyarrow as pa
+    schema = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()),
+                        ("event_type", pa.string()), ("value", pa.float64()), ("props", pa.string())])
+    d = tmp_path / "in"
+    d.mkdir()
+    def write(name, rows):
+        pq.write_table(pa.Table.from_pylist(rows, schema=schema), str(d / name))
+    write("events_0.parquet", [dict(event_id=1, ts=dt.datetime(2024, 1, 20, 12), user_id=1,
+                                    event_type="click", value=0.0, props="{}")])
+    os.utime(d / "events_0.parquet", (1_700_000_000, 1_700_000_000))
+    base = tempfile.mkdtemp(prefix="examlytics-late-")
+    q = G.violations_stream(G.read_event_stream(spark, str(d)), f"{base}/ck", f"{base}/sink")
+    q.awaitTermination()
+    write("events_1.parquet", [dict(event_id=10 + i, ts=dt.datetime(2024, 1, 13, 12, i), user_id=1,
+                                    event_type="click", value=0.0, props="{}") for i in range(3)])
+    q = G.violations_stream(G.read_event_stream(spark, str(d)), f"{base}/ck", f"{base}/sink")
+    q.awaitTermination()
+    got = rows(G.last_per_key(spark, f"{base}/sink", ["session_id"]))
+    assert got == [("1-2024-01-20", 1)]      # the late day-13 clicks never form a session
