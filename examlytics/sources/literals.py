@@ -14,3 +14,9 @@ def literal_frame(spark: SparkSession, rows: list[tuple], schema: str | T.Struct
                for r in rows]
     return spark.range(1).select(F.inline(F.array(*structs))).select(
         *[F.col(f.name).cast(f.dataType) for f in st.fields])
+
+
+def empty_frame(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
+    """Zero rows with the given columns (for a table that does not exist yet)."""
+    st = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RESULTS, RESULT_COLUMNS
+from .literals import empty_frame
 
 PARTITION_COL = "saved_date"
 
@@ -39,7 +40,7 @@ def saved_results(spark: SparkSession, path: str) -> DataFrame:
     except Exception as exc:  # noqa: BLE001 - only the not-found case is expected
         if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
             raise
-        return spark.createDataFrame([], RESULTS)
+        return empty_frame(spark, RESULTS)
     return df.select(*RESULT_COLUMNS)
 
 

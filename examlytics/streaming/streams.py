@@ -17,6 +17,7 @@ from ..functions import constants as K
 from ..operators.results import result_build
 from ..operators.sessions import blank_answer_filter
 from ..schemas import EVENTS
+from ..sources.literals import empty_frame
 
 
 def table_glob(sf_dir: str, name: str) -> str:
@@ -60,7 +61,7 @@ def last_per_key(spark: SparkSession, path: str, keys: list[str], schema: str |
     except Exception as exc:  # noqa: BLE001 - only a missing sink is expected
         if schema is None or "PATH_NOT_FOUND" not in str(exc):
             raise
-        return spark.createDataFrame([], schema)
+        return empty_frame(spark, schema)
     values = [c for c in df.columns if c not in keys and c != "_batch"]
     latest = F.max_by(F.struct(*values), "_batch").alias("_v")
     return df.groupBy(*keys).agg(latest).select(*keys, *[F.col("_v")[c].alias(c) for c in values])
