@@ -85,7 +85,7 @@ def _violations_stream(spark, sf_dir):
     ck, sink = _stream_dir(spark, "violations")
     q = G.violations_stream(G.read_event_stream(spark, G.table_glob(sf_dir, "events")), ck, sink)
     q.awaitTermination()
-    return G.last_per_key(spark, sink, ["session_id"], "session_id string, n_violations bigint")
+    return G.last_per_key(spark, sink, ["session_id"], "session_id string, n_violations bigint, must_end boolean")
 
 
 def _answers_stream(spark, sf_dir):

@@ -324,7 +324,8 @@ def _build() -> dict[str, str]:
             JOIN (SELECT session_id, count(*) AS n_violations FROM proctor GROUP BY session_id) c
               ON c.session_id = k.session_id""", "proctor")
     o["violations_stream"] = with_views(
-        "SELECT session_id, count(*) AS n_violations FROM proctor GROUP BY session_id", "proctor")
+        f"""SELECT session_id, count(*) AS n_violations, count(*) >= {K.VIOLATION_LIMIT} AS must_end
+            FROM proctor GROUP BY session_id""", "proctor")
     return o
 
 

@@ -69,7 +69,8 @@ def last_per_key(spark: SparkSession, path: str, keys: list[str], schema: str |
 
 def violations_stream(events: DataFrame, checkpoint: str, sink: str, delay: str = "1 hour",
                       trigger_available_now: bool = True):
-    """Violations per (user, UTC day) as a windowed streaming count."""
+    """Violations per (user, UTC day) as a windowed streaming count, and
+    whether the session has reached the violation limit and must end."""
     spark = events.sparkSession
     v = (events.where(F.col("event_type").isin("error", "click"))
          .select("user_id", utc_instant("ts", spark).alias("t"))
@@ -77,7 +78,7 @@ def violations_stream(events: DataFrame, checkpoint: str, sink: str, delay: str
          .groupBy(F.window("t", "1 day"), "user_id").agg(F.count(F.lit(1)).alias("n_violations"))
          .select(F.concat(F.col("user_id").cast("string"), F.lit("-"),
                           _utc_date(F.col("window.start")).cast("string")).alias("session_id"),
-                 "n_violations"))
+                 "n_violations", (F.col("n_violations") >= K.VIOLATION_LIMIT).alias("must_end")))
     w = v.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(_upsert_sink(sink))
     return (w.trigger(availableNow=True) if trigger_available_now else w).start()
 
