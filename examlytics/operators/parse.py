@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.json import completion_content, completion_state as _state, parsed, transcription_text
-from ..functions.questions import limit_questions, parse_questions, parsed_count, with_fallback
+from ..functions.questions import (fallback_questions, limit_questions, parse_questions, parsed_count,
+                                   with_fallback)
+from ..functions.text import ustrip
+from .ordering import DEFAULT_BUCKET, bucketed_rank
 
 FALLBACK_BY_KIND = {"eval": K.TEXT_EVAL_FAILED, "model_answer": K.TEXT_MODEL_ANSWER_FAILED,
                     "final": K.TEXT_EVAL_FAILED}
@@ -65,3 +68,55 @@ def transcription_normalize(transcriptions: DataFrame, key: str = "item_id",
     staged = transcriptions.select(key, raw_col, parsed(raw_col).alias("_v"))
     t = staged.select(key, transcription_text(raw_col, v="_v").alias("transcript"))
     return t.select(key, "transcript", (F.col("transcript") == F.lit(K.TEXT_TRANSCRIPTION_FAILED)).alias("failed"))
+
+
+# ---------------------------------------------------------------------------
+# Line-table form: the same parse when a response is stored as many rows of
+# text (one row per part, e.g. per conversation turn) rather than one string.
+# Nothing is collected per response: every line is parsed on its own, kept
+# lines are ranked per response with a bucketed rank (skew-safe), and the
+# fallback decision comes from a partial count per response.
+# ---------------------------------------------------------------------------
+
+def response_lines(parts: DataFrame, key: str, part_col: str, text_col: str,
+                   first_line_prefix=None) -> DataFrame:
+    """(key, part, ln, line): the lines of each part, in order.  Splitting the
+    concatenation of the parts on '\\n' gives exactly these lines in
+    (part, ln) order; ``first_line_prefix`` is prepended to each part's first
+    line (as when parts are joined after a per-part label)."""
+    exploded = parts.select(key, part_col, F.posexplode(F.split(text_col, "\n")).alias("ln", "line"))
+    if first_line_prefix is not None:
+        exploded = exploded.withColumn(
+            "line", F.when(F.col("ln") == 0, F.concat(first_line_prefix, F.col("line"))).otherwise(F.col("line")))
+    return exploded
+
+
+def question_lines_parse(lines: DataFrame, key: str, part_col: str,
+                         bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+    """Every ``Q..: text`` line, one row per question with its 0-based
+    position in (part, ln) order within the response."""
+    s = ustrip(F.col("line"))
+    kept = lines.select(key, part_col, "ln", s.alias("s")).where(s.startswith("Q") & s.contains(":"))
+    q = kept.select(key, part_col, "ln", ustrip(F.substr("s", F.instr("s", ":") + 1)).alias("question"))
+    q = q.where(F.col("question") != "").withColumn("_bucket", F.floor(F.col(part_col) / bucket_size))
+    ordered = q.withColumn("_ord", F.struct(part_col, "ln"))
+    return bucketed_rank(ordered, key, "_ord", "_bucket", "idx").select(key, "idx", "question")
+
+
+def question_lines_final(parsed: DataFrame, responses: DataFrame, key: str, limit: bool = True,
+                         section=None) -> DataFrame:
+    """Fallback (fewer than six parsed -> the six fallback questions) and,
+    with ``limit``, the first six.  ``responses`` lists every response key,
+    so a response with no parsed line still gets its fallback."""
+    section = F.lit(K.DEFAULT_SECTION) if section is None else section
+    counts = parsed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    per = responses.select(key).distinct().join(counts, key, "left").select(
+        key, (F.coalesce("_n", F.lit(0)) < K.QUESTIONS_PER_SESSION).alias("used_fallback"))
+    kept = parsed.join(per.where(~F.col("used_fallback")), key)
+    if limit:
+        kept = kept.where(F.col("idx") < K.QUESTIONS_PER_SESSION)
+    fb = per.where(F.col("used_fallback")).select(
+        key, "used_fallback", F.posexplode(fallback_questions(section)).alias("idx", "question"))
+    out = kept.select(key, "idx", "question", "used_fallback").unionByName(
+        fb.select(key, F.col("idx").cast("bigint").alias("idx"), "question", "used_fallback"))
+    return out.drop("used_fallback") if limit else out

@@ -104,6 +104,19 @@ def _results_stream(spark, sf_dir):
     return results_store.saved_results(spark, sink)
 
 
+def _turns(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+
+
+def _parsed_questions(spark, sf_dir):
+    """Q-lines of each conversation's response, parsed line by line (the
+    response is the turns joined as ``Q<turn+1>: <text>``; see
+    fixtures.raw_questions for the one-string form)."""
+    label = F.concat(F.lit("Q"), (F.col("turn") + 1).cast("string"), F.lit(": "))
+    lines = P.response_lines(_turns(spark, sf_dir), "conv_id", "turn", "text", label)
+    return P.question_lines_parse(lines, "conv_id", "turn")
+
+
 def _answer_log(spark, sf_dir):
     return fx.answer_log(spark, sf_dir)
 
@@ -131,9 +144,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # C: response parsing and result records
     "completion_extract": lambda s, d: P.completion_extract(fx.responses(s, d)),
     "completion_state": lambda s, d: P.completion_state(fx.responses(s, d)),
-    "question_parse": lambda s, d: P.question_parse(fx.raw_questions(s, d)),
-    "question_fallback": lambda s, d: P.question_fallback(fx.raw_questions(s, d)),
-    "question_limit": lambda s, d: P.question_limit(fx.raw_questions(s, d)),
+    "question_parse": _parsed_questions,
+    "question_fallback": lambda s, d: P.question_lines_final(_parsed_questions(s, d), _turns(s, d), "conv_id",
+                                                             limit=False),
+    "question_limit": lambda s, d: P.question_lines_final(_parsed_questions(s, d), _turns(s, d), "conv_id"),
     "transcription_normalize": lambda s, d: P.transcription_normalize(fx.transcriptions(s, d)),
     "mark_extract": lambda s, d: _docs_marks(s, d).select("doc_id", "marks"),
     "mark_label": lambda s, d: R.mark_label(_docs_marks(s, d)).select("doc_id", "marks", "marks_label"),
