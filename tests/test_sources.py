@@ -50,3 +50,23 @@ def test_read_uploads_binary_files(spark):
     got = {r.name: (r.kind, r.text) for r in ingest.read_uploads(spark, d).collect()}
     assert got["p.py"] == ("text", "print('x')\n")
     assert got["r.pdf"] == ("pdf", None)
+
+
+def test_legacy_csv_roundtrip_keeps_text(spark):
+    from examlytics.sources import legacy
+    d = tempfile.mkdtemp(prefix="examlytics-legacy-")
+    with open(os.path.join(d, "sheet.csv"), "w") as f:
+        f.write("Examiner Name,Student Name,Roll Number,Department,Project Title,Marks,Status,Timestamp\n")
+        f.write("alice,Ann,007,NA,Robot,85/100,PASS,2024-01-05 10:11:12\n")
+        f.write("bob,Bo,12,CS,Site,absent,FAIL,2024-01-06 09:00:00\n")
+        f.write("bob,Bo,12,CS,Site,absent,FAIL,not a time\n")
+    got = legacy.read_legacy_csv(spark, d).orderBy("saved_at").collect()
+    assert [r.roll_number for r in got if r.student_name == "Ann"] == ["007"]
+    assert {r.department for r in got} == {"NA", "CS"}
+    assert {(r.marks_label, r.marks) for r in got} == {("85/100", 85), ("absent", None)}
+    assert sum(r.saved_at is None for r in got) == 1          # unreadable time -> null, row kept
+    out = tempfile.mkdtemp(prefix="examlytics-legacy-out-") + "/sheet"
+    legacy.write_legacy_csv(legacy.read_legacy_csv(spark, d), out)
+    again = legacy.read_legacy_csv(spark, out).collect()
+    key = lambda r: (r.examiner_name, r.roll_number, r.marks_label, str(r.saved_at))
+    assert sorted(map(key, again)) == sorted(map(key, got))
