@@ -120,3 +120,12 @@ def question_lines_final(parsed: DataFrame, responses: DataFrame, key: str, limi
     out = kept.select(key, "idx", "question", "used_fallback").unionByName(
         fb.select(key, F.col("idx").cast("bigint").alias("idx"), "question", "used_fallback"))
     return out.drop("used_fallback") if limit else out
+
+
+def completion_for_prompts(prompts: DataFrame, responses: DataFrame, key: str = "prompt_id",
+                           kind: str = "eval") -> DataFrame:
+    """Content for every prompt: a prompt with no response row (the call
+    failed before any reply) gets the same fallback as an unreadable one."""
+    r = responses.select(key, F.col("raw"))
+    joined = prompts.select(key).join(r, key, "left").withColumn("kind", F.lit(kind))
+    return completion_extract(joined.withColumnRenamed(key, "prompt_id")).withColumnRenamed("prompt_id", key)

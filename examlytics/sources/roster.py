@@ -23,3 +23,13 @@ def known_examiner_records(results: DataFrame, roster: DataFrame, name_col: str
 
 def unknown_examiner_records(results: DataFrame, roster: DataFrame, name_col: str = "username") -> DataFrame:
     return results.join(roster.select(F.col(name_col).alias("examiner_name")), "examiner_name", "left_anti")
+
+
+def read_roster_csv(spark, path: str, name_col: str = "Username") -> DataFrame:
+    """Examiner roster from a CSV export of the roster sheet.  Only the
+    user name is kept; passwords are never loaded into a DataFrame."""
+    from pyspark.sql import types as T
+    header = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return (spark.read.option("header", True).schema(schema).csv(path)
+            .select(F.col(f"`{name_col}`").alias("username")).where(F.col("username").isNotNull()))

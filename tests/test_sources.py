@@ -70,3 +70,16 @@ def test_legacy_csv_roundtrip_keeps_text(spark):
     again = legacy.read_legacy_csv(spark, out).collect()
     key = lambda r: (r.examiner_name, r.roll_number, r.marks_label, str(r.saved_at))
     assert sorted(map(key, again)) == sorted(map(key, got))
+
+
+def test_roster_csv_drops_passwords(spark):
+    from examlytics.sources import roster
+    d = tempfile.mkdtemp(prefix="examlytics-roster-")
+    with open(os.path.join(d, "examiners.csv"), "w") as f:
+        f.write("Username,Password\nalice,1234\nbob,secret\n")
+    r = roster.read_roster_csv(spark, d)
+    assert r.columns == ["username"] and sorted(x.username for x in r.collect()) == ["alice", "bob"]
+    results = spark.createDataFrame([("alice",), ("carol",), ("alice",)], "examiner_name string")
+    got = {x.examiner_name: (x.n_records, x.known) for x in roster.roster_lookup(results, r).collect()}
+    assert got == {"alice": (2, True), "carol": (1, False)}
+    assert roster.unknown_examiner_records(results, r).count() == 1
