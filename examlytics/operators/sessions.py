@@ -81,13 +81,20 @@ def final_gate(answer_log: DataFrame, sessions: DataFrame | None = None, mode: s
     return p.where(ready).select("session_id", "answered")
 
 
-def resume_point(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSION) -> DataFrame:
+def resume_point(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSION,
+                 sessions: DataFrame | None = None) -> DataFrame:
     """Unfinished sessions and the first slot still unanswered (0-based).
 
     Finished sessions are left out; a session with only blank submissions
-    resumes at 0.  Computed from the per-session bit mask, no anti-join.
+    resumes at 0.  With ``sessions`` (one row per session_id, e.g. every
+    session that has questions), sessions without any submission are
+    included and resume at 0.  Computed from the per-session bit mask, no
+    anti-join.
     """
     m = _answered_mask(answer_log, n_questions)
+    if sessions is not None:
+        m = sessions.select("session_id").join(m, "session_id", "left").select(
+            "session_id", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))
     first_open = F.expr(
         f"array_min(filter(sequence(CAST(0 AS BIGINT), CAST({n_questions - 1} AS BIGINT)),"
         " i -> (shiftright(mask, CAST(i AS INT)) & 1) = 0))")

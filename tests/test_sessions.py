@@ -87,3 +87,10 @@ def test_hot_session_top_k_plan(spark):
     # partial limit below the exchange, final limit above it
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan and "Final" in plan
     assert out.where(F.col("session_id") == "hot").first().terminating_event_id == 2
+
+
+def test_resume_point_includes_sessions_without_answers(spark):
+    log = answers_df(spark, [("a", 0, "x", ts(0), 1)])
+    sessions = spark.createDataFrame([("a",), ("b",)], "session_id string")
+    got = {r.session_id: r.resume_idx for r in S.resume_point(log, sessions=sessions).collect()}
+    assert got == {"a": 1, "b": 0}
