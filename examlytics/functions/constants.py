@@ -32,6 +32,15 @@ EXAM_DIFFICULTY = "Medium"            # exam mode never changes the difficulty
 STYLE_PATTERNS = ["Friendly", "Strict", "Interview", "Rapid Fire", "Defense Panel",
                   "External Examiner", "AI Strict Judge"]
 
+# Results sheet: column headers, timestamp text format, report file suffix.
+SHEET_COLUMNS = ["Examiner Name", "Student Name", "Roll Number", "Department", "Project Title",
+                 "Marks", "Status", "Timestamp"]
+SHEET_TIMESTAMP = "yyyy-MM-dd HH:mm:ss"
+REPORT_NAME_SUFFIX = "_viva_report"
+
+# Output contract requested from the grading call.
+MARKS_CONTRACT = "Marks: X/10"
+
 # Characters Python's str.strip() removes (str.isspace), by code point.
 PY_WHITESPACE_CODEPOINTS = [
     0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0,

@@ -138,7 +138,7 @@ def prompt_eval(qa: DataFrame, key: str = "conv_id") -> DataFrame:
     prompt = F.concat_ws(
         NL, F.concat(F.lit("Question: "), F.coalesce("question", F.lit(""))),
         F.lit("Student answer:"), F.coalesce("answer", F.lit("")),
-        F.lit("Grade the answer. Reply with one line only:"), F.lit("Marks: X/10"))
+        F.lit("Grade the answer. Reply with one line only:"), F.lit(K.MARKS_CONTRACT))
     return qa.select(key, "idx", prompt.alias("prompt"))
 
 

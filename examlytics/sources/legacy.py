@@ -13,16 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.constants import SHEET_COLUMNS as LEGACY_COLUMNS
+from ..functions.constants import SHEET_TIMESTAMP as LEGACY_TIMESTAMP
 from ..functions.text import reparse_marks
 from ..schemas import RESULT_COLUMNS
 from .results_store import conform
 
-# ---- FIXED VALUES (column headers and timestamp format of the results sheet) ----
-LEGACY_COLUMNS = ["Examiner Name", "Student Name", "Roll Number", "Department", "Project Title",
-                  "Marks", "Status", "Timestamp"]
-LEGACY_TIMESTAMP = "yyyy-MM-dd HH:mm:ss"
-# ---- end of fixed values ----
-
 _TO_OURS = dict(zip(LEGACY_COLUMNS, ["examiner_name", "student_name", "roll_number", "department",
                                      "project_title", "marks_label", "status", "saved_at_text"]))
 
@@ -45,10 +41,8 @@ def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def write_legacy_csv(results: DataFrame, path: str) -> None:
     """Results -> the eight sheet columns, one CSV dataset (header per file)."""
-    out = results.select(
-        F.col("examiner_name").alias("Examiner Name"), F.col("student_name").alias("Student Name"),
-        F.col("roll_number").alias("Roll Number"), F.col("department").alias("Department"),
-        F.col("project_title").alias("Project Title"), F.col("marks_label").alias("Marks"),
-        F.col("status").alias("Status"),
-        F.date_format("saved_at", LEGACY_TIMESTAMP).alias("Timestamp"))
+    ours = {o: c for c, o in _TO_OURS.items()}
+    cols = [F.col(o).alias(ours[o]) for o in ["examiner_name", "student_name", "roll_number", "department",
+                                              "project_title", "marks_label", "status"]]
+    out = results.select(*cols, F.date_format("saved_at", LEGACY_TIMESTAMP).alias(ours["saved_at_text"]))
     out.write.mode("overwrite").option("header", True).csv(path)

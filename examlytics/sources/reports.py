@@ -22,13 +22,14 @@ def report_text(results: DataFrame) -> DataFrame:
     def line(label, col):
         return F.concat(F.lit(label + ": "), F.coalesce(F.col(col), F.lit("")))
 
+    # field labels are the results sheet's own column names
+    name, roll, dept, title = K.SHEET_COLUMNS[1:5]
     report = F.concat_ws(
-        "\n", F.lit(K.REPORT_TITLE), line("Student Name", "student_name"),
-        line("Roll Number", "roll_number"), line("Department", "department"),
-        line("Project Title", "project_title"), line("Examiner", "examiner_name"),
+        "\n", F.lit(K.REPORT_TITLE), line(name, "student_name"), line(roll, "roll_number"),
+        line(dept, "department"), line(title, "project_title"), line("Examiner", "examiner_name"),
         F.lit(""), F.coalesce(F.col("result"), F.lit("")))
     return latest.select("roll_number",
-                         F.concat(F.coalesce("roll_number", F.lit("")), F.lit("_viva_report")).alias("report_name"),
+                         F.concat(F.coalesce("roll_number", F.lit("")), F.lit(K.REPORT_NAME_SUFFIX)).alias("report_name"),
                          report.alias("report"))
 
 
