@@ -31,9 +31,14 @@ def results_append(records: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy(PARTITION_COL).parquet(path))
 
 
-def saved_results(spark: SparkSession, path: str) -> DataFrame:
-    """Full scan of the results table with the declared schema.  A missing
-    table reads as an empty frame that still has every column."""
+def saved_results(spark: SparkSession, path: str, date_from: str | None = None,
+                  date_to: str | None = None) -> DataFrame:
+    """Scan of the results table with the declared schema.  A missing table
+    reads as an empty frame that still has every column.
+
+    ``date_from`` / ``date_to`` (inclusive, 'yyyy-MM-dd') filter on the
+    ``saved_date`` partition column, so only those day directories are read.
+    """
     try:
         df = spark.read.schema(_with_partition()).parquet(path)
         df.schema  # resolve now so a missing path is reported here
@@ -41,6 +46,10 @@ def saved_results(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
             raise
         return empty_frame(spark, RESULTS)
+    if date_from is not None:
+        df = df.where(F.col(PARTITION_COL) >= F.lit(date_from).cast("date"))
+    if date_to is not None:
+        df = df.where(F.col(PARTITION_COL) <= F.lit(date_to).cast("date"))
     return df.select(*RESULT_COLUMNS)
 
 

@@ -83,3 +83,23 @@ def test_roster_csv_drops_passwords(spark):
     got = {x.examiner_name: (x.n_records, x.known) for x in roster.roster_lookup(results, r).collect()}
     assert got == {"alice": (2, True), "carol": (1, False)}
     assert roster.unknown_examiner_records(results, r).count() == 1
+
+
+def test_store_prunes_days_and_pushes_status(spark):
+    import contextlib
+    import io
+    from conftest import SF_SMALL
+    from examlytics.operators import dashboard as D
+    from examlytics.plans import catalog
+    path = tempfile.mkdtemp(prefix="examlytics-store-") + "/results"
+    r = catalog.results(spark, SF_SMALL)
+    results_store.results_append(r, path)
+    week = results_store.saved_results(spark, path, "2024-01-08", "2024-01-14")
+    want = r.where(F.to_date("saved_at").between("2024-01-08", "2024-01-14"))
+    assert week.count() == want.count() > 0
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        D.pass_records(week).explain("formatted")
+    plan = buf.getvalue()
+    assert "PartitionFilters: [isnotnull(saved_date" in plan and "2024-01-08" in plan
+    assert "EqualTo(status,PASS)" in plan
