@@ -95,6 +95,22 @@ def _answers_stream(spark, sf_dir):
     return G.last_per_key(spark, sink, ["session_id", "idx"], "session_id string, idx bigint, answer string")
 
 
+def _terminations_stream(spark, sf_dir):
+    ck, sink = _stream_dir(spark, "terminations")
+    q = G.terminations_stream(G.read_event_stream(spark, G.table_glob(sf_dir, "events")), ck, sink)
+    q.awaitTermination()
+    return _read_sink(spark, sink, G.TERMINATION_OUTPUT)
+
+
+def _read_sink(spark, sink, schema):
+    try:
+        return spark.read.schema(schema).parquet(sink)
+    except Exception as exc:  # noqa: BLE001 - a stream that saw no input wrote nothing
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return literal_frame(spark, [], schema)
+
+
 def _results_stream(spark, sf_dir):
     ck, sink = _stream_dir(spark, "results")
     customers = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
@@ -177,4 +193,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "violations_stream": _violations_stream,
     "answers_stream": _answers_stream,
     "results_stream": _results_stream,
+    "terminations_stream": _terminations_stream,
 }

@@ -323,6 +323,7 @@ def _build() -> dict[str, str]:
                   QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) = {K.VIOLATION_LIMIT}) k
             JOIN (SELECT session_id, count(*) AS n_violations FROM proctor GROUP BY session_id) c
               ON c.session_id = k.session_id""", "proctor")
+    o["terminations_stream"] = o["violations_terminate"]
     o["violations_stream"] = with_views(
         f"""SELECT session_id, count(*) AS n_violations, count(*) >= {K.VIOLATION_LIMIT} AS must_end
             FROM proctor GROUP BY session_id""", "proctor")

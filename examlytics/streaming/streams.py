@@ -118,3 +118,78 @@ def results_stream(events: DataFrame, customers: DataFrame, checkpoint: str, sin
     w = (result_build(raw).writeStream.outputMode("append").format("parquet")
          .option("checkpointLocation", checkpoint).option("path", sink))
     return (w.trigger(availableNow=True) if trigger_available_now else w).start()
+
+
+# ---------------------------------------------------------------------------
+# Terminations: the moment a session reaches the violation limit, as it
+# happens.  "k-th smallest per key" is not a streaming aggregate, so this is
+# custom state: per session the violation count and the k earliest
+# (ts, event_id) pairs -- bounded state whatever the session's size.
+# ---------------------------------------------------------------------------
+
+TERMINATION_OUTPUT = ("session_id string, n_violations bigint, terminated_at timestamp_ntz, "
+                      "terminating_event_id bigint")
+TERMINATION_STATE = "n bigint, ts array<timestamp_ntz>, ids array<bigint>, emitted boolean"
+
+
+def _termination_step(limit: int, delay_ms: int):
+    import pandas as pd
+
+    def step(key, batches, state):
+        session_id = key[0]
+        if state.hasTimedOut:           # the session's day is closed: drop its state
+            state.remove()
+            return
+        if state.exists:
+            n, ts, ids, emitted = state.get
+            ts, ids = list(ts), list(ids)
+        else:
+            n, ts, ids, emitted = 0, [], [], False
+        day_end_ms = None
+        for pdf in batches:
+            n += len(pdf)
+            ts += list(pdf["ts"])
+            ids += list(pdf["event_id"])
+            day_end_ms = int(pdf["day_end_ms"].iloc[0])
+            order = sorted(range(len(ts)), key=lambda i: (ts[i], ids[i]))[:limit]
+            ts, ids = [ts[i] for i in order], [ids[i] for i in order]
+        rows = []
+        if not emitted and n >= limit:
+            rows.append((session_id, n, ts[limit - 1], ids[limit - 1]))
+            emitted = True
+        state.update((n, ts, ids, emitted))
+        if day_end_ms is not None:   # keep the state until the day is closed by the watermark
+            state.setTimeoutTimestamp(max(day_end_ms + delay_ms, state.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=["session_id", "n_violations", "terminated_at",
+                                              "terminating_event_id"])
+    return step
+
+
+def terminations_stream(events: DataFrame, checkpoint: str, sink: str, delay: str = "1 hour",
+                        limit: int = K.VIOLATION_LIMIT, trigger_available_now: bool = True):
+    """Sessions reaching ``limit`` violations, emitted once, at the micro-batch
+    that brings the limit-th violation.  With events arriving in event-time
+    order this equals the batch ``violations_terminate`` (count = the count
+    at that moment; the batch form counts the whole day)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    spark = events.sparkSession
+    v = (events.where(F.col("event_type").isin("error", "click"))
+         .select(F.concat(F.col("user_id").cast("string"), F.lit("-"),
+                          F.to_date("ts").cast("string")).alias("session_id"),
+                 "ts", "event_id", utc_instant("ts", spark).alias("t"),
+                 ((F.unix_date(F.to_date("ts")) + 1).cast("bigint") * 86_400_000).alias("day_end_ms"))
+         .withWatermark("t", delay))
+    delay_ms = _interval_ms(spark, delay)
+    out = v.groupBy("session_id").applyInPandasWithState(
+        _termination_step(limit, delay_ms), TERMINATION_OUTPUT, TERMINATION_STATE,
+        "append", GroupStateTimeout.EventTimeTimeout)
+    w = (out.writeStream.outputMode("append").format("parquet")
+         .option("checkpointLocation", checkpoint).option("path", sink))
+    return (w.trigger(availableNow=True) if trigger_available_now else w).start()
+
+
+def _interval_ms(spark: SparkSession, delay: str) -> int:
+    """Milliseconds in a duration such as '1 hour' (same syntax as withWatermark)."""
+    row = spark.sql(f"SELECT unix_millis(TIMESTAMP'1970-01-01 00:00:00 UTC' + INTERVAL {delay}) AS ms").first()
+    return int(row["ms"])

@@ -121,3 +121,15 @@ def test_late_violations_are_dropped_by_watermark(spark, tmp_path):
     q.awaitTermination()
     got = rows(G.last_per_key(spark, f"{base}/sink", ["session_id"]))
     assert got == [("1-2024-01-20", 1, False)]      # the late day-13 clicks never form a session
+
+
+def test_terminations_stream_matches_batch_moments(spark, split_events):
+    ev = G.read_event_stream(spark, split_events, max_files_per_trigger=1)
+    sink, q = _run(lambda ck, s: G.terminations_stream(ev, ck, s), spark, "term")
+    got = spark.read.parquet(sink).select("session_id", "terminated_at", "terminating_event_id")
+    batch = S.violations_terminate(fx.proctor(spark, SF_SMALL)).select(
+        "session_id", "terminated_at", "terminating_event_id")
+    assert rows(got) == rows(batch)
+    removed = sum(p["stateOperators"][0].get("numRowsRemoved", 0) for p in q.recentProgress
+                  if p["stateOperators"])
+    assert removed > 0          # closed days leave the state store
