@@ -123,46 +123,62 @@ def results_stream(events: DataFrame, customers: DataFrame, checkpoint: str, sin
 # ---------------------------------------------------------------------------
 # Terminations: the moment a session reaches the violation limit, as it
 # happens.  "k-th smallest per key" is not a streaming aggregate, so this is
-# custom state: per session the violation count and the k earliest
-# (ts, event_id) pairs -- bounded state whatever the session's size.
+# custom state.  State is keyed by user (a session is a user's day), so the
+# Python function is called once per user per micro-batch and works on all
+# of that user's new events at once; per open day it keeps the violation
+# count and the k earliest (ts, event_id) -- bounded whatever the volume.
+# Days the watermark has closed are evicted.
 # ---------------------------------------------------------------------------
 
 TERMINATION_OUTPUT = ("session_id string, n_violations bigint, terminated_at timestamp_ntz, "
                       "terminating_event_id bigint")
-TERMINATION_STATE = "n bigint, ts array<timestamp_ntz>, ids array<bigint>, emitted boolean"
+TERMINATION_STATE = ("days array<int>, counts array<bigint>, first_us array<array<bigint>>, "
+                     "first_ids array<array<bigint>>, emitted array<boolean>")
+DAY_MS = 86_400_000
 
 
 def _termination_step(limit: int, delay_ms: int):
     import pandas as pd
 
     def step(key, batches, state):
-        session_id = key[0]
-        if state.hasTimedOut:           # the session's day is closed: drop its state
-            state.remove()
-            return
+        user_id = key[0]
+        open_days = {}
         if state.exists:
-            n, ts, ids, emitted = state.get
-            ts, ids = list(ts), list(ids)
-        else:
-            n, ts, ids, emitted = 0, [], [], False
-        day_end_ms = None
-        for pdf in batches:
-            n += len(pdf)
-            ts += list(pdf["ts"])
-            ids += list(pdf["event_id"])
-            day_end_ms = int(pdf["day_end_ms"].iloc[0])
-            order = sorted(range(len(ts)), key=lambda i: (ts[i], ids[i]))[:limit]
-            ts, ids = [ts[i] for i in order], [ids[i] for i in order]
-        rows = []
-        if not emitted and n >= limit:
-            rows.append((session_id, n, ts[limit - 1], ids[limit - 1]))
-            emitted = True
-        state.update((n, ts, ids, emitted))
-        if day_end_ms is not None:   # keep the state until the day is closed by the watermark
-            state.setTimeoutTimestamp(max(day_end_ms + delay_ms, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=["session_id", "n_violations", "terminated_at",
-                                              "terminating_event_id"])
+            days, counts, first_us, first_ids, emitted = state.get
+            for d, n, us, ids, e in zip(days, counts, first_us, first_ids, emitted):
+                open_days[int(d)] = [int(n), list(zip(us, ids)), bool(e)]
+        frames = [] if state.hasTimedOut else [pdf for pdf in batches if len(pdf)]
+        out = []
+        if frames:
+            new = pd.concat(frames, ignore_index=True).sort_values(["day", "us", "event_id"])
+            counts = new.groupby("day", sort=False).size()
+            rank = new.groupby("day", sort=False).cumcount()
+            heads = {}
+            for day, us, eid in new.loc[rank < limit, ["day", "us", "event_id"]].itertuples(index=False):
+                heads.setdefault(int(day), []).append((int(us), int(eid)))
+            for day, n_new in counts.items():
+                day = int(day)
+                n, first, emitted_day = open_days.get(day, [0, [], False])
+                n += int(n_new)
+                first = sorted(first + heads[day])[:limit] if first else heads[day]
+                if not emitted_day and n >= limit:
+                    us, eid = first[limit - 1]
+                    out.append((f"{user_id}-{(pd.Timestamp(0) + pd.Timedelta(days=day)).date()}", n,
+                                pd.Timestamp(us, unit="us"), eid))
+                    emitted_day = True
+                open_days[day] = [n, first, emitted_day]
+        watermark = state.getCurrentWatermarkMs()
+        open_days = {d: v for d, v in open_days.items() if (d + 1) * DAY_MS + delay_ms > watermark}
+        if open_days:
+            ds = sorted(open_days)
+            state.update((ds, [open_days[d][0] for d in ds], [[u for u, _ in open_days[d][1]] for d in ds],
+                          [[i for _, i in open_days[d][1]] for d in ds], [open_days[d][2] for d in ds]))
+            state.setTimeoutTimestamp(max((ds[0] + 1) * DAY_MS + delay_ms, watermark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "n_violations", "terminated_at",
+                                             "terminating_event_id"])
     return step
 
 
@@ -170,19 +186,18 @@ def terminations_stream(events: DataFrame, checkpoint: str, sink: str, delay: st
                         limit: int = K.VIOLATION_LIMIT, trigger_available_now: bool = True):
     """Sessions reaching ``limit`` violations, emitted once, at the micro-batch
     that brings the limit-th violation.  With events arriving in event-time
-    order this equals the batch ``violations_terminate`` (count = the count
-    at that moment; the batch form counts the whole day)."""
+    order the moment equals the batch ``violations_terminate`` (and so does
+    the count when a whole day arrives in one micro-batch; otherwise it is the
+    count at that moment)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     spark = events.sparkSession
+    t = utc_instant("ts", spark)
     v = (events.where(F.col("event_type").isin("error", "click"))
-         .select(F.concat(F.col("user_id").cast("string"), F.lit("-"),
-                          F.to_date("ts").cast("string")).alias("session_id"),
-                 "ts", "event_id", utc_instant("ts", spark).alias("t"),
-                 ((F.unix_date(F.to_date("ts")) + 1).cast("bigint") * 86_400_000).alias("day_end_ms"))
+         .select("user_id", F.unix_date(F.to_date("ts")).alias("day"), F.unix_micros(t).alias("us"),
+                 "event_id", t.alias("t"))
          .withWatermark("t", delay))
-    delay_ms = _interval_ms(spark, delay)
-    out = v.groupBy("session_id").applyInPandasWithState(
-        _termination_step(limit, delay_ms), TERMINATION_OUTPUT, TERMINATION_STATE,
+    out = v.groupBy("user_id").applyInPandasWithState(
+        _termination_step(limit, _interval_ms(spark, delay)), TERMINATION_OUTPUT, TERMINATION_STATE,
         "append", GroupStateTimeout.EventTimeTimeout)
     w = (out.writeStream.outputMode("append").format("parquet")
          .option("checkpointLocation", checkpoint).option("path", sink))
