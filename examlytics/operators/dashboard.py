@@ -26,11 +26,16 @@ def overview_kpis(results: DataFrame) -> DataFrame:
     return agg.select("total", "passed", "failed", avg.alias("avg_marks"))
 
 
-def value_counts(results: DataFrame, column: str) -> DataFrame:
+def value_counts(results: DataFrame, column: str, weight: str | None = None) -> DataFrame:
     """``(value, n)`` for the non-null values of ``column``, most frequent first
-    (ties by value; there is no row order to break them by first appearance)."""
+    (ties by value; there is no row order to break them by first appearance).
+
+    ``weight`` names a column of row multiplicities, for input that was
+    already counted upstream (n = sum of weights).
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight).cast("bigint")
     return (results.where(F.col(column).isNotNull())
-            .groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+            .groupBy(column).agg(n.alias("n"))
             .orderBy(F.desc("n"), F.asc(column)))
 
 

@@ -51,3 +51,9 @@ def by_partitions(spark):
 @pytest.mark.parametrize("key", KEYS)
 def test_partition_count_invariance(by_partitions, key):
     assert by_partitions[1][key] == by_partitions[8][key]
+
+
+def test_preaggregated_department_counts_equal_plain(spark):
+    plain = D.department_distribution(catalog.results(spark, SF_SMALL))
+    pre = catalog.QUERIES["department_distribution"](spark, SF_SMALL)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, pre.collect()))
