@@ -133,6 +133,16 @@ def _department_distribution(spark, sf_dir):
     return D.value_counts(joined, "department", weight="_records")
 
 
+def _report_text(spark, sf_dir):
+    """Latest record per roll first (events only), then the student
+    attributes for those rows: the customer join sees one row per student."""
+    latest = reports.latest_per_roll(results(spark, sf_dir, students=False)).drop("student_name", "department")
+    cu = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment").select(
+        F.col("c_custkey").cast("string").alias("roll_number"), F.col("c_name").alias("student_name"),
+        F.col("c_mktsegment").alias("department"))
+    return reports.render_reports(latest.join(cu, "roll_number", "left"))
+
+
 def _turns(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
 
@@ -158,7 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_ingest": lambda s, d: I.text_ingest(fx.upload_bytes(s, d)),
     "ingest_route": lambda s, d: I.ingest_route(_ingest_files(s, d)),
     "results_append": _results_append,
-    "report_text": lambda s, d: reports.report_text(results(s, d)),
+    "report_text": _report_text,
     # B: settings and prompt datasets
     "settings_resolve": lambda s, d: B.settings_resolve(fx.settings(s, d)),
     "section_template": lambda s, d: B.section_template(B.settings_resolve(fx.settings(s, d))),

@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 
 
-def report_text(results: DataFrame) -> DataFrame:
+def latest_per_roll(results: DataFrame) -> DataFrame:
     """Latest record per roll number (a re-saved report overwrites the file,
-    so the last save wins) rendered as report text.
+    so the last save wins).
 
     ``row_number() = 1`` runs as a partial WindowGroupLimit before the
     shuffle: a roll number with millions of saves sends one row per map
     partition.
     """
     w = Window.partitionBy("roll_number").orderBy(F.desc("saved_at"), F.desc("record_id"))
-    latest = results.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    return results.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
+
+def report_text(results: DataFrame) -> DataFrame:
+    """Report text of the latest record per roll number."""
+    return render_reports(latest_per_roll(results))
+
+
+def render_reports(latest: DataFrame) -> DataFrame:
+    """One report per row: title, the student/project/examiner lines, a
+    blank line, then the evaluation text."""
 
     def line(label, col):
         return F.concat(F.lit(label + ": "), F.coalesce(F.col(col), F.lit("")))
