@@ -17,6 +17,12 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "examlytics") -> SparkSession:
+    """Local session for tests and the bench (cluster jobs take the
+    submitting session's settings; ``getOrCreate`` returns it if present).
+
+    On a cluster set ``spark.sql.shuffle.partitions`` to about input bytes /
+    128 MB for the largest shuffle; AQE coalesces the small ones.
+    """
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(master or f"local[{cpus}]")
@@ -27,6 +33,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # ~128 MB per input split and per post-shuffle partition: fits executor
+        # memory with room for sort/aggregate buffers; AQE merges small ones.
+        .config("spark.sql.files.maxPartitionBytes", "128m")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("EXAMLYTICS_DRIVER_MEMORY", "16g"))
