@@ -57,7 +57,7 @@ def _results_append(spark, sf_dir):
     one table; reading it back must give every record of both."""
     path = scratch_path(spark, "results")
     r = results(spark, sf_dir)
-    early = F.dayofmonth("saved_at") < 15
+    early = F.coalesce(F.dayofmonth("saved_at") < 15, F.lit(False))   # a null time goes to the second batch
     results_store.results_append(r.where(early), path)
     results_store.results_append(r.where(~early), path)
     return results_store.saved_results(spark, path)

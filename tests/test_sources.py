@@ -103,3 +103,12 @@ def test_store_prunes_days_and_pushes_status(spark):
     plan = buf.getvalue()
     assert "PartitionFilters: [isnotnull(saved_date" in plan and "2024-01-08" in plan
     assert "EqualTo(status,PASS)" in plan
+
+
+def test_two_appends_keep_rows_without_a_time(spark):
+    path = tempfile.mkdtemp(prefix="examlytics-null-") + "/store"
+    rows = spark.createDataFrame([("1", None), ("2", None)], "record_id string, saved_at timestamp_ntz")
+    early = F.coalesce(F.dayofmonth("saved_at") < 15, F.lit(False))
+    results_store.results_append(rows.where(early), path)
+    results_store.results_append(rows.where(~early), path)
+    assert results_store.saved_results(spark, path).count() == 2
