@@ -206,5 +206,8 @@ def terminations_stream(events: DataFrame, checkpoint: str, sink: str, delay: st
 
 def _interval_ms(spark: SparkSession, delay: str) -> int:
     """Milliseconds in a duration such as '1 hour' (same syntax as withWatermark)."""
+    import re
+    if not re.fullmatch(r"\s*\d+\s+[A-Za-z]+(\s+\d+\s+[A-Za-z]+)*\s*", delay):
+        raise ValueError(f"not a duration: {delay!r}")
     row = spark.sql(f"SELECT unix_millis(TIMESTAMP'1970-01-01 00:00:00 UTC' + INTERVAL {delay}) AS ms").first()
     return int(row["ms"])
