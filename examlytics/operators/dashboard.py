@@ -26,17 +26,30 @@ def overview_kpis(results: DataFrame) -> DataFrame:
     return agg.select("total", "passed", "failed", avg.alias("avg_marks"))
 
 
-def value_counts(results: DataFrame, column: str, weight: str | None = None) -> DataFrame:
-    """``(value, n)`` for the non-null values of ``column``, most frequent first
-    (ties by value; there is no row order to break them by first appearance).
+SAVE_ORDER = ["saved_at", "record_id"]
 
-    ``weight`` names a column of row multiplicities, for input that was
-    already counted upstream (n = sum of weights).
+
+def value_counts(results: DataFrame, column: str, weight: str | None = None,
+                 first_seen: str | None = None) -> DataFrame:
+    """``(value, n)`` for the non-null values of ``column``, most frequent first.
+
+    Ties are ordered by first appearance, as pandas does: the earliest
+    (saved_at, record_id) of each value, a ``min`` that aggregates map-side.
+    ``first_seen`` names a precomputed column of that key (for pre-counted
+    input); without save-order columns ties fall back to the value.
+    ``weight`` names a column of row multiplicities (n = sum of weights).
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight).cast("bigint")
+    if first_seen is not None:
+        first = F.min(first_seen)
+    elif all(c in results.columns for c in SAVE_ORDER):
+        first = F.min(F.struct(*SAVE_ORDER))
+    else:
+        first = F.lit(None)
     return (results.where(F.col(column).isNotNull())
-            .groupBy(column).agg(n.alias("n"))
-            .orderBy(F.desc("n"), F.asc(column)))
+            .groupBy(column).agg(n.alias("n"), first.alias("_first"))
+            .orderBy(F.desc("n"), F.asc("_first"), F.asc(column))
+            .drop("_first"))
 
 
 def status_distribution(results: DataFrame) -> DataFrame:

@@ -125,12 +125,15 @@ def _department_distribution(spark, sf_dir):
     roll number (user) before the customer join, so the join sees one row
     per user rather than one per record (a hot user is absorbed by the
     partial aggregate); same result as counting the joined records."""
-    per_user = read_table(spark, sf_dir, "events", "user_id").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("_records"))
+    ev = read_table(spark, sf_dir, "events", "user_id", "ts", "event_id")
+    per_user = ev.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("_records"),
+        F.min(F.struct(F.col("ts").alias("saved_at"), F.col("event_id").cast("string").alias("record_id")))
+        .alias("_first"))
     cu = read_table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     joined = per_user.join(cu, per_user.user_id == cu.c_custkey, "left").select(
-        F.col("c_mktsegment").alias("department"), "_records")
-    return D.value_counts(joined, "department", weight="_records")
+        F.col("c_mktsegment").alias("department"), "_records", "_first")
+    return D.value_counts(joined, "department", weight="_records", first_seen="_first")
 
 
 def _report_text(spark, sf_dir):

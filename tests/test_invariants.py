@@ -57,3 +57,16 @@ def test_preaggregated_department_counts_equal_plain(spark):
     plain = D.department_distribution(catalog.results(spark, SF_SMALL))
     pre = catalog.QUERIES["department_distribution"](spark, SF_SMALL)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, pre.collect()))
+
+
+def test_value_count_ties_follow_first_appearance(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    rows = [("r1", t + dt.timedelta(minutes=5), "Zoology"), ("r2", t + dt.timedelta(minutes=1), "Art"),
+            ("r3", t, "Zoology"), ("r4", t + dt.timedelta(minutes=9), "Art"), ("r5", t, "Chem")]
+    df = spark.createDataFrame(rows, "record_id string, saved_at timestamp_ntz, department string")
+    got = [r.department for r in D.department_distribution(df).collect()]
+    # pandas: counts desc, ties in order of first appearance in save order
+    import pandas as pd
+    pdf = pd.DataFrame(rows, columns=["record_id", "saved_at", "department"]).sort_values(["saved_at", "record_id"])
+    assert got == list(pdf["department"].value_counts().index)
