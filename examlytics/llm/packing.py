@@ -39,7 +39,7 @@ END_ID = 0
 BUCKETS = 256
 #: Work bounds of the search: bins filled, and fillings looked at for one bin.
 NODES = 6_000
-VISITS = 60
+VISITS = 100
 CHOICES = 4
 
 #: A run of equal bins: how many, and the (length, count in a bin) that each holds.
