@@ -275,10 +275,10 @@ def near_components(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str
 
     stars = (members.select("class", F.explode("hubs").alias("hub")).filter("class <> hub")
              .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
-    first = components(confirmed(alike(stars, sig), sets))
+    first = components(confirmed(cut(alike(stars, sig)), sets))
 
     known = members.select("band", "class").join(first.withColumnRenamed("node", "class"), "class", "left")
-    more = confirmed(cross_pairs(known.withColumn("root", F.coalesce("root", "class")), sig), sets)
+    more = confirmed(cut(cross_pairs(known.withColumn("root", F.coalesce("root", "class")), sig)), sets)
     linked = first.select(F.col("node").alias("u"), F.col("root").alias("v"))
     return components(linked.unionByName(more)).select(F.col("node").alias("class"), "root")
 
