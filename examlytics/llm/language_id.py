@@ -52,21 +52,23 @@ def letter_table() -> np.ndarray:
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded code points of the joined texts (0 between them), each text's start, and whether it has a letter."""
-    raw = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Folded code points of the texts, each between blanks (0) of its own, the place of each text's first
+    blank, and whether it has a letter."""
+    raw = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     folded = letter_table()[raw]
-    lens = np.array([len(t) for t in texts], np.int64)
-    start = np.cumsum(lens + 1) - lens
+    lens = np.array([len(t) + 2 for t in texts], np.int64)
+    end = np.cumsum(lens)
     seen = np.concatenate([[0], np.cumsum(folded > 0)])
-    has = seen[start + lens] > seen[start]
+    has = seen[end] > seen[end - lens]
     keep = (folded > 0) | np.concatenate([[True], folded[:-1] > 0])  # one blank for each run of non-letters
-    place = np.concatenate([[0], np.cumsum(keep)])
-    return folded[keep], place[start], has
+    keep[end - lens] = True
+    place = np.cumsum(keep) - 1
+    return folded[keep], place[end - lens], has
 
 
 def ngram_bins(c: np.ndarray, bins: int) -> np.ndarray:
-    """Bins of the n-grams that start at each place: one row an order.  Bin 0 takes the n-grams that
-    would cross two blanks' boundary at the end of the array and lone blanks; it weighs nothing."""
+    """Bins of the n-grams that start at each place: one row an order.  Bin 0 takes lone blanks and what
+    would run across a blank, so that no n-gram joins two texts; it weighs nothing."""
     out = np.zeros((len(ORDERS), len(c)), np.int64)
     h = np.zeros(len(c), np.uint64)
     word = c > 0
@@ -122,7 +124,6 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang", bins
             for at, held in pieces(texts):
                 c, start, _ = codes(held)
                 label = np.repeat([labels[i] for i in at], np.diff([*start.tolist(), len(c)]))
-                label = np.concatenate([np.zeros(start[0], np.int64), label])
                 for row in ngram_bins(c, bins):
                     table += np.bincount(label * bins + row, minlength=table.size).reshape(table.shape)
         for label, i in known.items():
