@@ -28,10 +28,6 @@ DEFAULT_DIFFICULTY = "Medium"
 DEFAULT_STYLE = "Strict 😐"
 EXAM_DIFFICULTY = "Medium"            # exam mode never changes the difficulty
 
-# Style matching is an ordered substring test; the first pattern found wins.
-STYLE_PATTERNS = ["Friendly", "Strict", "Interview", "Rapid Fire", "Defense Panel",
-                  "External Examiner", "AI Strict Judge"]
-
 # Results sheet: column headers, timestamp text format, report file suffix.
 SHEET_COLUMNS = ["Examiner Name", "Student Name", "Roll Number", "Department", "Project Title",
                  "Marks", "Status", "Timestamp"]

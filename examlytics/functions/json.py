@@ -104,5 +104,13 @@ def transcription_text(raw, v=None) -> Column:
                 F.when(F.instr(s_val, "text") > 0, F.lit(TEXT_TRANSCRIPTION_FAILED)).otherwise(s_val)))
 
 
-def transcription_failed(raw) -> Column:
-    return transcription_text(raw) == F.lit(TEXT_TRANSCRIPTION_FAILED)
+def transcription_failed(raw, v=None) -> Column:
+    """Whether the response is unreadable, from its parsed form (an answer may say the same words)."""
+    r = _c(raw)
+    v = F.try_parse_json(r) if v is None else _c(v)
+    kind = _kind(v, r)
+    text_is_string = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.text", "variant")) == F.lit("STRING"), F.lit(False))
+    return (F.when(kind.isNull() | (kind == "scalar"), F.lit(True))
+            .when(kind == "object", _has_key(v, "text") & ~text_is_string)
+            .when(kind == "array", F.coalesce(_array_has_string(v, "text"), F.lit(False)))
+            .otherwise(F.instr(F.try_variant_get(v, "$", "string"), "text") > 0))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,48 +25,55 @@ def ustrip(col) -> Column:
     return F.btrim(_c(col), F.lit(PY_WHITESPACE))
 
 
-def is_blank(col) -> Column:
-    return ustrip(col) == F.lit("")
-
-
 def truncate_chars(col, n: int) -> Column:
     """First ``n`` characters (code points), like a Python slice ``s[:n]``."""
     return F.substring(_c(col), 1, n)
 
 
+@lru_cache(maxsize=1)
+def _decimal_digits() -> tuple[str, str]:
+    """Every Unicode decimal digit and, place by place, its ASCII form."""
+    found = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
+
+
 def first_digits(col) -> Column:
-    """Text of the first run of ASCII digits, '' if none, null for null input.
+    """Text of the first run of decimal digits of any script, '' if none, null for null input.
 
     Anchored with a possessive prefix: one left-to-right pass and no
     backtracking, instead of a new match attempt at every position of a
     text without digits (about 3x faster on long documents).
     """
-    return F.regexp_extract(_c(col), "^[^0-9]*+([0-9]+)", 1)
+    return F.regexp_extract(_c(col), r"^\P{Nd}*+(\p{Nd}+)", 1)
 
 
-def first_int(col) -> Column:
-    """Mark extraction: first digit run as bigint; no digits -> 0.
+def mark_digits(col) -> Column:
+    """The mark as ASCII digits without leading zeros; '0' for a text without digits."""
+    run = F.ltrim(F.translate(first_digits(col), *_decimal_digits()), F.lit("0"))
+    return F.when(run == "", F.lit("0")).otherwise(run)
 
-    A run that overflows bigint gives null (and so a null status) rather
-    than an error.  Only ASCII digits count.
-    """
-    # '0' || digits: '' -> 0, leading zeros are harmless, overflow -> null;
-    # the regex is evaluated once per row.
-    return F.concat(F.lit("0"), first_digits(col)).try_cast("bigint")
+
+def first_int(col) -> Column:
+    """Mark extraction: first digit run as bigint; no digits -> 0.  A run beyond
+    bigint has no numeric column (null) but keeps its label and status."""
+    return mark_digits(col).try_cast("bigint")
 
 
 def reparse_marks(col) -> Column:
     """Dashboard re-parse of a marks label: first digit run, null if none."""
-    return F.nullif(first_digits(col), F.lit("")).try_cast("bigint")
+    return F.when(first_digits(col) != "", mark_digits(col)).try_cast("bigint")
 
 
-def mark_label(marks) -> Column:
-    return F.concat(_c(marks).cast("string"), F.lit(MARKS_SUFFIX))
+def mark_label(digits) -> Column:
+    """``"N/100"`` from the digits of :func:`mark_digits` (or a numeric mark)."""
+    return F.concat(_c(digits).cast("string"), F.lit(MARKS_SUFFIX))
 
 
-def pass_status(marks) -> Column:
-    m = _c(marks)
-    return F.when(m >= PASS_MARK, F.lit("PASS")).when(m < PASS_MARK, F.lit("FAIL"))
+def pass_status(digits) -> Column:
+    """PASS from 50 on, whatever the number of digits (no leading zeros), else FAIL; null for null."""
+    d = _c(digits).cast("string")
+    passed = (F.length(d) > len(str(PASS_MARK))) | ((F.length(d) == len(str(PASS_MARK))) & (d >= str(PASS_MARK)))
+    return F.when(passed, F.lit("PASS")).when(~passed, F.lit("FAIL"))
 
 
 def name_matches(col, pattern: str) -> Column:

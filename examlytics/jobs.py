@@ -1,83 +1,108 @@
 """spark-submit entry points: ``python -m examlytics.jobs <job> [options]``.
 
-Each job reads Parquet inputs, runs the operators and writes Parquet (or
-starts a stream).  Scratch state and stream checkpoints go under the shared
-folder named in ``spark.checkpoint.dir`` unless a path is given.
-
-  results    events + customers -> append records to the results table
-  stream     the same as a Structured Streaming job (file source -> table)
-  dashboard  results table -> kpis / status / departments / marks series
+Master, memory and shuffle partitions are those of the submission.  Each job
+reads Parquet tables with the domain's own columns, runs the operators and
+writes Parquet (or runs a stream).  Scratch state goes under the shared folder
+named in ``spark.checkpoint.dir``; a stream's checkpoint lies beside its store
+unless a path is given, so that the next run goes on where the last one ended.
+
+  results    evaluations (record_id, examiner_name, student_name, roll_number, department, project_title, result,
+             saved_at) -> append to the results store (``--load`` names the append: repeated, it replaces itself)
+  stream     the same as a Structured Streaming job into the same store
+  terminations  violations (session_id, ts, event_id) as a stream -> sessions that must end (--sink parts, --out table)
+  dashboard  results store -> kpis / status / departments / marks series
   prompts    settings (doc_id, mode, section, difficulty, style, text) -> question prompts
-  questions  responses (key, raw) -> six questions per response
-  reports    results table -> report table (latest record per roll number)
+  questions  responses (key, raw JSON, optional section) -> six questions per response
+  grades     responses (prompt_id, kind, raw JSON) -> content of grading and model-answer calls
+  sessions   typed and spoken answers, sessions (session_id, mode, n_questions), violations -> answers, progress,
+             resume points and finished sessions, without the terminated ones
+  final      questions (session_id, idx, question), answers, students -> final evaluation prompts
+  reports    results store -> report table (latest record per roll number)
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import dashboard as D
 from .operators import parse as P
 from .operators import prompts as B
 from .operators import results as R
-from .session import get_spark, scratch_path
+from .operators import sessions as S
+from .schemas import EVALUATIONS, VIOLATIONS
+from .session import get_spark
 from .sources import reports, results_store
 from .streaming import streams as G
 
 
-def _records(events, customers):
-    cu = customers.select("c_custkey", "c_name", "c_mktsegment")
-    return events.join(cu, events.user_id == cu.c_custkey, "left").select(
-        F.col("event_id").cast("string").alias("record_id"), F.col("event_type").alias("examiner_name"),
-        F.col("c_name").alias("student_name"), F.col("user_id").cast("string").alias("roll_number"),
-        F.col("c_mktsegment").alias("department"),
-        F.concat(F.lit("Project "), F.col("event_id").cast("string")).alias("project_title"),
-        F.col("props").alias("result"), F.col("ts").alias("saved_at"))
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    read = spark.read.parquet
     if args.job == "results":
-        ev, cu = spark.read.parquet(args.events), spark.read.parquet(args.customers)
-        results_store.results_append(R.result_build(_records(ev, cu)), args.store)
+        results_store.results_append(R.result_build(read(args.input)), args.store, args.load)
     elif args.job == "stream":
-        ck = args.checkpoint or scratch_path(spark, "results-stream")
-        q = G.results_stream(G.read_event_stream(spark, args.events), spark.read.parquet(args.customers),
-                             ck, args.store, trigger_available_now=args.once)
-        q.awaitTermination()
+        checkpoint = args.checkpoint or f"{args.store.rstrip('/')}.checkpoint"
+        raw = G.read_stream(spark, args.input, EVALUATIONS, args.max_files)
+        G.results_stream(raw, checkpoint, args.store, trigger_available_now=args.once).awaitTermination()
+    elif args.job == "terminations":
+        checkpoint = args.checkpoint or f"{args.sink.rstrip('/')}.checkpoint"
+        rows = G.read_stream(spark, args.input, VIOLATIONS, args.max_files)
+        G.terminations_stream(rows, checkpoint, args.sink, trigger_available_now=args.once).awaitTermination()
+        _write(G.terminations(spark, args.sink), args.out)
     elif args.job == "dashboard":
         saved = results_store.saved_results(spark, args.store, args.date_from, args.date_to)
-        D.overview_kpis(saved).write.mode("overwrite").parquet(f"{args.out}/kpis")
-        D.status_distribution(saved).write.mode("overwrite").parquet(f"{args.out}/status")
-        D.department_distribution(saved).write.mode("overwrite").parquet(f"{args.out}/departments")
-        D.marks_series(saved).write.mode("overwrite").parquet(f"{args.out}/marks_series")
+        _write(D.overview_kpis(saved), f"{args.out}/kpis")
+        _write(D.status_distribution(saved), f"{args.out}/status")
+        _write(D.department_distribution(saved), f"{args.out}/departments")
+        _write(D.marks_series(saved), f"{args.out}/marks_series")
     elif args.job == "prompts":
-        B.prompt_questions(spark.read.parquet(args.input)).write.mode("overwrite").parquet(args.out)
+        _write(B.prompt_questions(read(args.input)), args.out)
     elif args.job == "questions":
-        P.question_limit(spark.read.parquet(args.input), key=args.key, raw_col="raw") \
-            .write.mode("overwrite").parquet(args.out)
+        rows = read(args.input)
+        section = "section" if "section" in rows.columns else None
+        _write(P.questions_from_responses(rows, args.key, section_col=section), args.out)
+    elif args.job == "grades":
+        _write(P.completion_extract(read(args.input)), args.out)
+    elif args.job == "sessions":
+        log = S.merge_channels(read(args.typed), read(args.voice)) if args.voice else S.blank_answer_filter(read(args.typed))
+        sessions = read(args.sessions)
+        active = S.exclude_terminated(sessions, S.violations_terminate(read(args.violations))) if args.violations else sessions
+        _write(S.answer_upsert(log), f"{args.out}/answers")
+        _write(S.progress(log, sessions=active), f"{args.out}/progress")
+        _write(S.resume_point(log, sessions=active), f"{args.out}/resume")
+        _write(S.final_gate(log, active), f"{args.out}/finished")
+    elif args.job == "final":
+        transcripts = S.transcript_assemble(read(args.input), read(args.answers), "session_id")
+        _write(B.prompt_final(transcripts, read(args.students), "session_id"), args.out)
     elif args.job == "reports":
         reports.write_reports(reports.report_text(results_store.saved_results(spark, args.store)), args.out)
     else:  # pragma: no cover - argparse restricts the choices
         raise ValueError(args.job)
 
 
+JOBS = ["results", "stream", "terminations", "dashboard", "prompts", "questions", "grades", "sessions", "final", "reports"]
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="examlytics.jobs", description=__doc__,
                                 formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("job", choices=["results", "stream", "dashboard", "prompts", "questions", "reports"])
-    p.add_argument("--events")
-    p.add_argument("--customers")
-    p.add_argument("--store", help="results table path")
-    p.add_argument("--input")
-    p.add_argument("--out")
-    p.add_argument("--key", default="doc_id")
-    p.add_argument("--checkpoint")
+    p.add_argument("job", choices=JOBS)
+    for name, what in [("input", "input table"), ("store", "results store path"), ("sink", "terminations: parts path"), ("out", "output path"),
+                       ("typed", "typed answers"), ("voice", "spoken answers"), ("sessions", "sessions"), ("violations", "violations"),
+                       ("answers", "final answers"), ("students", "student attributes"), ("checkpoint", "stream checkpoint"),
+                       ("load", "results: name of this append")]:
+        p.add_argument(f"--{name}", help=what)
+    p.add_argument("--key", default="prompt_id")
     p.add_argument("--date-from")
     p.add_argument("--date-to")
-    p.add_argument("--once", action="store_true", help="stream: process what is there, then stop")
+    p.add_argument("--max-files", type=int, help="streams: files per micro-batch")
+    p.add_argument("--once", action="store_true", help="streams: process what is there, then stop")
     return p
 
 

@@ -43,7 +43,7 @@ def value_counts(results: DataFrame, column: str, weight: str | None = None,
     if first_seen is not None:
         first = F.min(first_seen)
     elif all(c in results.columns for c in SAVE_ORDER):
-        first = F.min(F.struct(*SAVE_ORDER))
+        return _counts_in_save_order(results.where(F.col(column).isNotNull()), column, n)
     else:
         first = F.lit(None)
     return (results.where(F.col(column).isNotNull())
@@ -52,6 +52,17 @@ def value_counts(results: DataFrame, column: str, weight: str | None = None,
             .drop("_first"))
 
 
+def _counts_in_save_order(rows: DataFrame, column: str, n) -> DataFrame:
+    """Counts and first save times in a hash aggregate (a minimum over a struct would sort every row); the
+    record id is looked up only among the rows of a value's first moment, for values that tie on both."""
+    counts = rows.groupBy(column).agg(n.alias("n"), F.min("saved_at").alias("_at"))
+    tied = counts.withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy("n", "_at"))).where("_ties > 1")
+    first = (rows.select(column, F.col("saved_at").alias("_at"), "record_id").join(tied.select(column, "_at"), [column, "_at"])
+             .groupBy(column).agg(F.min("record_id").alias("_id")))
+    return (counts.join(first, column, "left").orderBy(F.desc("n"), F.asc("_at"), F.asc("_id"), F.asc(column))
+            .select(column, "n"))
+
+
 def status_distribution(results: DataFrame) -> DataFrame:
     return value_counts(results, "status")
 

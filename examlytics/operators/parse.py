@@ -3,13 +3,14 @@ transcriptions)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.json import completion_content, completion_state as _state, parsed, transcription_text
-from ..functions.questions import (fallback_questions, limit_questions, parse_questions, parsed_count,
-                                   with_fallback)
+from ..functions.json import (completion_content, completion_state as _state, parsed, transcription_failed,
+                              transcription_text)
+from ..functions.questions import (chosen_questions, fallback_questions, limit_questions, parse_questions,
+                                   parsed_count, with_fallback)
 from ..functions.text import ustrip
 from .ordering import DEFAULT_BUCKET, bucketed_rank
 
@@ -63,11 +64,24 @@ def question_limit(raw_questions: DataFrame, key: str = "conv_id", raw_col: str
     return _exploded(p.select(key, limit_questions(with_fallback("p", "section")).alias("qs")), key, "qs")
 
 
+def questions_from_responses(responses: DataFrame, key: str = "prompt_id", raw_col: str = "raw",
+                             section_col: str | None = None) -> DataFrame:
+    """Chat-completion responses (JSON) to exactly six questions each, in one projection: the content, the state of the
+    reply, the parsed list, and the fallback that the state calls for, opening with the session's section
+    (``section_col``; null or absent: the default section)."""
+    section = F.lit(K.DEFAULT_SECTION) if section_col is None else F.coalesce(F.col(section_col), F.lit(K.DEFAULT_SECTION))
+    staged = responses.select(key, raw_col, section.alias("_section"), parsed(raw_col).alias("_v"))
+    read = staged.select(key, "_section", _state(raw_col, v="_v").alias("_state"),
+                         parse_questions(completion_content(raw_col)).alias("_parsed"))
+    ok = F.when(F.col("_state") == "ok", F.col("_parsed"))
+    return _exploded(read.select(key, chosen_questions("_state", ok, "_section").alias("qs")), key, "qs")
+
+
 def transcription_normalize(transcriptions: DataFrame, key: str = "item_id",
                             raw_col: str = "raw") -> DataFrame:
     staged = transcriptions.select(key, raw_col, parsed(raw_col).alias("_v"))
-    t = staged.select(key, transcription_text(raw_col, v="_v").alias("transcript"))
-    return t.select(key, "transcript", (F.col("transcript") == F.lit(K.TEXT_TRANSCRIPTION_FAILED)).alias("failed"))
+    return staged.select(key, transcription_text(raw_col, v="_v").alias("transcript"),
+                         transcription_failed(raw_col, v="_v").alias("failed"))
 
 
 # ---------------------------------------------------------------------------
@@ -80,46 +94,61 @@ def transcription_normalize(transcriptions: DataFrame, key: str = "item_id",
 
 def response_lines(parts: DataFrame, key: str, part_col: str, text_col: str,
                    first_line_prefix=None) -> DataFrame:
-    """(key, part, ln, line): the lines of each part, in order.  Splitting the
+    """(key, part, ln, line): the lines of each part, in order (a null part keeps a null line, so every key
+    stays).  Splitting the
     concatenation of the parts on '\\n' gives exactly these lines in
     (part, ln) order; ``first_line_prefix`` is prepended to each part's first
     line (as when parts are joined after a per-part label)."""
-    exploded = parts.select(key, part_col, F.posexplode(F.split(text_col, "\n")).alias("ln", "line"))
+    exploded = parts.select(key, part_col, F.posexplode_outer(F.split(text_col, "\n")).alias("ln", "line"))
     if first_line_prefix is not None:
         exploded = exploded.withColumn(
             "line", F.when(F.col("ln") == 0, F.concat(first_line_prefix, F.col("line"))).otherwise(F.col("line")))
     return exploded
 
 
+def question_lines(lines: DataFrame, key: str, part_col: str) -> DataFrame:
+    """Every ``Q..: text`` line of the lines table, in no order: one projection."""
+    s = ustrip(F.col("line"))
+    kept = lines.select(key, part_col, "ln", s.alias("s")).where(s.startswith("Q") & s.contains(":"))
+    q = kept.select(key, part_col, "ln", ustrip(F.substr("s", F.instr("s", ":") + 1)).alias("question"))
+    return q.where(F.col("question") != "")
+
+
 def question_lines_parse(lines: DataFrame, key: str, part_col: str,
                          bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
     """Every ``Q..: text`` line, one row per question with its 0-based
     position in (part, ln) order within the response."""
-    s = ustrip(F.col("line"))
-    kept = lines.select(key, part_col, "ln", s.alias("s")).where(s.startswith("Q") & s.contains(":"))
-    q = kept.select(key, part_col, "ln", ustrip(F.substr("s", F.instr("s", ":") + 1)).alias("question"))
-    q = q.where(F.col("question") != "").withColumn("_bucket", F.floor(F.col(part_col) / bucket_size))
+    q = question_lines(lines, key, part_col).withColumn("_bucket", F.floor(F.col(part_col) / bucket_size))
     ordered = q.withColumn("_ord", F.struct(part_col, "ln"))
     return bucketed_rank(ordered, key, "_ord", "_bucket", "idx").select(key, "idx", "question")
 
 
-def question_lines_final(parsed: DataFrame, responses: DataFrame, key: str, limit: bool = True,
-                         section=None) -> DataFrame:
-    """Fallback (fewer than six parsed -> the six fallback questions) and,
-    with ``limit``, the first six.  ``responses`` lists every response key,
-    so a response with no parsed line still gets its fallback."""
+def question_lines_limit(lines: DataFrame, key: str, part_col: str, section=None) -> DataFrame:
+    """The final six questions of each response: its first six lines, or the fallback where there are fewer.
+
+    Two scans: the first six lines per response (``row_number() <= 6``, a partial group limit before the
+    shuffle: a hot response sends six rows per map partition), and the response keys."""
+    section = F.lit(K.DEFAULT_SECTION) if section is None else section
+    first = F.row_number().over(Window.partitionBy(key).orderBy(part_col, "ln"))
+    top = (question_lines(lines, key, part_col).withColumn("_rn", first).where(F.col("_rn") <= K.QUESTIONS_PER_SESSION)
+           .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rn", "question"))).alias("_top")))  # six at most
+    listed = F.when(F.size("_top") >= K.QUESTIONS_PER_SESSION, F.transform("_top", lambda x: x["question"]))
+    per = lines.select(key).distinct().join(top, key, "left")
+    return _exploded(per.select(key, F.coalesce(listed, fallback_questions(section)).alias("qs")), key, "qs")
+
+
+def question_lines_final(parsed: DataFrame, responses: DataFrame, key: str, section=None) -> DataFrame:
+    """Every parsed question, or the six fallback questions where fewer than six parsed (no limit).
+    ``responses`` lists every response key, so a response with no parsed line still gets its fallback."""
     section = F.lit(K.DEFAULT_SECTION) if section is None else section
     counts = parsed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     per = responses.select(key).distinct().join(counts, key, "left").select(
         key, (F.coalesce("_n", F.lit(0)) < K.QUESTIONS_PER_SESSION).alias("used_fallback"))
     kept = parsed.join(per.where(~F.col("used_fallback")), key)
-    if limit:
-        kept = kept.where(F.col("idx") < K.QUESTIONS_PER_SESSION)
     fb = per.where(F.col("used_fallback")).select(
         key, "used_fallback", F.posexplode(fallback_questions(section)).alias("idx", "question"))
-    out = kept.select(key, "idx", "question", "used_fallback").unionByName(
+    return kept.select(key, "idx", "question", "used_fallback").unionByName(
         fb.select(key, F.col("idx").cast("bigint").alias("idx"), "question", "used_fallback"))
-    return out.drop("used_fallback") if limit else out
 
 
 def completion_for_prompts(prompts: DataFrame, responses: DataFrame, key: str = "prompt_id",

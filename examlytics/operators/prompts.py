@@ -11,40 +11,34 @@ from ..functions import constants as K
 from ..functions.text import truncate_chars
 
 SECTION_TEXT = {
-    "Basic": "- Keep to what the project is for and its plain ideas.\n- Leave out low-level detail.",
-    "Technical": "- Probe the implementation: architecture, data flow, libraries, interfaces.\n"
-                 "- Ask how specific parts of the code behave.",
-    "Logical": "- Ask why each design choice was made.\n- Bring in edge cases and trade-offs.",
-    "Overall": "- Mix questions across design, workflow, reasoning and code.",
-    "Technical Depth": "- Go deep into how individual modules work.\n"
-                       "- Ask about scaling and performance.",
-    "Presentation": "- Ask the student to explain and justify the work clearly.",
-    "Defense": "- Challenge the limits of the project.\n"
-               "- Ask about security, scale, weak points and next steps.",
+    "Basic": "- Stay with purpose, users and outcome; a first-year student should follow every question.",
+    "Technical": "- Pick concrete files, calls or tables from the text and ask what they do and why they are needed.",
+    "Logical": "- Give a situation and ask what the program does then; ask for the reasoning behind each answer.",
+    "Overall": "- One question each on goal, parts, data, a difficult moment, testing and result.",
+    "Technical Depth": "- Choose two modules and keep asking below the surface: inputs, state, failures, cost.",
+    "Presentation": "- Ask for short spoken summaries to different listeners, and for the story behind a choice.",
+    "Defense": "- State an objection in every question and let the student answer it.",
 }
-SECTION_DEFAULT_TEXT = "- Ask balanced questions about the project."
+SECTION_DEFAULT_TEXT = "- Spread the questions evenly over the project text."
 
 DIFFICULTY_TEXT = {
-    "Easy": "- Plain, direct questions about understanding.",
-    "Medium": "- A mix of concepts and implementation at moderate depth.",
-    "Difficult": "- Advanced implementation and architecture reasoning.",
-    "Expert": "- Very demanding questions: optimisation, scale, edge cases, defence.",
+    "Easy": "- Each answer can be found in one sentence of the text.",
+    "Medium": "- Each answer needs two places of the text to be brought together.",
+    "Difficult": "- Each answer needs a consequence that the text does not spell out.",
+    "Expert": "- Each answer needs numbers, limits or counter-examples that the student must work out.",
 }
 
 # Ordered: the first pattern contained in the style wins.
 STYLE_TEXT = [
-    ("Friendly", "- Keep the tone warm and encouraging."),
-    ("Strict", "- Keep the tone formal; ask direct, serious questions."),
-    ("Interview", "- Frame questions like a technical job interview."),
-    ("Rapid Fire", "- Keep every question short and quick."),
-    ("Defense Panel", "- Question the work like a thesis defence panel."),
-    ("External Examiner", "- Act as a formal external examiner."),
-    ("AI Strict Judge", "- Judge very strictly and analytically."),
+    ("Friendly", "- Open each question with what the student did well."),
+    ("Strict", "- One sentence a question, no courtesies, no hints."),
+    ("Interview", "- Ask as a future employer would who has read the text."),
+    ("Rapid Fire", "- At most ten words a question."),
+    ("Defense Panel", "- Let several panel members speak in turn."),
+    ("External Examiner", "- Ask as a visitor who does not know the course."),
+    ("AI Strict Judge", "- Name the criterion that each question tests."),
 ]
 
-PRACTICE_SET = {"sections": K.PRACTICE_SECTIONS, "styles": K.PRACTICE_STYLES}
-EXAM_SET = {"sections": K.EXAM_SECTIONS, "styles": K.EXAM_STYLES}
-
 
 def _map_lookup(mapping: dict, key: Column) -> Column:
     """Exact-match lookup in a literal map: no join, no shuffle, codegen'd."""
@@ -74,20 +68,21 @@ def style_text(style) -> Column:
 def settings_resolve(settings: DataFrame, *keep: str) -> DataFrame:
     """Effective settings per row and whether they are an allowed combination.
 
-    Missing values take the defaults; exam mode always runs at Medium.
+    Missing values take the defaults (mode: practice); exam mode always runs at Medium.
     Allowed values are literal sets (``isin``), so no join is needed.
     """
-    exam = F.col("mode") == K.MODE_EXAM
+    mode = F.coalesce(F.col("mode"), F.lit(K.MODE_PRACTICE))
+    exam = mode == K.MODE_EXAM
     section = F.coalesce(F.col("section"), F.lit(K.DEFAULT_SECTION))
     difficulty = F.when(exam, F.lit(K.EXAM_DIFFICULTY)).otherwise(
         F.coalesce(F.col("difficulty"), F.lit(K.DEFAULT_DIFFICULTY)))
     style = F.coalesce(F.col("style"), F.lit(K.DEFAULT_STYLE))
     valid = (F.when(exam, section.isin(*K.EXAM_SECTIONS) & style.isin(*K.EXAM_STYLES))
-             .when(F.col("mode") == K.MODE_PRACTICE,
+             .when(mode == K.MODE_PRACTICE,
                    section.isin(*K.PRACTICE_SECTIONS) & style.isin(*K.PRACTICE_STYLES)
                    & difficulty.isin(*K.DIFFICULTIES))
              .otherwise(F.lit(False)))
-    return settings.select("doc_id", "mode", section.alias("section"), difficulty.alias("difficulty"),
+    return settings.select("doc_id", mode.alias("mode"), section.alias("section"), difficulty.alias("difficulty"),
                            style.alias("style"), valid.alias("valid"), *keep)
 
 

@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_int, mark_label as _label, pass_status as _status, reparse_marks
+from ..functions.text import first_int, mark_digits, mark_label as _label, pass_status as _status, reparse_marks
 from ..schemas import RESULT_COLUMNS
 
 
 def mark_extract(df: DataFrame, text_col: str = "result", out: str = "marks") -> DataFrame:
-    """First run of ASCII digits in the evaluation text -> bigint mark; none -> 0.
+    """First run of decimal digits in the evaluation text -> bigint mark; none -> 0.
 
     Traps kept on purpose: '1. Score: 85/100' -> 1, '85.5' -> 85, '-5' -> 5,
-    no upper cap.  Overflowing runs give null (the app would keep a huge int).
+    no upper cap.  Only this numeric column is null beyond bigint; label and
+    status come from the digits and have no limit.
     """
     return df.withColumn(out, first_int(text_col))
 
 
-def mark_label(df: DataFrame, marks_col: str = "marks", out: str = "marks_label") -> DataFrame:
-    """``"N/100"`` text for a numeric mark."""
-    return df.withColumn(out, _label(marks_col))
+def mark_label(df: DataFrame, text_col: str = "result", out: str = "marks_label") -> DataFrame:
+    """``"N/100"`` for the mark of the evaluation text."""
+    return df.withColumn(out, _label(mark_digits(text_col)))
 
 
-def pass_status(df: DataFrame, marks_col: str = "marks", out: str = "status") -> DataFrame:
-    """PASS when marks >= 50, FAIL below, null for a null mark."""
-    return df.withColumn(out, _status(marks_col))
+def pass_status(df: DataFrame, text_col: str = "result", out: str = "status") -> DataFrame:
+    """PASS when the text's mark is 50 or more, FAIL below, null for a null text."""
+    return df.withColumn(out, _status(mark_digits(text_col)))
 
 
 def stamp_saved_at(df: DataFrame) -> DataFrame:
@@ -49,11 +50,11 @@ def result_build(raw: DataFrame) -> DataFrame:
     """
     if "saved_at" not in raw.columns:
         raw = stamp_saved_at(raw)
-    m = first_int("result")
-    return raw.select(
+    d = F.col("_digits")
+    return raw.withColumn("_digits", mark_digits("result")).select(
         "record_id", "examiner_name", "student_name", "roll_number", "department",
-        "project_title", "result", m.alias("marks"), _label(m).alias("marks_label"),
-        _status(m).alias("status"), "saved_at",
+        "project_title", "result", d.try_cast("bigint").alias("marks"), _label(d).alias("marks_label"),
+        _status(d).alias("status"), "saved_at",
     ).select(*RESULT_COLUMNS)
 
 

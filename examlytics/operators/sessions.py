@@ -38,29 +38,53 @@ def voice_upsert(voice: DataFrame, keys=("session_id", "idx")) -> DataFrame:
             .where(F.col("answer").isNotNull()))
 
 
-def _answered_mask(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSION) -> DataFrame:
-    """Per session: bit i set when slot i (0 <= i < n_questions) holds a
-    non-blank answer.  A bounded (one long) partial aggregate, so skewed
-    sessions do not matter."""
-    if not 0 < n_questions <= 63:
-        raise ValueError("n_questions must be in 1..63")
-    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(idx AS INT))")
-    counted = (ustrip("answer") != F.lit("")) & F.col("idx").between(0, n_questions - 1)
-    return answer_log.groupBy("session_id").agg(
-        F.bit_or(F.when(counted, bit).otherwise(F.lit(0).cast("bigint"))).alias("mask"))
-
-
-def progress(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSION) -> DataFrame:
+def merge_channels(typed: DataFrame, voice: DataFrame, keys=("session_id", "idx")) -> DataFrame:
+    """One answer log of both channels: typed answers (answer) and voice answers (raw, a transcription
+    response, normalised).  Blank ones are dropped; the last write per slot then wins across channels
+    (:func:`answer_upsert`)."""
+    staged = voice.select(*keys, "ts", "event_id", "raw", parsed("raw").alias("_v"))
+    spoken = staged.select(*keys, transcription_text("raw", v="_v").alias("answer"), "ts", "event_id")
+    return blank_answer_filter(typed.select(*keys, "answer", "ts", "event_id")).unionByName(blank_answer_filter(spoken))
+
+
+def answered_slots(answer_log: DataFrame) -> DataFrame:
+    """The distinct (session_id, idx) with a non-blank answer.  Combined before
+    the shuffle, so a hot session sends one row per slot and map partition;
+    there is no limit on the number of slots."""
+    return (answer_log.where((ustrip("answer") != F.lit("")) & (F.col("idx") >= 0))
+            .select("session_id", "idx").distinct())
+
+
+def _per_session(answer_log: DataFrame, sessions: DataFrame | None, n_questions: int) -> DataFrame:
+    """(session_id, _n, answered, first_open) of every session: answered slots below the session's own
+    number of questions, and the length of the answered run from slot 0.
+
+    ``sessions`` (session_id and, if they differ, n_questions) lists every session, with or
+    without submissions; without it every session of the log has ``n_questions``.
+    """
+    base = (answer_log.select("session_id").distinct().withColumn("_n", F.lit(n_questions).cast("bigint")) if sessions is None
+            else sessions.select("session_id", (F.col("n_questions") if "n_questions" in sessions.columns else F.lit(n_questions))
+                                 .cast("bigint").alias("_n")))
+    slots = answered_slots(answer_log).join(base, "session_id").where(F.col("idx") < F.col("_n"))
+    # distinct slots in order: idx equals its rank exactly on the unbroken run from 0
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy("idx")) - 1
+    counted = slots.withColumn("_run", (rank == F.col("idx")).cast("int")).groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("answered"), F.sum("_run").alias("first_open"))
+    zero = F.lit(0).cast("bigint")
+    return base.join(counted, "session_id", "left").select(
+        "session_id", "_n", F.coalesce("answered", zero).alias("answered"), F.coalesce("first_open", zero).alias("first_open"))
+
+
+def progress(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSION,
+             sessions: DataFrame | None = None) -> DataFrame:
     """Per session: answered slots, ``int(i / n * 100)``, completion, label."""
-    m = _answered_mask(answer_log, n_questions)
-    answered = F.bit_count("mask").cast("bigint")
-    return m.select(
-        "session_id", answered.alias("answered"),
-        progress_percent(answered, F.lit(n_questions)).alias("progress_pct"),
-        (answered >= n_questions).alias("complete"),
-        F.when(answered >= n_questions, F.lit("complete")).otherwise(
-            F.concat(F.lit("Question "), (answered + 1).cast("string"),
-                     F.lit(f" / {n_questions}"))).alias("label"))
+    n = F.col("_n")
+    done = F.col("answered") >= n
+    return _per_session(answer_log, sessions, n_questions).select(
+        "session_id", "answered",
+        F.when(n > 0, progress_percent("answered", "_n")).otherwise(F.lit(0)).alias("progress_pct"), done.alias("complete"),
+        F.when(done, F.lit("complete")).otherwise(
+            F.concat(F.lit("Question "), (F.col("answered") + 1).cast("string"), F.lit(" / "), n.cast("string"))).alias("label"))
 
 
 def final_gate(answer_log: DataFrame, sessions: DataFrame | None = None, mode: str = K.MODE_EXAM,
@@ -71,14 +95,10 @@ def final_gate(answer_log: DataFrame, sessions: DataFrame | None = None, mode: s
     ``sessions`` (session_id, mode, n_questions) gives both per session;
     without it every session has ``mode`` and ``n_questions``.
     """
-    p = progress(answer_log, n_questions).select("session_id", "answered")
-    if sessions is None:
-        s_mode, s_n = F.lit(mode), F.lit(n_questions)
-    else:
-        p = p.join(sessions.select("session_id", "mode", F.col("n_questions").alias("_n")), "session_id")
-        s_mode, s_n = F.col("mode"), F.col("_n")
-    ready = (s_mode == K.MODE_EXAM) & (s_n > 0) & (F.col("answered") >= s_n)
-    return p.where(ready).select("session_id", "answered")
+    p = _per_session(answer_log, sessions, n_questions)
+    modes = p.select("session_id").withColumn("mode", F.lit(mode)) if sessions is None else sessions.select("session_id", "mode")
+    return (p.where((F.col("_n") > 0) & (F.col("answered") >= F.col("_n")))
+            .join(modes.where(F.col("mode") == K.MODE_EXAM), "session_id").select("session_id", "answered"))
 
 
 def resume_point(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSION,
@@ -86,20 +106,11 @@ def resume_point(answer_log: DataFrame, n_questions: int = K.QUESTIONS_PER_SESSI
     """Unfinished sessions and the first slot still unanswered (0-based).
 
     Finished sessions are left out; a session with only blank submissions
-    resumes at 0.  With ``sessions`` (one row per session_id, e.g. every
-    session that has questions), sessions without any submission are
-    included and resume at 0.  Computed from the per-session bit mask, no
-    anti-join.
+    resumes at 0.  With ``sessions`` (session_id, n_questions) the sessions
+    without any submission are included, and those without questions left out.
     """
-    m = _answered_mask(answer_log, n_questions)
-    if sessions is not None:
-        m = sessions.select("session_id").join(m, "session_id", "left").select(
-            "session_id", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))
-    first_open = F.expr(
-        f"array_min(filter(sequence(CAST(0 AS BIGINT), CAST({n_questions - 1} AS BIGINT)),"
-        " i -> (shiftright(mask, CAST(i AS INT)) & 1) = 0))")
-    return (m.select("session_id", first_open.alias("resume_idx"))
-            .where(F.col("resume_idx").isNotNull()))
+    return (_per_session(answer_log, sessions, n_questions).where(F.col("first_open") < F.col("_n"))
+            .select("session_id", F.col("first_open").alias("resume_idx")))
 
 
 def transcript_assemble(questions: DataFrame, answers: DataFrame | None = None,
@@ -107,8 +118,9 @@ def transcript_assemble(questions: DataFrame, answers: DataFrame | None = None,
     """Numbered question/answer blocks in question order, '' for a missing
     answer.  ``questions``: (key, idx, question); ``answers``: (key, idx,
     answer), at most one row per slot (after :func:`answer_upsert`), or None
-    when ``questions`` already carries an ``answer`` column.  The list per
-    session is bounded by the number of questions."""
+    when ``questions`` already carries an ``answer`` column.  Questions are a
+    session's final list (six, from the question operators), which bounds the
+    list that is gathered here."""
     j = questions if answers is None else questions.join(answers, [key, "idx"], "left")
     block = F.concat(
         F.lit("Q"), (F.col("idx") + 1).cast("string"), F.lit(": "), F.coalesce("question", F.lit("")),

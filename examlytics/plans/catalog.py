@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import dashboard as D
 from ..operators import parse as P
 from ..operators import prompts as B
@@ -35,6 +36,7 @@ LITERAL_FILES = [
     ("archive.zip", "application/zip"),
 ]
 LITERAL_LABELS = [(-1, "absent"), (-2, ""), (-3, None), (-4, "N/A"), (-5, "nan")]
+STRIP_AROUND = " \t\u00a0\u3000\x1c\n"
 URL_PATH = r"^[a-zA-Z]+://[^/?#]*([^?#]*)"
 
 
@@ -42,8 +44,17 @@ def results(spark: SparkSession, sf_dir: str, students: bool = True) -> DataFram
     return R.result_build(fx.results_raw(spark, sf_dir, students))
 
 
+LITERAL_RESULTS = [(-1, "score " + "9" * 25), (-2, "0" * 30 + "7"), (-3, "\u0668\u0665 of \u0661\u0660\u0660"), (-4, "no mark"),
+                   (-5, None), (-6, "049"), (-7, "050"), (-8, "\U0001d7d3\U0001d7ce/100"), (-9, "\u00b2 and 7")]
+
+
+def _result_texts(spark, sf_dir):
+    """Documents as evaluation texts, and literals: runs beyond bigint, leading zeros, digits of other scripts."""
+    return fx.result_text(spark, sf_dir).unionByName(literal_frame(spark, LITERAL_RESULTS, "doc_id bigint, text string"))
+
+
 def _docs_marks(spark, sf_dir):
-    return R.mark_extract(fx.result_text(spark, sf_dir), "text")
+    return R.mark_extract(_result_texts(spark, sf_dir), "text")
 
 
 def _saved_results(spark, sf_dir):
@@ -71,7 +82,7 @@ def _ingest_files(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    docs = R.mark_label(_docs_marks(spark, sf_dir)).select(
+    docs = R.mark_label(_docs_marks(spark, sf_dir), "text").select(
         F.col("doc_id").alias("label_id"), "marks_label")
     return docs.unionByName(literal_frame(spark, LITERAL_LABELS, "label_id bigint, marks_label string"))
 
@@ -81,43 +92,41 @@ def _stream_dir(spark, name):
     return f"{base}/checkpoint", f"{base}/sink"
 
 
+def _stream_input(spark, sf_dir):
+    """The events as a stream of several micro-batches: written in four files, dealt by a hash (so out of time
+    order), and read two at a time."""
+    path = scratch_path(spark, "stream-input")
+    read_table(spark, sf_dir, "events").repartition(4, F.xxhash64("event_id")).write.parquet(path)
+    return G.read_event_stream(spark, path, max_files_per_trigger=2)
+
+
 def _violations_stream(spark, sf_dir):
     ck, sink = _stream_dir(spark, "violations")
-    q = G.violations_stream(G.read_event_stream(spark, G.table_glob(sf_dir, "events")), ck, sink)
-    q.awaitTermination()
+    # the four files mix all days, so the delay spans the input
+    G.violations_stream(fx.proctor_of(_stream_input(spark, sf_dir)), ck, sink, delay="400 days").awaitTermination()
     return G.last_per_key(spark, sink, ["session_id"], "session_id string, n_violations bigint, must_end boolean")
 
 
 def _answers_stream(spark, sf_dir):
     ck, sink = _stream_dir(spark, "answers")
-    q = G.answers_stream(G.read_event_stream(spark, G.table_glob(sf_dir, "events")), ck, sink)
-    q.awaitTermination()
+    G.answers_stream(fx.answers_of(_stream_input(spark, sf_dir)), ck, sink, delay="400 days").awaitTermination()
     return G.last_per_key(spark, sink, ["session_id", "idx"], "session_id string, idx bigint, answer string")
 
 
 def _terminations_stream(spark, sf_dir):
     ck, sink = _stream_dir(spark, "terminations")
-    q = G.terminations_stream(G.read_event_stream(spark, G.table_glob(sf_dir, "events")), ck, sink)
-    q.awaitTermination()
-    return _read_sink(spark, sink, G.TERMINATION_OUTPUT)
-
-
-def _read_sink(spark, sink, schema):
-    try:
-        return spark.read.schema(schema).parquet(sink)
-    except Exception as exc:  # noqa: BLE001 - a stream that saw no input wrote nothing
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return literal_frame(spark, [], schema)
+    G.terminations_stream(fx.proctor_of(_stream_input(spark, sf_dir)), ck, sink).awaitTermination()
+    return G.terminations(spark, sink)
 
 
 def _results_stream(spark, sf_dir):
-    ck, sink = _stream_dir(spark, "results")
+    """Half of the records appended as a batch, half by the stream, into one store."""
+    ck, store = _stream_dir(spark, "results")
     customers = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
-    q = G.results_stream(G.read_event_stream(spark, G.table_glob(sf_dir, "events")), customers, ck, sink)
-    q.awaitTermination()
-    # The file sink's metadata log makes the read see committed files only.
-    return results_store.saved_results(spark, sink)
+    odd = F.col("record_id").cast("bigint") % 2 == 1
+    results_store.results_append(results(spark, sf_dir).where(odd), store)
+    G.results_stream(fx.records_of(_stream_input(spark, sf_dir), customers).where(~odd), ck, store).awaitTermination()
+    return results_store.saved_results(spark, store)
 
 
 def _department_distribution(spark, sf_dir):
@@ -150,13 +159,23 @@ def _turns(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
 
 
-def _parsed_questions(spark, sf_dir):
-    """Q-lines of each conversation's response, parsed line by line (the
+def _question_lines(spark, sf_dir):
+    """Lines of each conversation's response (the
     response is the turns joined as ``Q<turn+1>: <text>``; see
     fixtures.raw_questions for the one-string form)."""
     label = F.concat(F.lit("Q"), (F.col("turn") + 1).cast("string"), F.lit(": "))
-    lines = P.response_lines(_turns(spark, sf_dir), "conv_id", "turn", "text", label)
-    return P.question_lines_parse(lines, "conv_id", "turn")
+    return P.response_lines(_turns(spark, sf_dir), "conv_id", "turn", "text", label)
+
+
+def _parsed_questions(spark, sf_dir):
+    return P.question_lines_parse(_question_lines(spark, sf_dir), "conv_id", "turn")
+
+
+def _transcripts(spark, sf_dir):
+    """The six questions of each conversation joined to the last answer of either channel."""
+    keys = ("conv_id", "idx")
+    answers = S.answer_upsert(S.merge_channels(*fx.exam_answers(spark, sf_dir), keys=keys), keys)
+    return S.transcript_assemble(P.question_lines_limit(_question_lines(spark, sf_dir), "conv_id", "turn"), answers)
 
 
 def _answer_log(spark, sf_dir):
@@ -181,30 +200,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prompt_questions": lambda s, d: B.prompt_questions(fx.settings(s, d)),
     "prompt_eval": lambda s, d: B.prompt_eval(fx.qa(s, d)),
     "prompt_model_answer": lambda s, d: B.prompt_model_answer(fx.qa(s, d), fx.result_text(s, d)),
-    "prompt_final": lambda s, d: B.prompt_final(S.transcript_assemble(fx.qa(s, d)),
-                                                fx.sessions_students(s, d)),
+    "prompt_final": lambda s, d: B.prompt_final(_transcripts(s, d), fx.sessions_students(s, d)),
     # C: response parsing and result records
     "completion_extract": lambda s, d: P.completion_extract(fx.responses(s, d)),
     "completion_state": lambda s, d: P.completion_state(fx.responses(s, d)),
     "question_parse": _parsed_questions,
-    "question_fallback": lambda s, d: P.question_lines_final(_parsed_questions(s, d), _turns(s, d), "conv_id",
-                                                             limit=False),
-    "question_limit": lambda s, d: P.question_lines_final(_parsed_questions(s, d), _turns(s, d), "conv_id"),
+    "question_fallback": lambda s, d: P.question_lines_final(_parsed_questions(s, d), _turns(s, d), "conv_id"),
+    "question_limit": lambda s, d: P.question_lines_limit(_question_lines(s, d), "conv_id", "turn"),
+    "question_chain": lambda s, d: P.questions_from_responses(fx.question_responses(s, d), section_col="section"),
     "transcription_normalize": lambda s, d: P.transcription_normalize(fx.transcriptions(s, d)),
     "mark_extract": lambda s, d: _docs_marks(s, d).select("doc_id", "marks"),
-    "mark_label": lambda s, d: R.mark_label(_docs_marks(s, d)).select("doc_id", "marks", "marks_label"),
-    "pass_status": lambda s, d: R.pass_status(_docs_marks(s, d)).select("doc_id", "marks", "status"),
+    "mark_label": lambda s, d: R.mark_label(_docs_marks(s, d), "text").select("doc_id", "marks", "marks_label"),
+    "pass_status": lambda s, d: R.pass_status(_docs_marks(s, d), "text").select("doc_id", "marks", "status"),
     "result_build": lambda s, d: results(s, d),
+    "strip": lambda s, d: fx.result_text(s, d).select("doc_id", T.ustrip(F.concat(
+        F.lit(STRIP_AROUND), "text", F.lit(STRIP_AROUND))).alias("stripped")),
+    "saved_at_text": lambda s, d: results(s, d, students=False).select("record_id", R.saved_at_text().alias("saved_at_text")),
     "marks_reparse": lambda s, d: R.marks_reparse(_labels(s, d)),
     # D/H: session state
-    "transcript_assemble": lambda s, d: S.transcript_assemble(fx.qa(s, d)),
+    "transcript_assemble": _transcripts,
     "answer_upsert": lambda s, d: S.answer_upsert(S.blank_answer_filter(_answer_log(s, d))),
     "voice_upsert": lambda s, d: S.voice_upsert(fx.voice_log(s, d)),
     "blank_answer_filter": lambda s, d: S.blank_answer_filter(_answer_log(s, d)).select(
         "session_id", "idx", "answer", "ts", "event_id"),
     "progress": lambda s, d: S.progress(_answer_log(s, d)),
-    "final_gate": lambda s, d: S.final_gate(_answer_log(s, d)),
-    "resume_point": lambda s, d: S.resume_point(_answer_log(s, d)),
+    "final_gate": lambda s, d: S.final_gate(_answer_log(s, d), fx.sessions(s, d)),
+    "resume_point": lambda s, d: S.resume_point(_answer_log(s, d), sessions=fx.sessions(s, d)),
+    "active_final_gate": lambda s, d: S.exclude_terminated(
+        S.final_gate(_answer_log(s, d), fx.sessions(s, d)), S.violations_terminate(fx.session_proctor(s, d))),
+    "active_resume_point": lambda s, d: S.exclude_terminated(
+        S.resume_point(_answer_log(s, d), sessions=fx.sessions(s, d)), S.violations_terminate(fx.session_proctor(s, d))),
     "violations_terminate": lambda s, d: S.violations_terminate(fx.proctor(s, d)),
     # E: dashboard
     "overview_kpis": lambda s, d: D.overview_kpis(results(s, d, students=False)),

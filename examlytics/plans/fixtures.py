@@ -31,8 +31,13 @@ def results_raw(spark: SparkSession, sf_dir: str, students: bool = True) -> Data
     beyond it.
     """
     ev = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "props")
-    if students:
-        cu = read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
+    return records_of(ev, read_table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment") if students else None)
+
+
+def records_of(ev: DataFrame, customers: DataFrame | None) -> DataFrame:
+    """Events (a table or a stream) as saved evaluations."""
+    if customers is not None:
+        cu = customers.select("c_custkey", "c_name", "c_mktsegment")
         ev = ev.join(cu, ev.user_id == cu.c_custkey, "left")
         name, dept = F.col("c_name"), F.col("c_mktsegment")
     else:
@@ -106,6 +111,18 @@ BAD_RESPONSES = [
 ]
 
 
+def question_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question-generation replies of sessions: a text's numbered sentences as completions, with each document's section,
+    and the broken replies.  Documents of few sentences have too few questions."""
+    docs = settings(spark, sf_dir).select("doc_id", "section", "text")
+    part = F.transform(F.slice(F.split("text", r"\. |\.\n"), 1, 7), lambda x, i: F.concat(F.lit("Q"), (i + 1).cast("string"), F.lit(": "), x))
+    content = F.array_join(part, "\n")
+    derived = docs.select(F.concat(F.lit("q:"), F.col("doc_id").cast("string")).alias("prompt_id"),
+                          F.when(F.col("doc_id") % 8 != 7, F.col("section")).alias("section"), _chat_json(content).alias("raw"))
+    bad = literal_frame(spark, [(i, "Logical", r) for i, _, r in BAD_RESPONSES], "prompt_id string, section string, raw string")
+    return derived.unionByName(bad)
+
+
 def _chat_json(content_col):
     return F.to_json(F.struct(F.array(F.struct(F.struct(content_col.alias("content")).alias("message"))).alias("choices")))
 
@@ -150,16 +167,62 @@ def transcriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.unionByName(bad)
 
 
-def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answer submissions: session = (user, week of month), slot = event_id % 6,
-    'view' events submit a blank answer."""
-    ev = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "props")
+SLOTS = 8
+
+
+def week_session(user="user_id", ts="ts"):
+    """Session of an answer: user, year, month and week of the month."""
+    week = F.floor((F.dayofmonth(ts) - 1) / 7)
+    return F.concat(F.col(user).cast("string"), F.lit("-"), F.date_format(ts, "yyyy-MM"), F.lit("-"), week.cast("string"))
+
+
+def answers_of(ev: DataFrame) -> DataFrame:
+    """Events (a table or a stream) as answer submissions: slot = event_id % 8, 'view' events submit a
+    blank answer.  session_start is the first day of the session's week, as an instant."""
     week = F.floor((F.dayofmonth("ts") - 1) / 7)
+    start_day = F.unix_date(F.trunc(F.to_date("ts"), "month")) + week * 7
     return ev.select(
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), week.cast("string")).alias("session_id"),
-        (F.col("event_id") % K.QUESTIONS_PER_SESSION).alias("idx"),
+        week_session().alias("session_id"), (F.col("event_id") % SLOTS).alias("idx"),
         F.when(F.col("event_type") == "view", F.lit("  ")).otherwise(F.col("props")).alias("answer"),
-        "ts", "event_id", "event_type")
+        "ts", "event_id", "event_type", F.timestamp_seconds(start_day * 86400).alias("session_start"))
+
+
+def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers_of(_events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "props")).drop("session_start")
+
+
+def exam_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Typed and spoken submissions of the exam on a conversation's questions: the user's key is the
+    conversation's, slot = event_id % 6, 'view' is blank, 'error' and 'click' are spoken ('error': failed)."""
+    ev = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "props").select(
+        F.col("user_id").alias("conv_id"), (F.col("event_id") % K.QUESTIONS_PER_SESSION).alias("idx"), "ts", "event_id", "event_type",
+        F.when(F.col("event_type") == "view", F.lit("  ")).otherwise(F.col("props")).alias("answer"))
+    spoken = F.col("event_type").isin("error", "click")
+    raw = (F.when(F.col("event_type") == "error", F.concat(F.lit('{"error": '), F.col("answer"), F.lit("}")))
+           .otherwise(F.to_json(F.struct(F.col("answer").alias("text")))))
+    return ev.where(~spoken), ev.where(spoken).withColumn("raw", raw)
+
+
+QUESTION_COUNTS = [0, 3, 6, 8]
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session with its mode and number of questions: those with submissions, and one per customer
+    without any.  Both modes and all counts occur, sessions without questions included."""
+    ev = _events(spark, sf_dir, "ts", "user_id").select(F.col("user_id").alias("u"), week_session().alias("session_id")).distinct()
+    cu = read_table(spark, sf_dir, "customer", "c_custkey").select(
+        F.col("c_custkey").alias("u"), F.concat(F.col("c_custkey").cast("string"), F.lit("-none")).alias("session_id"))
+    modes, counts = (F.array(*[F.lit(v) for v in values]) for values in (K.MODES, QUESTION_COUNTS))
+    return ev.unionByName(cu).select(
+        "session_id", F.element_at(modes, (F.col("u") % 2 + 1).cast("int")).alias("mode"),
+        F.element_at(counts, (F.floor(F.col("u") / 2) % len(QUESTION_COUNTS) + 1).cast("int")).alias("n_questions"))
+
+
+def session_proctor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations within the answer sessions (the 'error' events)."""
+    ev = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")
+    return ev.where(F.col("event_type") == "error").select(
+        week_session().alias("session_id"), F.col("event_type").alias("kind"), "ts", "event_id")
 
 
 def voice_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,15 +235,18 @@ def voice_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.select("session_id", "idx", raw.alias("raw"), "ts", "event_id")
 
 
-def proctor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proctoring violations: error/click events, session = (user, day)."""
-    ev = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")
+def proctor_of(ev: DataFrame) -> DataFrame:
+    """Events (a table or a stream) as proctoring violations: error/click, session = (user, day)."""
     return ev.where(F.col("event_type").isin("error", "click")).select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"),
                  F.to_date("ts").cast("string")).alias("session_id"),
         F.col("event_type").alias("kind"), "ts", "event_id")
 
 
+def proctor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proctor_of(_events(spark, sf_dir, "event_id", "ts", "user_id", "event_type"))
+
+
 UNKNOWN_SECTION = "Viva Lite"
 UNKNOWN_DIFFICULTY = "Impossible"
 UNKNOWN_STYLE = "Calm Mentor"
@@ -198,15 +264,22 @@ def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
         arr = F.array(*[F.lit(v) for v in values])
         return F.element_at(arr, (F.col("doc_id") % len(values) + 1).cast("int"))
 
-    return docs.select("doc_id", pick(K.MODES).alias("mode"), pick(sections).alias("section"),
+    mode = F.when(F.col("doc_id") % 7 != 3, pick(K.MODES))  # some rows have no mode
+    return docs.select("doc_id", mode.alias("mode"), pick(sections).alias("section"),
                        pick(diffs).alias("difficulty"), pick(styles).alias("style"), "text")
 
 
 def upload_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploaded file bytes: the document text in UTF-8 plus one invalid byte."""
+    """Uploaded file bytes: the document text in UTF-8, as it is or with an invalid byte at the start, in the middle or at
+    the end, or with a character cut short."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.select("doc_id", F.concat(F.encode("text", "UTF-8"),
-                                          F.lit(bytearray(b"\xff"))).alias("content"))
+    text, kind = F.encode("text", "UTF-8"), F.col("doc_id") % 5
+    bad = F.lit(bytearray(b"\xff"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    middle = F.concat(F.encode(F.substr("text", F.lit(1), half), "UTF-8"), bad, F.encode(F.substr("text", half + 1), "UTF-8"))
+    cut_short = F.lit(bytearray(b"\xe2\x82"))  # the first two bytes of a three-byte character
+    return docs.select("doc_id", F.when(kind == 0, text).when(kind == 1, F.concat(bad, text)).when(kind == 2, middle)
+                       .when(kind == 3, F.concat(text, cut_short)).otherwise(F.concat(text, bad)).alias("content"))
 
 
 def sessions_students(spark: SparkSession, sf_dir: str) -> DataFrame:

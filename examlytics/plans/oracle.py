@@ -9,6 +9,7 @@ plain definition (anti joins, QUALIFY, a global row_number).
 from __future__ import annotations
 
 from ..functions import constants as K
+from ..functions import questions as Q
 from ..operators import parse as P
 from ..operators import prompts as B
 from ..sources import ingest as I
@@ -27,9 +28,27 @@ def strip(x: str) -> str:
     return f"trim({x}, {WS})"
 
 
+def _digit_tables() -> tuple[str, str]:
+    import unicodedata
+    chars = [chr(c) for c in range(0x80, 0x110000) if unicodedata.decimal(chr(c), None) is not None]
+    return "".join(chars), "".join(str(unicodedata.decimal(c)) for c in chars)
+
+
+DIGITS = _digit_tables()
+
+
+def mark_text(x: str) -> str:
+    """Digits of the first run, in ASCII, without leading zeros; '0' without digits; null for null."""
+    d = f"ltrim(translate(regexp_extract({x}, '(\\p{{Nd}}+)', 1), {q(DIGITS[0])}, {q(DIGITS[1])}), '0')"
+    return f"(CASE WHEN {d} = '' THEN '0' ELSE {d} END)"
+
+
 def first_int(x: str) -> str:
-    d = f"regexp_extract({x}, '([0-9]+)', 1)"
-    return f"(CASE WHEN {d} = '' THEN CAST(0 AS BIGINT) ELSE TRY_CAST({d} AS BIGINT) END)"
+    return f"TRY_CAST({mark_text(x)} AS BIGINT)"
+
+
+def status(digits: str) -> str:
+    return f"CASE WHEN {digits} IS NULL THEN NULL WHEN TRY_CAST({digits} AS DOUBLE) >= 50 THEN 'PASS' ELSE 'FAIL' END"
 
 
 def lst(values) -> str:
@@ -42,22 +61,47 @@ def values(rows, cols) -> str:
     return f"(SELECT * FROM (VALUES {body}) t({', '.join(cols)}))"
 
 
+WEEK_SESSION = "CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m') || '-' || CAST((day(ts) - 1) // 7 AS VARCHAR)"
+
+_J = "TRY_CAST(raw AS JSON)"
+STATE = f"""CASE
+            WHEN {_J} IS NULL THEN 'failed'
+            WHEN json_type({_J}) NOT IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN 'failed'
+            WHEN json_type({_J}) = 'OBJECT' AND NOT list_contains(json_keys({_J}), 'choices') THEN 'no_choices'
+            WHEN json_type({_J}) = 'ARRAY'
+                 AND NOT coalesce(list_contains(json_extract_string({_J}, '$[*]'), 'choices'), false) THEN 'no_choices'
+            WHEN json_type({_J}) = 'VARCHAR' AND strpos(json_extract_string({_J}, '$'), 'choices') = 0 THEN 'no_choices'
+            WHEN json_type({_J}) = 'OBJECT'
+                 AND coalesce(json_type({_J}, '$.choices[0].message.content') = 'VARCHAR', false) THEN 'ok'
+            ELSE 'failed' END"""
+
+
+def question_list(raw: str) -> str:
+    return f"""list_filter(list_transform(list_filter(list_transform(
+        string_split({raw}, chr(10)), lambda x: {strip('x')}),
+        lambda x: starts_with(x, 'Q') AND contains(x, ':')),
+        lambda x: {strip("substr(x, strpos(x, ':') + 1)")}), lambda x: x <> '')"""
+
+
 VIEWS = {
     "results_raw": """SELECT CAST(e.event_id AS VARCHAR) AS record_id, e.event_type AS examiner_name,
         c.c_name AS student_name, CAST(e.user_id AS VARCHAR) AS roll_number, c.c_mktsegment AS department,
         'Project ' || CAST(e.event_id AS VARCHAR) AS project_title, e.props AS result, e.ts AS saved_at
         FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey""",
     "results": f"""SELECT record_id, examiner_name, student_name, roll_number, department, project_title, result,
-        marks, CAST(marks AS VARCHAR) || '/100' AS marks_label,
-        CASE WHEN marks >= 50 THEN 'PASS' WHEN marks < 50 THEN 'FAIL' END AS status, saved_at
-        FROM (SELECT *, {first_int('result')} AS marks FROM results_raw)""",
-    "doc_marks": f"SELECT doc_id, {first_int('text')} AS marks FROM documents",
+        TRY_CAST(digits AS BIGINT) AS marks, digits || '/100' AS marks_label, {status('digits')} AS status, saved_at
+        FROM (SELECT *, {mark_text('result')} AS digits FROM results_raw)""",
+    "doc_marks": f"""SELECT doc_id, digits, TRY_CAST(digits AS BIGINT) AS marks FROM (
+        SELECT doc_id, {mark_text('text')} AS digits FROM (SELECT doc_id, text FROM documents
+          UNION ALL SELECT * FROM {values(C.LITERAL_RESULTS, ['doc_id', 'text'])}))""",
     "raw_questions": """SELECT conv_id, string_agg('Q' || CAST(turn + 1 AS VARCHAR) || ': ' || text, chr(10)
         ORDER BY turn) AS raw FROM conversations GROUP BY conv_id""",
-    "parsed": f"""SELECT conv_id, list_filter(list_transform(list_filter(list_transform(
-        string_split(raw, chr(10)), lambda x: {strip('x')}),
-        lambda x: starts_with(x, 'Q') AND contains(x, ':')),
-        lambda x: {strip("substr(x, strpos(x, ':') + 1)")}), lambda x: x <> '') AS qs FROM raw_questions""",
+    "parsed": f"SELECT conv_id, {question_list('raw')} AS qs FROM raw_questions",
+    "question_responses": f"""SELECT 'q:' || CAST(doc_id AS VARCHAR) AS prompt_id, CASE WHEN doc_id % 8 <> 7 THEN section END AS section,
+          CAST(to_json({{'choices': [{{'message': {{'content': array_to_string(list_transform(range(1, 1 + len(p)),
+            lambda i: 'Q' || CAST(i AS VARCHAR) || ': ' || p[i]), chr(10))}}}}]}}) AS VARCHAR) AS raw
+          FROM (SELECT doc_id, section, string_split_regex(text, '\\. |\\.\\n')[1:7] AS p FROM settings)
+        UNION ALL SELECT prompt_id, 'Logical', raw FROM {values(fx.BAD_RESPONSES, ['prompt_id', 'kind', 'raw'])}""",
     "qa": """SELECT u.conv_id, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) - 1 AS idx,
         u.text AS question, a.text AS answer
         FROM conversations u LEFT JOIN conversations a
@@ -72,15 +116,21 @@ VIEWS = {
     "transcriptions": f"""SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS item_id,
           CAST(to_json({{'text': text}}) AS VARCHAR) AS raw FROM conversations WHERE role = 'user'
         UNION ALL SELECT * FROM {values(fx.BAD_TRANSCRIPTIONS, ['item_id', 'raw'])}""",
-    "answer_log": """SELECT CAST(user_id AS VARCHAR) || '-' || CAST((day(ts) - 1) // 7 AS VARCHAR) AS session_id,
-        event_id % 6 AS idx, CASE WHEN event_type = 'view' THEN '  ' ELSE props END AS answer,
+    "answer_log": f"""SELECT {WEEK_SESSION} AS session_id,
+        event_id % {fx.SLOTS} AS idx, CASE WHEN event_type = 'view' THEN '  ' ELSE props END AS answer,
         ts, event_id, event_type FROM events""",
     "voice_log": """SELECT session_id, idx, CASE WHEN event_type = 'error' THEN '{"error": ' || answer || '}'
         ELSE CAST(to_json({'text': answer}) AS VARCHAR) END AS raw, ts, event_id FROM answer_log""",
     "proctor": """SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id,
         event_type AS kind, ts, event_id FROM events WHERE event_type IN ('error', 'click')""",
+    "session_proctor": f"""SELECT {WEEK_SESSION} AS session_id, ts, event_id FROM events
+        WHERE event_type = 'error'""",
+    "sessions": f"""SELECT session_id, {lst(K.MODES)}[u % 2 + 1] AS mode,
+        {fx.QUESTION_COUNTS}[u // 2 % {len(fx.QUESTION_COUNTS)} + 1] AS n_questions FROM (
+          SELECT DISTINCT user_id AS u, {WEEK_SESSION} AS session_id FROM events
+          UNION ALL SELECT c_custkey, CAST(c_custkey AS VARCHAR) || '-none' FROM customer)""",
     "settings": f"""SELECT doc_id,
-        {lst(K.MODES)}[doc_id % 2 + 1] AS mode,
+        CASE WHEN doc_id % 7 <> 3 THEN {lst(K.MODES)}[doc_id % 2 + 1] END AS mode,
         {lst(K.PRACTICE_SECTIONS + K.EXAM_SECTIONS + [fx.UNKNOWN_SECTION])}[doc_id % 8 + 1] AS section,
         {lst(K.DIFFICULTIES + [fx.UNKNOWN_DIFFICULTY])}[doc_id % 5 + 1] AS difficulty,
         {lst(K.PRACTICE_STYLES + K.EXAM_STYLES + [fx.UNKNOWN_STYLE])}[doc_id % 10 + 1] AS style,
@@ -90,14 +140,14 @@ VIEWS = {
              WHEN mode = {q(K.MODE_PRACTICE)} THEN section IN {tuple(K.PRACTICE_SECTIONS)}
                   AND style IN {tuple(K.PRACTICE_STYLES)} AND difficulty IN {tuple(K.DIFFICULTIES)}
              ELSE false END AS valid, text
-        FROM (SELECT doc_id, mode, coalesce(section, {q(K.DEFAULT_SECTION)}) AS section,
-              CASE WHEN mode = {q(K.MODE_EXAM)} THEN {q(K.EXAM_DIFFICULTY)}
+        FROM (SELECT doc_id, coalesce(mode, {q(K.MODE_PRACTICE)}) AS mode, coalesce(section, {q(K.DEFAULT_SECTION)}) AS section,
+              CASE WHEN settings.mode = {q(K.MODE_EXAM)} THEN {q(K.EXAM_DIFFICULTY)}
                    ELSE coalesce(difficulty, {q(K.DEFAULT_DIFFICULTY)}) END AS difficulty,
               coalesce(style, {q(K.DEFAULT_STYLE)}) AS style, text FROM settings)""",
 }
 DEPENDS = {
     "results": ["results_raw"], "parsed": ["raw_questions"], "responses": ["qa"],
-    "voice_log": ["answer_log"], "resolved": ["settings"],
+    "question_responses": ["settings"], "voice_log": ["answer_log"], "resolved": ["settings"],
 }
 
 
@@ -115,6 +165,11 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {ctes}\n{sql}"
 
 
+def _fallback_list(section_sql: str, rest: list[str]) -> str:
+    first = f"{q(Q.SECTION_OPENING[0])} || {section_sql} || {q(Q.SECTION_OPENING[1])}"
+    return "[" + first + ", " + ", ".join(q(r) for r in rest) + "]"
+
+
 def _map_case(col: str, mapping: dict, default: str) -> str:
     whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items())
     return f"(CASE {col} {whens} ELSE {q(default)} END)"
@@ -142,15 +197,19 @@ def transcription_case(raw: str) -> str:
              ELSE json_extract_string({j}, '$') END) END)"""
 
 
-def _fallback_list(section_sql: str) -> str:
-    items = ["Walk us through the ' || " + section_sql + " || ' side of your project."]
-    rest = ["How is your project put together, end to end?",
-            "Which tools and libraries did you pick, and why?",
-            "What happens inside the system when it handles one request?",
-            "Which problem took you the longest to solve?",
-            "What would you change if you had another month?"]
-    return "['" + items[0] + "', " + ", ".join(q(r) for r in rest) + "]"
-
+VIEWS["limited"] = f"""SELECT conv_id, unnest(generate_series(0, 5)) AS idx, unnest(
+    (CASE WHEN coalesce(len(qs), 0) < 6 THEN {_fallback_list(q(K.DEFAULT_SECTION), Q.SHORT_LIST_QUESTIONS)} ELSE qs END)[1:6]) AS question
+    FROM parsed"""
+VIEWS["exam_answers"] = f"""SELECT conv_id, idx, ts, event_id, CASE WHEN event_type = 'view' THEN '  '
+      WHEN event_type IN ('error', 'click') THEN {transcription_case('raw')} ELSE props END AS answer
+    FROM (SELECT user_id AS conv_id, event_id % 6 AS idx, ts, event_id, event_type, props,
+            CASE WHEN event_type = 'error' THEN '{{"error": ' || props || '}}'
+                 ELSE CAST(to_json({{'text': props}}) AS VARCHAR) END AS raw FROM events)"""
+VIEWS["exam"] = f"""SELECT l.conv_id, l.idx, l.question, a.answer FROM limited l LEFT JOIN (
+    SELECT conv_id, idx, answer FROM exam_answers WHERE {strip('answer')} <> ''
+    QUALIFY row_number() OVER (PARTITION BY conv_id, idx ORDER BY ts DESC, event_id DESC) = 1) a
+    ON a.conv_id = l.conv_id AND a.idx = l.idx"""
+DEPENDS |= {"limited": ["parsed"], "exam": ["limited", "exam_answers"]}
 
 NL = "chr(10)"
 RESULT_COLS = "*"
@@ -172,7 +231,7 @@ def _build() -> dict[str, str]:
            FROM results""", "results")
     for key, col in [("status_distribution", "status"), ("department_distribution", "department")]:
         o[key] = with_views(f"""SELECT {col}, count(*) AS n FROM results WHERE {col} IS NOT NULL
-            GROUP BY {col} ORDER BY n DESC, {col}""", "results")
+            GROUP BY {col} ORDER BY n DESC, min((saved_at, record_id)), {col}""", "results")
     o["marks_series"] = with_views(
         "SELECT row_number() OVER (ORDER BY saved_at, record_id) - 1 AS position, record_id, marks FROM results",
         "results")
@@ -235,8 +294,8 @@ def _build() -> dict[str, str]:
             'Ideal answer:') AS prompt FROM qa LEFT JOIN documents d ON d.doc_id = qa.conv_id""", "qa")
     transcript = f"""SELECT conv_id, string_agg('Q' || CAST(idx + 1 AS VARCHAR) || ': ' || coalesce(question, '')
             || {NL} || 'A' || CAST(idx + 1 AS VARCHAR) || ': ' || coalesce(answer, ''), {NL} || {NL} ORDER BY idx)
-            AS transcript FROM qa GROUP BY conv_id"""
-    o["transcript_assemble"] = with_views(transcript, "qa")
+            AS transcript FROM exam GROUP BY conv_id"""
+    o["transcript_assemble"] = with_views(transcript, "exam")
     o["prompt_final"] = with_views(
         f"""SELECT t.conv_id, concat_ws({NL}, 'Evaluate this oral examination as an external examiner.',
             'Name: ' || coalesce(c.c_name, ''), 'Roll: ' || coalesce(CAST(c.c_custkey AS VARCHAR), ''),
@@ -244,7 +303,7 @@ def _build() -> dict[str, str]:
             'Project: ' || coalesce('Project ' || CAST(c.c_custkey AS VARCHAR), ''),
             'Transcript:', coalesce(t.transcript, ''),
             'Give: overall score out of 100, technical skills, communication, strengths, weaknesses, final verdict.')
-            AS prompt FROM ({transcript}) t LEFT JOIN customer c ON c.c_custkey = t.conv_id""", "qa")
+            AS prompt FROM ({transcript}) t LEFT JOIN customer c ON c.c_custkey = t.conv_id""", "exam")
     # C
     fb = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in P.FALLBACK_BY_KIND.items())
     o["completion_extract"] = with_views(
@@ -252,29 +311,26 @@ def _build() -> dict[str, str]:
             content IS NULL AS failed FROM (SELECT prompt_id, kind,
               json_extract_string(TRY_CAST(raw AS JSON), '$.choices[0].message.content') AS content
             FROM responses)""", "responses")
-    j = "TRY_CAST(raw AS JSON)"
-    o["completion_state"] = with_views(
-        f"""SELECT prompt_id, CASE
-            WHEN {j} IS NULL THEN 'failed'
-            WHEN json_type({j}) NOT IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN 'failed'
-            WHEN json_type({j}) = 'OBJECT' AND NOT list_contains(json_keys({j}), 'choices') THEN 'no_choices'
-            WHEN json_type({j}) = 'ARRAY'
-                 AND NOT coalesce(list_contains(json_extract_string({j}, '$[*]'), 'choices'), false) THEN 'no_choices'
-            WHEN json_type({j}) = 'VARCHAR' AND strpos(json_extract_string({j}, '$'), 'choices') = 0 THEN 'no_choices'
-            WHEN json_type({j}) = 'OBJECT'
-                 AND coalesce(json_type({j}, '$.choices[0].message.content') = 'VARCHAR', false) THEN 'ok'
-            ELSE 'failed' END AS state FROM responses""", "responses")
+    o["completion_state"] = with_views(f"SELECT prompt_id, {STATE} AS state FROM responses", "responses")
     o["transcription_normalize"] = with_views(
         f"""SELECT item_id, t AS transcript, t = {q(K.TEXT_TRANSCRIPTION_FAILED)} AS failed
             FROM (SELECT item_id, {transcription_case('raw')} AS t FROM transcriptions)""", "transcriptions")
     o["question_parse"] = with_views(
         """SELECT conv_id, unnest(generate_series(0, len(qs) - 1)) AS idx, unnest(qs) AS question
            FROM parsed""", "parsed")
-    fallback = _fallback_list(q(K.DEFAULT_SECTION))
+    fallback = _fallback_list(q(K.DEFAULT_SECTION), Q.SHORT_LIST_QUESTIONS)
     o["question_fallback"] = with_views(
         f"""SELECT conv_id, unnest(generate_series(0, len(fq) - 1)) AS idx, unnest(fq) AS question, used_fallback
             FROM (SELECT conv_id, coalesce(len(qs), 0) < 6 AS used_fallback,
                   CASE WHEN coalesce(len(qs), 0) < 6 THEN {fallback} ELSE qs END AS fq FROM parsed)""", "parsed")
+    section = f"coalesce(section, {q(K.DEFAULT_SECTION)})"
+    o["question_chain"] = with_views(
+        f"""SELECT prompt_id, unnest(range(0, 6)) AS idx, unnest(CASE WHEN state = 'no_choices'
+              THEN {_fallback_list(section, Q.NO_CHOICES_QUESTIONS)}
+              WHEN state = 'ok' AND len(qs) >= 6 THEN qs[1:6] ELSE {_fallback_list(section, Q.SHORT_LIST_QUESTIONS)} END) AS question
+            FROM (SELECT prompt_id, section, {STATE} AS state,
+                  {question_list("json_extract_string(TRY_CAST(raw AS JSON), '$.choices[0].message.content')")} AS qs
+                  FROM question_responses)""", "question_responses")
     o["question_limit"] = with_views(
         f"""SELECT conv_id, unnest(generate_series(0, len(fq) - 1)) AS idx, unnest(fq) AS question
             FROM (SELECT conv_id, (CASE WHEN coalesce(len(qs), 0) < 6 THEN {fallback} ELSE qs END)[1:6] AS fq
@@ -282,14 +338,13 @@ def _build() -> dict[str, str]:
         "parsed")
     o["mark_extract"] = with_views("SELECT doc_id, marks FROM doc_marks", "doc_marks")
     o["mark_label"] = with_views(
-        "SELECT doc_id, marks, CAST(marks AS VARCHAR) || '/100' AS marks_label FROM doc_marks", "doc_marks")
+        "SELECT doc_id, marks, digits || '/100' AS marks_label FROM doc_marks", "doc_marks")
     o["pass_status"] = with_views(
-        "SELECT doc_id, marks, CASE WHEN marks >= 50 THEN 'PASS' WHEN marks < 50 THEN 'FAIL' END AS status "
-        "FROM doc_marks", "doc_marks")
+        f"SELECT doc_id, marks, {status('digits')} AS status FROM doc_marks", "doc_marks")
     o["marks_reparse"] = with_views(
         f"""SELECT label_id, marks_label,
             TRY_CAST(NULLIF(regexp_extract(marks_label, '([0-9]+)', 1), '') AS BIGINT) AS marks
-            FROM (SELECT doc_id AS label_id, CAST(marks AS VARCHAR) || '/100' AS marks_label FROM doc_marks
+            FROM (SELECT doc_id AS label_id, digits || '/100' AS marks_label FROM doc_marks
                   UNION ALL SELECT * FROM {values(C.LITERAL_LABELS, ['label_id', 'marks_label'])})""", "doc_marks")
     # D/H
     nonblank = f"{strip('answer')} <> ''"
@@ -309,14 +364,22 @@ def _build() -> dict[str, str]:
             answered >= 6 AS complete,
             CASE WHEN answered >= 6 THEN 'complete' ELSE 'Question ' || CAST(answered + 1 AS VARCHAR) || ' / 6' END
             AS label FROM ({answered})""", "answer_log")
-    o["final_gate"] = with_views(
-        f"SELECT session_id, answered FROM ({answered}) WHERE answered >= 6", "answer_log")
-    o["resume_point"] = with_views(
-        f"""SELECT s.session_id, min(r.range) AS resume_idx
-            FROM (SELECT DISTINCT session_id FROM answer_log) s CROSS JOIN range(0, 6) r
+    gate = f"""SELECT s.session_id, count(DISTINCT a.idx) AS answered FROM sessions s JOIN answer_log a
+            ON a.session_id = s.session_id AND a.idx < s.n_questions AND {strip('a.answer')} <> ''
+            WHERE s.mode = {q(K.MODE_EXAM)} GROUP BY s.session_id, s.n_questions
+            HAVING count(DISTINCT a.idx) = s.n_questions"""
+    resume = f"""SELECT s.session_id, min(r.range) AS resume_idx FROM sessions s
+            JOIN range(0, {max(fx.QUESTION_COUNTS)}) r ON r.range < s.n_questions
             WHERE NOT EXISTS (SELECT 1 FROM answer_log a WHERE a.session_id = s.session_id
                               AND a.idx = r.range AND {strip('a.answer')} <> '')
-            GROUP BY s.session_id""", "answer_log")
+            GROUP BY s.session_id"""
+    active = f"""session_id NOT IN (SELECT session_id FROM session_proctor GROUP BY session_id
+                 HAVING count(*) >= {K.VIOLATION_LIMIT})"""
+    for key, sql in [("final_gate", gate), ("resume_point", resume)]:
+        o[key] = with_views(sql, "answer_log", "sessions")
+        o[f"active_{key}"] = with_views(f"SELECT * FROM ({sql}) WHERE {active}", "answer_log", "sessions", "session_proctor")
+    o["strip"] = f"SELECT doc_id, {strip('text')} AS stripped FROM documents"
+    o["saved_at_text"] = "SELECT CAST(event_id AS VARCHAR) AS record_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS saved_at_text FROM events"
     o["violations_terminate"] = with_views(
         f"""SELECT k.session_id, c.n_violations, k.terminated_at, k.terminating_event_id
             FROM (SELECT session_id, ts AS terminated_at, event_id AS terminating_event_id FROM proctor

@@ -18,6 +18,14 @@ RESULTS = T.StructType([
     T.StructField("saved_at", T.TimestampNTZType()),
 ])
 
+#: Saved evaluations before marks are extracted, and proctoring violations (stream inputs).
+EVALUATIONS = T.StructType([f for f in RESULTS.fields if f.name not in ("marks", "marks_label", "status")])
+VIOLATIONS = T.StructType([
+    T.StructField("session_id", T.StringType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("event_id", T.LongType()),
+])
+
 RESULT_COLUMNS = [f.name for f in RESULTS.fields]
 
 EVENTS = T.StructType([

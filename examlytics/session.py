@@ -17,20 +17,23 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "examlytics") -> SparkSession:
-    """Local session for tests and the bench (cluster jobs take the
-    submitting session's settings; ``getOrCreate`` returns it if present).
+    """A session with this package's settings.
 
-    On a cluster set ``spark.sql.shuffle.partitions`` to about input bytes /
-    128 MB for the largest shuffle; AQE coalesces the small ones.
+    Without ``master`` (the jobs) the master, memory and shuffle partitions are
+    those of the submission: settings made in code would override them.  Tests
+    and the bench pass ``master`` and get a local session.  On a cluster set
+    ``spark.sql.shuffle.partitions`` to about input bytes / 128 MB for the
+    largest shuffle; AQE coalesces the small ones.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder.appName(app_name)
+    if master is not None:
+        builder = (builder.master(master).config("spark.ui.enabled", "false")
+                   .config("spark.ui.showConsoleProgress", "false")
+                   .config("spark.driver.memory", os.environ.get("EXAMLYTICS_DRIVER_MEMORY", "16g")))
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # ~128 MB per input split and per post-shuffle partition: fits executor
@@ -39,7 +42,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("EXAMLYTICS_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -18,9 +18,15 @@ def _decode_utf8_ignore(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
 
 
-def decode_text(content) -> Column:
-    """UTF-8 decode with invalid bytes dropped."""
-    return _decode_utf8_ignore(F.col(content) if isinstance(content, str) else content)
+def decode_text(content, accepted: Column | None = None) -> Column:
+    """UTF-8 decode with invalid bytes dropped; null where not ``accepted``.
+
+    Valid bytes are decoded on the JVM.  The Python stage sees every row of the
+    plan, so rows that it has nothing to do for carry null into it."""
+    c = F.col(content) if isinstance(content, str) else content
+    c = c if accepted is None else F.when(accepted, c)
+    valid = F.is_valid_utf8(c.cast("string"))
+    return F.coalesce(F.when(valid, c.cast("string")), _decode_utf8_ignore(F.when(~valid, c)))
 
 
 def text_ingest(uploads: DataFrame, key: str = "doc_id", content_col: str = "content") -> DataFrame:
@@ -71,4 +77,4 @@ def read_uploads(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     routed = files.select("path", name.alias("name"), media.alias("media_type"), "content")
     kind = route_kind("name", "media_type")
     return routed.select("path", "name", kind.alias("kind"),
-                         F.when(kind == "text", decode_text("content")).alias("text"))
+                         decode_text("content", kind == "text").alias("text"))

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.constants import SHEET_COLUMNS as LEGACY_COLUMNS
 from ..functions.constants import SHEET_TIMESTAMP as LEGACY_TIMESTAMP
@@ -25,13 +24,17 @@ _TO_OURS = dict(zip(LEGACY_COLUMNS, ["examiner_name", "student_name", "roll_numb
 
 def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
     """Legacy sheet rows -> results records (``result`` text is not in the
-    sheet and stays null; ``record_id`` is the source file and line)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in LEGACY_COLUMNS])
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
-           .select(*[F.col(f"`{c}`").alias(o) for c, o in _TO_OURS.items()],
-                   F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_row")))
+    sheet and stays null).
+
+    Columns are taken by their header names, whatever their order; a missing
+    column is an error.  Quoted line breaks stay in their field and empty text stays empty (only an absent
+    field is null).  ``record_id`` is a digest of the row's eight values, so equal rows share it.
+    """
+    raw = (spark.read.option("header", True).option("multiLine", True).option("nullValue", "\x00").option("emptyValue", "")
+           .option("inferSchema", False).csv(path)
+           .select(*[F.col(f"`{c}`").cast("string").alias(o) for c, o in _TO_OURS.items()]))
     rec = raw.select(
-        F.concat(F.col("_file"), F.lit("#"), F.col("_row").cast("string")).alias("record_id"),
+        F.sha2(F.to_json(F.struct(*_TO_OURS.values())), 256).alias("record_id"),
         "examiner_name", "student_name", "roll_number", "department", "project_title",
         F.lit(None).cast("string").alias("result"),
         reparse_marks("marks_label").alias("marks"), "marks_label", "status",
@@ -45,4 +48,4 @@ def write_legacy_csv(results: DataFrame, path: str) -> None:
     cols = [F.col(o).alias(ours[o]) for o in ["examiner_name", "student_name", "roll_number", "department",
                                               "project_title", "marks_label", "status"]]
     out = results.select(*cols, F.date_format("saved_at", LEGACY_TIMESTAMP).alias(ours["saved_at_text"]))
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)

@@ -7,6 +7,8 @@ an append writes only new files, readers use a declared schema, and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..schemas import RESULTS, RESULT_COLUMNS
 from .literals import empty_frame
 
 PARTITION_COL = "saved_date"
+LOAD_COL = "load"
 
 
 def conform(df: DataFrame) -> DataFrame:
@@ -25,10 +28,28 @@ def conform(df: DataFrame) -> DataFrame:
         for f in RESULTS.fields])
 
 
-def results_append(records: DataFrame, path: str) -> None:
-    """Append records (bag semantics: no de-duplication, like each save click)."""
+def results_append(records: DataFrame, path: str, load: str | None = None) -> None:
+    """Append records (bag semantics: no de-duplication, like each save click).
+
+    Every append, batch or micro-batch, is a *load* with a name of its own, and
+    the store is partitioned by (saved_date, load).  Only the partitions of
+    this load are written, so repeating an append under the same name (a
+    retried micro-batch, a job run again) replaces its own rows and no others.
+    Rows are rebalanced by day first: one file per day and output partition,
+    with hot days split, instead of one file per task and day.
+    """
+    refuse_foreign_layout(records.sparkSession, path)
     (conform(records).withColumn(PARTITION_COL, F.to_date("saved_at"))
-     .write.mode("append").partitionBy(PARTITION_COL).parquet(path))
+     .withColumn(LOAD_COL, F.lit(load or f"batch-{uuid.uuid4().hex}")).hint("rebalance", PARTITION_COL)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(PARTITION_COL, LOAD_COL).parquet(path))
+
+
+def refuse_foreign_layout(spark: SparkSession, path: str) -> None:
+    """A stream file sink's metadata log would hide every file that the sink did not write."""
+    log = spark._jvm.org.apache.hadoop.fs.Path(path, "_spark_metadata")
+    if log.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(log):
+        raise ValueError(f"{path} was written by a stream file sink; use another store")
 
 
 def saved_results(spark: SparkSession, path: str, date_from: str | None = None,
@@ -39,6 +60,7 @@ def saved_results(spark: SparkSession, path: str, date_from: str | None = None,
     ``date_from`` / ``date_to`` (inclusive, 'yyyy-MM-dd') filter on the
     ``saved_date`` partition column, so only those day directories are read.
     """
+    refuse_foreign_layout(spark, path)
     try:
         df = spark.read.schema(_with_partition()).parquet(path)
         df.schema  # resolve now so a missing path is reported here
@@ -55,4 +77,5 @@ def saved_results(spark: SparkSession, path: str, date_from: str | None = None,
 
 def _with_partition():
     from pyspark.sql import types as T
-    return T.StructType(RESULTS.fields + [T.StructField(PARTITION_COL, T.DateType())])
+    return T.StructType(RESULTS.fields + [T.StructField(PARTITION_COL, T.DateType()),
+                                          T.StructField(LOAD_COL, T.StringType())])

@@ -17,10 +17,6 @@ def roster_lookup(results: DataFrame, roster: DataFrame, name_col: str = "userna
             .select("examiner_name", "n_records", F.coalesce("_on", F.lit(False)).alias("known")))
 
 
-def known_examiner_records(results: DataFrame, roster: DataFrame, name_col: str = "username") -> DataFrame:
-    return results.join(roster.select(F.col(name_col).alias("examiner_name")), "examiner_name", "left_semi")
-
-
 def unknown_examiner_records(results: DataFrame, roster: DataFrame, name_col: str = "username") -> DataFrame:
     return results.join(roster.select(F.col(name_col).alias("examiner_name")), "examiner_name", "left_anti")
 

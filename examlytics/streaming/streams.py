@@ -1,6 +1,8 @@
 """Structured Streaming forms of the proctoring, answer and results jobs.
 
-Sources are Parquet file streams with a declared schema.  Stateful jobs run
+Sources are Parquet file streams with a declared schema; each job takes its
+domain's columns (a violation log, an answer log, saved evaluations), whatever
+table they come from.  Stateful jobs run
 in update mode and append each micro-batch's changed rows (tagged with the
 batch id) to a Parquet table; a reader keeps the last row per key.  Event
 time is a UTC instant built from the wall-clock ``timestamp_ntz`` column
@@ -10,7 +12,9 @@ time zone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -18,6 +22,7 @@ from ..operators.results import result_build
 from ..operators.sessions import blank_answer_filter
 from ..schemas import EVENTS
 from ..sources.literals import empty_frame
+from ..sources.results_store import results_append
 
 
 def table_glob(sf_dir: str, name: str) -> str:
@@ -28,25 +33,26 @@ def table_glob(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parque[t]"
 
 
-def read_event_stream(spark: SparkSession, path: str,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Event files as a stream, with the declared schema (no inference)."""
-    reader = spark.readStream.schema(EVENTS)
+def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files as a stream, with a declared schema (no inference).  ``max_files_per_trigger`` bounds
+    the first micro-batch, which otherwise takes the whole backlog."""
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.parquet(path)
 
 
+def read_event_stream(spark: SparkSession, path: str,
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    return read_stream(spark, path, EVENTS, max_files_per_trigger)
+
+
 def utc_instant(ntz: str, spark: SparkSession) -> Column:
     """The instant whose UTC wall clock is the ``timestamp_ntz`` value."""
     tz = spark.conf.get("spark.sql.session.timeZone")
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ntz)).cast("timestamp")
 
 
-def _utc_date(instant: Column) -> Column:
-    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
-
-
 def _upsert_sink(path: str):
     """Each micro-batch's changed rows go to their own ``batch_id=<n>``
     directory, overwritten on a replay, so a retried batch leaves exactly
@@ -70,147 +76,112 @@ def last_per_key(spark: SparkSession, path: str, keys: list[str], schema: str |
     return df.groupBy(*keys).agg(latest).select(*keys, *[F.col("_v")[c].alias(c) for c in values])
 
 
-def violations_stream(events: DataFrame, checkpoint: str, sink: str, delay: str = "1 hour",
+def _start(df: DataFrame, checkpoint: str, sink, mode: str, trigger_available_now: bool):
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return (w.trigger(availableNow=True) if trigger_available_now else w).start()
+
+
+def violations_stream(proctor: DataFrame, checkpoint: str, sink: str, delay: str = "1 hour",
                       trigger_available_now: bool = True):
-    """Violations per (user, UTC day) as a windowed streaming count, and
-    whether the session has reached the violation limit and must end."""
-    spark = events.sparkSession
-    v = (events.where(F.col("event_type").isin("error", "click"))
-         .select("user_id", utc_instant("ts", spark).alias("t"))
+    """Violations per session as a windowed streaming count, and whether the
+    session has reached the violation limit and must end.
+
+    ``proctor``: session_id (one per user and UTC day), ts.  Rows that come later than ``delay`` are
+    dropped by the watermark; the query's progress reports how many
+    (:func:`dropped_rows`).  :func:`terminations_stream` has no such limit.
+    """
+    v = (proctor.select("session_id", utc_instant("ts", proctor.sparkSession).alias("t"))
          .withWatermark("t", delay)
-         .groupBy(F.window("t", "1 day"), "user_id").agg(F.count(F.lit(1)).alias("n_violations"))
-         .select(F.concat(F.col("user_id").cast("string"), F.lit("-"),
-                          _utc_date(F.col("window.start")).cast("string")).alias("session_id"),
-                 "n_violations", (F.col("n_violations") >= K.VIOLATION_LIMIT).alias("must_end")))
-    w = v.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(_upsert_sink(sink))
-    return (w.trigger(availableNow=True) if trigger_available_now else w).start()
+         .groupBy(F.window("t", "1 day"), "session_id").agg(F.count(F.lit(1)).alias("n_violations"))
+         .select("session_id", "n_violations", (F.col("n_violations") >= K.VIOLATION_LIMIT).alias("must_end")))
+    return _start(v, checkpoint, _upsert_sink(sink), "update", trigger_available_now)
 
 
-def answers_stream(events: DataFrame, checkpoint: str, sink: str, delay: str = "8 days",
+def dropped_rows(query) -> int:
+    """Rows that the query's watermark has dropped so far, over its recent progress."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def answers_stream(log: DataFrame, checkpoint: str, sink: str, delay: str = "8 days",
                    trigger_available_now: bool = True):
-    """Last non-blank answer per (session, slot).  The session's start (the
-    first day of its week of the month, as an instant) is part of the key and
-    carries the watermark, so state for closed sessions is dropped."""
-    day = F.to_date("ts")
-    week = F.floor((F.dayofmonth("ts") - 1) / 7)
-    start_day = F.unix_date(F.trunc(day, "month")) + week * 7
-    log = events.select(
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), week.cast("string")).alias("session_id"),
-        (F.col("event_id") % K.QUESTIONS_PER_SESSION).alias("idx"),
-        F.when(F.col("event_type") == "view", F.lit("  ")).otherwise(F.col("props")).alias("answer"),
-        "ts", "event_id", F.timestamp_seconds(start_day * 86400).alias("session_start"))
+    """Last non-blank answer per (session, slot).
+
+    ``log``: session_id, session_start (instant), idx, answer, ts, event_id.  The session's start is part of
+    the key and carries the watermark, so state for closed sessions is dropped.
+    """
     agg = (blank_answer_filter(log).withWatermark("session_start", delay)
            .groupBy("session_start", "session_id", "idx")
            .agg(F.max_by("answer", F.struct("ts", "event_id")).alias("answer"))
            .select("session_id", "idx", "answer"))
-    w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(_upsert_sink(sink))
-    return (w.trigger(availableNow=True) if trigger_available_now else w).start()
+    return _start(agg, checkpoint, _upsert_sink(sink), "update", trigger_available_now)
 
 
-def results_stream(events: DataFrame, customers: DataFrame, checkpoint: str, sink: str,
-                   trigger_available_now: bool = True):
-    """Stateless: each saved evaluation becomes a results record, appended to
-    a Parquet table by the exactly-once file sink."""
-    cu = customers.select("c_custkey", "c_name", "c_mktsegment")
-    raw = events.join(cu, events.user_id == cu.c_custkey, "left").select(
-        F.col("event_id").cast("string").alias("record_id"),
-        F.col("event_type").alias("examiner_name"), F.col("c_name").alias("student_name"),
-        F.col("user_id").cast("string").alias("roll_number"), F.col("c_mktsegment").alias("department"),
-        F.concat(F.lit("Project "), F.col("event_id").cast("string")).alias("project_title"),
-        F.col("props").alias("result"), F.col("ts").alias("saved_at"))
-    w = (result_build(raw).writeStream.outputMode("append").format("parquet")
-         .option("checkpointLocation", checkpoint).option("path", sink))
-    return (w.trigger(availableNow=True) if trigger_available_now else w).start()
+def results_stream(raw: DataFrame, checkpoint: str, store: str, trigger_available_now: bool = True):
+    """Stateless: each saved evaluation (``raw``: the columns of ``result_build``, student columns included)
+    becomes a record of the results store, the one that batch appends write.
+
+    A micro-batch is a load named after the checkpoint and its number: a
+    retried one replaces its own rows.
+    """
+    name = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        results_append(batch, store, f"stream-{name}-{batch_id}")
+
+    return _start(result_build(raw), checkpoint, write, "append", trigger_available_now)
 
 
 # ---------------------------------------------------------------------------
-# Terminations: the moment a session reaches the violation limit, as it
-# happens.  "k-th smallest per key" is not a streaming aggregate, so this is
-# custom state.  State is keyed by user (a session is a user's day), so the
-# Python function is called once per user per micro-batch and works on all
-# of that user's new events at once; per open day it keeps the violation
-# count and the k earliest (ts, event_id) -- bounded whatever the volume.
-# Days the watermark has closed are evicted.
+# Terminations: the moment a session reaches the violation limit.  "k-th
+# smallest per key" over all input so far is kept as parts: every micro-batch
+# is reduced to a count and at most k earliest rows per session (a partial
+# group limit: a hot session sends k rows per map partition), written under
+# its batch number; the reader takes the k-th earliest over the parts.  There
+# is no state and no watermark: a late event revises the moment.
 # ---------------------------------------------------------------------------
 
-TERMINATION_OUTPUT = ("session_id string, n_violations bigint, terminated_at timestamp_ntz, "
-                      "terminating_event_id bigint")
-TERMINATION_STATE = ("days array<int>, counts array<bigint>, first_us array<array<bigint>>, "
-                     "first_ids array<array<bigint>>, emitted array<boolean>")
-DAY_MS = 86_400_000
-
-
-def _termination_step(limit: int, delay_ms: int):
-    import pandas as pd
-
-    def step(key, batches, state):
-        user_id = key[0]
-        open_days = {}
-        if state.exists:
-            days, counts, first_us, first_ids, emitted = state.get
-            for d, n, us, ids, e in zip(days, counts, first_us, first_ids, emitted):
-                open_days[int(d)] = [int(n), list(zip(us, ids)), bool(e)]
-        frames = [] if state.hasTimedOut else [pdf for pdf in batches if len(pdf)]
-        out = []
-        if frames:
-            new = pd.concat(frames, ignore_index=True).sort_values(["day", "us", "event_id"])
-            counts = new.groupby("day", sort=False).size()
-            rank = new.groupby("day", sort=False).cumcount()
-            heads = {}
-            for day, us, eid in new.loc[rank < limit, ["day", "us", "event_id"]].itertuples(index=False):
-                heads.setdefault(int(day), []).append((int(us), int(eid)))
-            for day, n_new in counts.items():
-                day = int(day)
-                n, first, emitted_day = open_days.get(day, [0, [], False])
-                n += int(n_new)
-                first = sorted(first + heads[day])[:limit] if first else heads[day]
-                if not emitted_day and n >= limit:
-                    us, eid = first[limit - 1]
-                    out.append((f"{user_id}-{(pd.Timestamp(0) + pd.Timedelta(days=day)).date()}", n,
-                                pd.Timestamp(us, unit="us"), eid))
-                    emitted_day = True
-                open_days[day] = [n, first, emitted_day]
-        watermark = state.getCurrentWatermarkMs()
-        open_days = {d: v for d, v in open_days.items() if (d + 1) * DAY_MS + delay_ms > watermark}
-        if open_days:
-            ds = sorted(open_days)
-            state.update((ds, [open_days[d][0] for d in ds], [[u for u, _ in open_days[d][1]] for d in ds],
-                          [[i for _, i in open_days[d][1]] for d in ds], [open_days[d][2] for d in ds]))
-            state.setTimeoutTimestamp(max((ds[0] + 1) * DAY_MS + delay_ms, watermark + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "n_violations", "terminated_at",
-                                             "terminating_event_id"])
-    return step
-
-
-def terminations_stream(events: DataFrame, checkpoint: str, sink: str, delay: str = "1 hour",
-                        limit: int = K.VIOLATION_LIMIT, trigger_available_now: bool = True):
-    """Sessions reaching ``limit`` violations, emitted once, at the micro-batch
-    that brings the limit-th violation.  With events arriving in event-time
-    order the moment equals the batch ``violations_terminate`` (and so does
-    the count when a whole day arrives in one micro-batch; otherwise it is the
-    count at that moment)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    spark = events.sparkSession
-    t = utc_instant("ts", spark)
-    v = (events.where(F.col("event_type").isin("error", "click"))
-         .select("user_id", F.unix_date(F.to_date("ts")).alias("day"), F.unix_micros(t).alias("us"),
-                 "event_id", t.alias("t"))
-         .withWatermark("t", delay))
-    out = v.groupBy("user_id").applyInPandasWithState(
-        _termination_step(limit, _interval_ms(spark, delay)), TERMINATION_OUTPUT, TERMINATION_STATE,
-        "append", GroupStateTimeout.EventTimeTimeout)
-    w = (out.writeStream.outputMode("append").format("parquet")
-         .option("checkpointLocation", checkpoint).option("path", sink))
-    return (w.trigger(availableNow=True) if trigger_available_now else w).start()
+TERMINATION_PARTS = "session_id string, n_violations bigint, ts timestamp_ntz, event_id bigint, batch_id bigint"
+
 
+def _earliest(rows: DataFrame, limit: int) -> DataFrame:
+    first = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    return (rows.select("session_id", "ts", "event_id").withColumn("_rn", F.row_number().over(first))
+            .where(F.col("_rn") <= limit))
 
-def _interval_ms(spark: SparkSession, delay: str) -> int:
-    """Milliseconds in a duration such as '1 hour' (same syntax as withWatermark)."""
-    import re
-    if not re.fullmatch(r"\s*\d+\s+[A-Za-z]+(\s+\d+\s+[A-Za-z]+)*\s*", delay):
-        raise ValueError(f"not a duration: {delay!r}")
-    row = spark.sql(f"SELECT unix_millis(TIMESTAMP'1970-01-01 00:00:00 UTC' + INTERVAL {delay}) AS ms").first()
-    return int(row["ms"])
+
+def terminations_stream(proctor: DataFrame, checkpoint: str, sink: str, limit: int = K.VIOLATION_LIMIT,
+                        trigger_available_now: bool = True):
+    """Parts for :func:`terminations`; ``proctor``: session_id, ts, event_id."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_violations"))
+        rows = _earliest(batch, limit).drop("_rn")
+        # one row per session carries the count, so that the parts add up
+        parts = (counts.withColumn("ts", F.lit(None).cast("timestamp_ntz")).withColumn("event_id", F.lit(None).cast("bigint"))
+                 .unionByName(rows.withColumn("n_violations", F.lit(0).cast("bigint"))))
+        parts.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    return _start(proctor.select("session_id", "ts", "event_id"), checkpoint, write, "append", trigger_available_now)
+
+
+def terminations(spark: SparkSession, sink: str, limit: int = K.VIOLATION_LIMIT) -> DataFrame:
+    """Sessions that have reached ``limit`` violations so far: count and moment, as ``violations_terminate``
+    gives over all input.  A sink without any batch reads as empty."""
+    try:
+        parts = spark.read.schema(TERMINATION_PARTS).parquet(sink)
+        parts.schema
+    except Exception as exc:  # noqa: BLE001 - only a missing sink is expected
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        parts = empty_frame(spark, TERMINATION_PARTS)
+    counts = parts.groupBy("session_id").agg(F.sum("n_violations").alias("n_violations"))
+    kth = _earliest(parts.where(F.col("event_id").isNotNull()), limit).where(F.col("_rn") == limit)
+    return kth.join(counts, "session_id").select(
+        "session_id", "n_violations", F.col("ts").alias("terminated_at"), F.col("event_id").alias("terminating_event_id"))
+
+
+def compact_terminations(spark: SparkSession, sink: str, out: str, limit: int = K.VIOLATION_LIMIT) -> None:
+    """Rewrite the parts to one part per session at a new place (for a stream that starts anew from there)."""
+    parts = spark.read.schema(TERMINATION_PARTS).parquet(sink)
+    rows = _earliest(parts.where(F.col("event_id").isNotNull()), limit).drop("_rn").withColumn("n_violations", F.lit(0).cast("bigint"))
+    counts = parts.groupBy("session_id").agg(F.sum("n_violations").alias("n_violations"))
+    rows.unionByName(counts, allowMissingColumns=True).write.parquet(f"{out}/batch_id=-1")

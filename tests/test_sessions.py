@@ -5,6 +5,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from examlytics.functions import constants as K
 from examlytics.operators import sessions as S
 from examlytics.operators.dashboard import global_position
 
@@ -94,3 +95,18 @@ def test_resume_point_includes_sessions_without_answers(spark):
     sessions = spark.createDataFrame([("a",), ("b",)], "session_id string")
     got = {r.session_id: r.resume_idx for r in S.resume_point(log, sessions=sessions).collect()}
     assert got == {"a": 1, "b": 0}
+
+
+def test_eight_questions_pass_the_gate(spark):
+    log = answers_df(spark, [("a", i, "x", ts(i), i) for i in range(8)] + [("b", i, "x", ts(i), i) for i in range(7)] + [("c", 100, "x", ts(0), 1)])
+    sessions = spark.createDataFrame([("a", K.MODE_EXAM, 8), ("b", K.MODE_EXAM, 8), ("c", K.MODE_EXAM, 101), ("d", K.MODE_EXAM, 0)],
+                                     "session_id string, mode string, n_questions int")
+    assert [tuple(r) for r in S.final_gate(log, sessions).collect()] == [("a", 8)]
+    assert {r.session_id: r.resume_idx for r in S.resume_point(log, sessions=sessions).collect()} == {"b": 7, "c": 0}
+
+
+def test_terminated_sessions_are_left_out(spark):
+    sessions = spark.createDataFrame([("a",), ("b",)], "session_id string")
+    proctor = answers_df(spark, [("a", 0, "", ts(i), i) for i in range(3)] + [("b", 0, "", ts(i), i) for i in range(2)])
+    left = S.exclude_terminated(S.resume_point(answers_df(spark, []), sessions=sessions), S.violations_terminate(proctor))
+    assert [r.session_id for r in left.collect()] == ["b"]

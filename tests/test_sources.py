@@ -1,8 +1,11 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
+from examlytics.plans import catalog
 from examlytics.schemas import RESULT_COLUMNS
 from examlytics.sources import ingest, results_store
 
@@ -72,6 +75,61 @@ def test_legacy_csv_roundtrip_keeps_text(spark):
     assert sorted(map(key, again)) == sorted(map(key, got))
 
 
+def test_legacy_csv_by_header_name(spark):
+    """A reordered header, an empty field and a quoted line break."""
+    from examlytics.sources import legacy
+    d = tempfile.mkdtemp(prefix="examlytics-legacy-order-")
+    with open(os.path.join(d, "sheet.csv"), "w") as f:
+        f.write("Student Name,Examiner Name,Roll Number,Department,Project Title,Marks,Status,Timestamp\n")
+        f.write('Ann,alice,007,"","Robot\narm",85/100,PASS,2024-01-05 10:11:12\n')
+    row = legacy.read_legacy_csv(spark, d).first()
+    assert (row.student_name, row.examiner_name, row.department, row.project_title) == ("Ann", "alice", "", "Robot\narm")
+
+
+def test_one_store_for_batch_and_stream(spark):
+    """Both writers' rows are read back, by day too; a second --once run without options loses nothing; a load that is
+    repeated replaces itself."""
+    from examlytics import jobs
+    base = tempfile.mkdtemp(prefix="examlytics-store-")
+    raw = catalog.fx.results_raw(spark, SF_SMALL)
+    odd = F.col("record_id").cast("bigint") % 2 == 1
+    raw.where(odd).write.parquet(f"{base}/batch")
+    for _ in range(2):
+        jobs.run(spark, jobs.parser().parse_args(["results", "--input", f"{base}/batch", "--store", f"{base}/store", "--load", "first"]))
+    late = F.dayofmonth("saved_at") > 15
+    for part in (~late, late):
+        raw.where(~odd & part).repartition(2).write.mode("append").parquet(f"{base}/in")
+        jobs.run(spark, jobs.parser().parse_args(["stream", "--input", f"{base}/in", "--store", f"{base}/store", "--once", "--max-files", "1"]))
+    key = lambda df: sorted(map(str, df.collect()))
+    want = catalog.results(spark, SF_SMALL)
+    assert key(results_store.saved_results(spark, f"{base}/store")) == key(want)
+    day = results_store.saved_results(spark, f"{base}/store", "2024-01-08", "2024-01-20")
+    assert key(day) == key(want.where("saved_at >= '2024-01-08' and saved_at < '2024-01-21'"))
+
+
+def test_store_of_a_file_sink_is_refused(spark):
+    base = tempfile.mkdtemp(prefix="examlytics-foreign-")
+    os.makedirs(f"{base}/_spark_metadata")
+    with pytest.raises(ValueError, match="file sink"):
+        results_store.saved_results(spark, base)
+
+
+def test_store_writes_one_file_per_day(spark):
+    base = tempfile.mkdtemp(prefix="examlytics-files-") + "/store"
+    results_store.results_append(catalog.results(spark, SF_SMALL).repartition(16), base)
+    days = [d for d in os.listdir(base) if d.startswith("saved_date=")]
+    files = sum(f.endswith(".parquet") for _, _, names in os.walk(base) for f in names)
+    assert files == len(days)
+
+
+def test_python_decodes_invalid_text_only(spark):
+    from examlytics.sources import ingest
+    rows = [("a.txt", b"ok \xc3\xa9"), ("b.txt", b"x\xffy"), ("c.txt", b"cut \xe2\x82"), ("d.pdf", b"\xff"), ("e.txt", None), ("f.txt", b"")]
+    df = spark.createDataFrame([(n, None if b is None else bytearray(b)) for n, b in rows], "name string, content binary")
+    got = {r.name: r.text for r in df.select("name", ingest.decode_text("content", F.col("name").endswith(".txt")).alias("text")).collect()}
+    assert got == {"a.txt": "ok é", "b.txt": "xy", "c.txt": "cut ", "d.pdf": None, "e.txt": None, "f.txt": ""}
+
+
 def test_roster_csv_drops_passwords(spark):
     from examlytics.sources import roster
     d = tempfile.mkdtemp(prefix="examlytics-roster-")

@@ -27,7 +27,7 @@ def test_ustrip_matches_python_strip(spark, value):
     ("", 0),
     ("0007 marks", 7),
     ("12345678901234567890123 huge", None),  # overflows bigint -> null
-    ("٣ Arabic-Indic digit only", 0),   # only ASCII digits count
+    ("٣ of ١٠", 3),                     # digits of any script
     (None, None),
 ])
 def test_first_int(spark, text, expected):
@@ -49,6 +49,14 @@ def test_pass_status_and_label(spark, marks, expected):
     assert label == (None if marks is None else f"{marks}/100")
 
 
+@pytest.mark.parametrize("text,label,status", [
+    ("9" * 25, "9" * 25 + "/100", "PASS"), ("0" * 30 + "49", "49/100", "FAIL"), ("Score ٨٥/100", "85/100", "PASS"),
+    ("\U0001d7d3\U0001d7ce", "50/100", "PASS"), ("none", "0/100", "FAIL"), (None, None, None)])
+def test_label_and_status_have_no_limit(spark, text, label, status):
+    assert one(spark, T.mark_label(T.mark_digits("s")), text) == label
+    assert one(spark, T.pass_status(T.mark_digits("s")), text) == status
+
+
 def test_truncate_counts_code_points(spark):
     s = "😀" * 5 + "abc"
     assert one(spark, T.truncate_chars("s", 6), s) == s[:6]
