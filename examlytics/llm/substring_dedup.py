@@ -18,8 +18,8 @@ Only minima and maxima of ids are taken over a group, in a buffer that spills: a
 very many documents takes one task's time but bounded memory, and no pairs are formed.
 
 Defined cases: null text has no words.  Documents of fewer than 50 words keep all words.  Rows with
-a null id sort before all others.  Rows with the same id count as one document:
-they never remove each other's words.  Repeated rows get a result each.  Other columns are not read.
+a null id sort before all others.  Rows with the same id never remove each other's words; their
+places are told apart by a 32-bit checksum of the text.  Repeated rows get a result each.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, cut, map_batches, row_key, signed, text_bytes, window_hashes, word_hashes
@@ -49,7 +49,7 @@ def _positions(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(hash, __id, place) of the anchors of (__id, __text)."""
+    """(hash, __id, spot) of the anchors of (__id, __tag, __text); a spot is a place and the row's tag above it."""
     kind = docs.schema["__id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +57,7 @@ def anchors(docs: DataFrame) -> DataFrame:
         member[list(COVER)] = True
         for batch in batches:
             b, off = text_bytes(batch.column("__text"))
+            tag = batch.column("__tag").to_numpy() << 32
             for i, j in blocks(off):
                 (w,), _, _, rows = word_hashes(b[off[i]:off[j]], off[i:j + 1] - off[i])
                 row, place = _positions(rows, ANCHOR)
@@ -65,35 +66,47 @@ def anchors(docs: DataFrame) -> DataFrame:
                 h = window_hashes(w, ANCHOR)
                 yield pa.RecordBatch.from_arrays(
                     [signed(h[rows[row] + place]) if len(row) else pa.array([], pa.int64()), batch.column("__id").take(pa.array(row + i)),
-                     pa.array(place.astype(np.int32))], names=["hash", "__id", "place"])
+                     pa.array(tag[row + i] + place)], names=["hash", "__id", "spot"])
 
-    return map_batches(docs.select("__id", "__text"), found, f"hash bigint, __id {kind}, place int")
+    return map_batches(docs.select("__id", "__tag", "__text"), found, f"hash bigint, __id {kind}, spot bigint")
 
 
 def matched(rows: DataFrame, keys: list[str], all_members: bool) -> DataFrame:
-    """Members (__id, place) of groups of equal ``keys`` that hold two ids or more: all of them, or those
+    """Members (__id, spot) of groups of equal ``keys`` that hold two ids or more: all of them, or those
     whose id is not the smallest.  A group is streamed twice through a buffer that spills."""
     group, own = Window.partitionBy(*keys), F.struct("__id")  # a struct orders null first
     if all_members:
         some = rows.withColumn("__lo", F.min(own).over(group)).withColumn("__hi", F.max(own).over(group)).filter("__lo < __hi")
     else:
         some = rows.withColumn("__lo", F.min(own).over(group)).filter(F.col("__lo") < own)
-    return some.select("__id", "place")
+    return some.select("__id", "spot")
 
 
-def _intervals(places: DataFrame) -> DataFrame:
-    """(__id, places as a sorted array of distinct ints) per document."""
-    return places.groupBy("__id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+def row_tag(text_col: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def by_row(spots: DataFrame) -> DataFrame:
+    """(__id, __tag, places as a sorted array of distinct ints) of each row."""
+    place = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return (spots.groupBy("__id", F.shiftrightunsigned("spot", 32).alias("__tag"))
+            .agg(F.sort_array(F.collect_set(place)).alias("places")))
+
+
+def with_places(docs: DataFrame, places: DataFrame, how: str, *keep: str) -> DataFrame:
+    same = docs["__id"].eqNullSafe(places["__id"]) & (docs["__tag"] == places["__tag"])
+    return docs.join(places, same, how).select(docs["__id"], docs["__tag"], *keep, "__text", "places")
 
 
 def windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(h1, h2, __id, place) of every window that contains a matched anchor; ``hits`` has (__id, places)."""
+    """(h1, h2, __id, spot) of every window that contains a matched anchor; ``hits`` has (__id, __tag, places)."""
     kind = docs.schema["__id"].dataType.simpleString()
-    rows = docs.join(hits, docs["__id"].eqNullSafe(hits["__id"])).select(docs["__id"], "__text", "places")
+    rows = with_places(docs, hits, "inner")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, off = text_bytes(batch.column("__text"))
+            tag = batch.column("__tag").to_numpy() << 32
             flat, at = batch.column("places").flatten().to_numpy(), batch.column("places").offsets.to_numpy()
             at = at - at[0]
             for i, j in blocks(off):
@@ -103,7 +116,7 @@ def windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 hit = flat[at[i]:at[j]]
                 lo = np.maximum(hit - (PERIOD - 1), 0)
                 hi = np.minimum(hit, n[hit_row] - 1)
-                fine = lo <= hi  # rows with the same id may be shorter than their id's places
+                fine = lo <= hi
                 change = np.zeros(int(words[-1]) + 2, np.int64)
                 np.add.at(change, words[hit_row[fine]] + lo[fine], 1)
                 np.add.at(change, words[hit_row[fine]] + hi[fine] + 1, -1)
@@ -111,16 +124,16 @@ def windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 row = np.searchsorted(words, spot, "right") - 1
                 h1, h2 = (window_hashes(h, WINDOW, f) for f, h in enumerate(hashes))
                 yield pa.RecordBatch.from_arrays(
-                    [signed(h1[spot]), signed(h2[spot]), batch.column("__id").take(pa.array(row + i)), pa.array((spot - words[row]).astype(np.int32))],
-                    names=["h1", "h2", "__id", "place"])
+                    [signed(h1[spot]), signed(h2[spot]), batch.column("__id").take(pa.array(row + i)), pa.array(tag[row + i] + spot - words[row])],
+                    names=["h1", "h2", "__id", "spot"])
 
-    return map_batches(rows, extend, f"h1 bigint, h2 bigint, __id {kind}, place int")
+    return map_batches(rows, extend, f"h1 bigint, h2 bigint, __id {kind}, spot bigint")
 
 
 def removed_words(docs: DataFrame, repeats: DataFrame, with_text: bool = True) -> DataFrame:
-    """(__id, __key, n_words, n_removed, kept_sha256, kept_text) of every row of (__id, __key, __text);
-    ``repeats`` has (__id, places).  kept_text is null without ``with_text``."""
-    rows = docs.join(repeats, docs["__id"].eqNullSafe(repeats["__id"]), "left").select(docs["__id"], "__key", "__text", "places")
+    """(__id, __key, n_words, n_removed, kept_sha256, kept_text) of every row of (__id, __tag, __key, __text);
+    ``repeats`` has (__id, __tag, places).  kept_text is null without ``with_text``."""
+    rows = with_places(docs, repeats, "left", "__key")
     kind = docs.schema["__id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +168,11 @@ def removed_words(docs: DataFrame, repeats: DataFrame, with_text: bool = True) -
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per input row: the id column, n_words, n_removed, kept_sha256, kept_text, __key."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    hits = cut(_intervals(matched(anchors(rows), ["hash"], True)))
-    repeats = cut(_intervals(matched(windows(rows, hits), ["h1", "h2"], False)))
-    keyed = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
-    return removed_words(keyed, repeats, with_text).withColumnRenamed("__id", id_col)
+    own = [F.col(id_col).alias("__id"), row_tag(text_col).alias("__tag"), F.col(text_col).alias("__text")]
+    rows = docs.select(*own)
+    hits = cut(by_row(matched(anchors(rows), ["hash"], True)))
+    repeats = cut(by_row(matched(windows(rows, hits), ["h1", "h2"], False)))
+    return removed_words(docs.select(*own, row_key(id_col, text_col).alias("__key")), repeats, with_text).withColumnRenamed("__id", id_col)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
