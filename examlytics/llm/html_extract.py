@@ -8,7 +8,9 @@ parent, are joined by edges whose capacity grows with the part of their ancestor
 A maximum flow (Dinic) then separates content from boilerplate at least total cost: a block
 is relabelled against its own odds only where its surroundings outweigh them.
 
-The classifier's weights are fixed and listed below: ``pages`` carries no labels to learn them from.
+The classifier is a logistic regression.  ``pages`` has no labels, so it learns from blocks that the markup labels
+(inside article or main; inside navigation, footers, forms, adverts) on a bounded sample of pages, around the listed
+prior weights; a sample without such markup leaves the prior as it is.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are
 trimmed and joined in page order by an empty line.  Scripts, styles, comments, hidden elements and the head are no blocks.
@@ -24,6 +26,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +34,14 @@ from pyspark.sql import functions as F
 from .common import map_batches
 from .html_blocks import Block, Node, Page, read
 
-#: Weights of the classifier, in log odds.
-BIAS = -0.4
-IN_MAIN = 5.0
-IN_BOILERPLATE = -9.0
-NAMED_MAIN = 2.0
-NAMED_BOILERPLATE = -9.0
-LINKED = -4.0
-HEADING_1 = 1.5
-PER_LOG_CHARACTER = 0.35
-SENTENCE = 0.8
+#: Features of a block and the classifier's prior weights, in log odds.
+PRIOR = {"bias": -0.4, "in_main": 5.0, "in_boilerplate": -9.0, "named_main": 2.0, "named_boilerplate": -9.0, "linked": -4.0,
+         "heading_1": 1.5, "log_length": 0.35, "sentence": 0.8}
+#: Pages and blocks of a page that training looks at (a bounded sample of labelled rows).
+TRAIN_PAGES = 1000
+TRAIN_BLOCKS = 60
+#: Weight of the sample against the prior (variance 1).
+TRAIN_WEIGHT = 200.0
 #: Capacity of an edge between blocks that share all ancestors.
 SMOOTH = 2.5
 #: Log odds become integer capacities in these steps.
@@ -64,20 +65,65 @@ def _ancestors(node: Node | None) -> list[Node]:
     return out[::-1]
 
 
-def log_odds(block: Block, known: dict[int, tuple[float, bool]]) -> float:
-    """The classifier.  ``known`` remembers what a container and its ancestors give."""
+def features(block: Block, known: dict[int, tuple]) -> list[float]:
+    """In the order of PRIOR.  ``known`` remembers what a container and its ancestors give."""
     if id(block.node) not in known:
         chain = _ancestors(block.node)
         main_at = max((i for i, n in enumerate(chain) if n.tag in _MAIN), default=-1)
         bad = any(n.tag in _BOILERPLATE and not (n.tag == "header" and i > main_at >= 0) for i, n in enumerate(chain))
         bad_name = any(n.names and _BOILERPLATE_NAMES.search(n.names) for n in chain if n.tag not in ("html", "body"))
         main_name = any(n.names and _MAIN_NAMES.search(n.names) for n in chain)
-        score = BIAS + IN_MAIN * (main_at >= 0) + IN_BOILERPLATE * bad + NAMED_BOILERPLATE * bad_name + NAMED_MAIN * main_name
-        known[id(block.node)] = (score, any(n.tag == "h1" for n in chain))
-    score, heading = known[id(block.node)]
+        known[id(block.node)] = (1.0, float(main_at >= 0), float(bad), float(main_name), float(bad_name)), float(any(n.tag == "h1" for n in chain))
+    place, heading = known[id(block.node)]
     n = len(block.text)
-    return (score + HEADING_1 * heading + LINKED * min(1.0, block.linked / n) + PER_LOG_CHARACTER * math.log(n / 20)
-            + SENTENCE * (block.text[-1] in ".!?…。:;\"'”»"))
+    return [*place, min(1.0, block.linked / n), heading, math.log(n / 20), float(block.text[-1] in ".!?…。:;\"'”»")]
+
+
+def taught(x: list[float]) -> float | None:
+    """The label that a block's markup gives: 1 inside article or main, 0 inside boilerplate, None where it says nothing."""
+    _, main, bad, _, bad_name, *_ = x
+    return 0.0 if bad or bad_name else 1.0 if main else None
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression around PRIOR (Newton steps)."""
+    prior = np.array(list(PRIOR.values()))
+    w = prior.copy()
+    if not len(y):
+        return w
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = TRAIN_WEIGHT * x.T @ (p - y) / len(y) + (w - prior)
+        curve = TRAIN_WEIGHT * (x.T * (p * (1 - p))) @ x / len(y) + np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w = w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
+    """Weights learned from TRAIN_PAGES pages (the first by a hash of the id).
+
+    Markup labels the blocks; each is taught twice, with its markup and without it, so that the text's
+    own features learn to decide where a page has no telling elements."""
+    some = (pages.select(F.xxhash64(id_col).alias("__h"), F.col(html_col).alias("__html")).orderBy("__h").limit(TRAIN_PAGES))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs = []
+            for text in batch.column("__html").to_pylist():
+                blocks = read(text or "").blocks
+                known: dict[int, tuple] = {}
+                xs.extend(x for x in (features(b, known) for b in blocks[::max(1, len(blocks) // TRAIN_BLOCKS)][:TRAIN_BLOCKS]) if taught(x) is not None)
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64()))], names=["x"])
+
+    found = map_batches(some.select("__html"), rows, "x array<double>").toArrow().column("x").to_pylist()  # TRAIN_PAGES x TRAIN_BLOCKS at most
+    x = np.array(found, float).reshape(-1, len(PRIOR))
+    y = np.array([taught(r) for r in found], float)
+    bare = x.copy()
+    bare[:, 1:5] = 0
+    return fit(np.concatenate([x, bare]), np.concatenate([y, y]))
 
 
 def closeness(a: Node, b: Node) -> float:
@@ -158,11 +204,12 @@ def min_cut(unary: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
                 v = to[path.pop() ^ 1]
 
 
-def label(page: Page) -> list[bool]:
+def label(page: Page, weights=None) -> list[bool]:
     """Whether each block of a page is content."""
     blocks = page.blocks
-    known: dict[int, tuple[float, bool]] = {}
-    unary = [round(SCALE * log_odds(b, known)) for b in blocks]
+    known: dict[int, tuple] = {}
+    w = list(PRIOR.values()) if weights is None else [float(v) for v in weights]
+    unary = [round(SCALE * sum(a * b for a, b in zip(w, features(block, known)))) for block in blocks]
     edges, last = [], {}
     for i, b in enumerate(blocks):
         near = {i - 1} if i else set()
@@ -175,12 +222,12 @@ def label(page: Page) -> list[bool]:
     return min_cut(unary, edges)
 
 
-def extract(html: str) -> str:
+def extract(html: str, weights=None) -> str:
     page = read(html)
-    return "\n\n".join(b.text for b, keep in zip(page.blocks, label(page)) if keep)
+    return "\n\n".join(b.text for b, keep in zip(page.blocks, label(page, weights)) if keep)
 
 
-def label_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def label_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", weights=None) -> DataFrame:
     """(id, block, text, content): every block of every page with its label."""
     src = pages.select(F.col(id_col).alias("__id"), F.col(html_col).alias("__html"))
     kind = src.schema["__id"].dataType.simpleString()
@@ -189,7 +236,7 @@ def label_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
         for batch in batches:
             for i, text in enumerate(batch.column("__html").to_pylist()):
                 page = read(text or "")
-                keep = label(page)
+                keep = label(page, weights)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__id").take(pa.array([i] * len(keep), pa.int64())), pa.array(range(len(keep)), pa.int32()),
                      pa.array([b.text for b in page.blocks], pa.string()), pa.array(keep, pa.bool_())], names=["__id", "block", "text", "content"])
@@ -197,7 +244,7 @@ def label_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     return map_batches(src, labelled, f"__id {kind}, block int, text string, content boolean").withColumnRenamed("__id", id_col)
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", weights=None) -> DataFrame:
     """One row per page: id, url, text, n_chars."""
     src = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__html"))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
@@ -206,7 +253,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
-                texts = [extract(h or "") for h in batch.column("__html").to_pylist()]
+                texts = [extract(h or "", weights) for h in batch.column("__html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__url"), pa.array(texts, pa.string()),
                                                   pa.array([len(t) for t in texts], pa.int64())], names=["__id", "__url", "text", "n_chars"])
 
@@ -215,4 +262,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 
 
 def op8_html_extract(spark, sf_dir: str) -> DataFrame:
-    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return main_text(pages, weights=train(pages))

@@ -40,6 +40,21 @@ def test_without_article_element():
     assert len(out) == 6 and out[-1] == "Short."
 
 
+def test_training(spark):
+    """Trained weights leave the data's articles whole, prefer prose without markup, and stay at the prior without labels."""
+    import numpy as np
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    w = m.train(pages)
+    names = list(m.PRIOR)
+    assert w[names.index("linked")] < 0 < w[names.index("in_main")] and w[names.index("log_length")] > 0
+    for r in pages.collect():
+        page = read(r.html)
+        assert m.label(page, w) == [any(n.tag == "article" for n in m._ancestors(b.node)) for b in page.blocks]
+    none = spark.createDataFrame([(1, "<p>plain</p>"), (2, None)], "page_id long, html string")
+    assert np.array_equal(m.train(none), list(m.PRIOR.values())) and np.array_equal(m.train(none.limit(0)), list(m.PRIOR.values()))
+    assert m.extract("<body><div><a href=a>A</a> <a href=b>B</a></div>" + "<p>This is running prose that goes on and ends here.</p>" * 3, w).count("prose") == 3
+
+
 def test_unclosed_and_broken():
     assert m.extract("<article><p>One two three four five six seven.<p>cut off here &am") == "One two three four five six seven.\n\ncut off here &am"
     assert m.extract("") == "" and m.extract("<nav>x</nav>") == ""
