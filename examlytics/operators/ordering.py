@@ -22,16 +22,20 @@ def prefix_offsets(counts: DataFrame, group: str, bucket: str, n: str = "_n") ->
     return counts.select(group, bucket, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("bigint").alias("_offset"))
 
 
-def bucketed_rank(df: DataFrame, group: str, order: str, bucket: str, out: str) -> DataFrame:
+def bucketed_rank(df: DataFrame, group: str, order: str, bucket: str, out: str,
+                  counts: DataFrame | None = None) -> DataFrame:
     """0-based position of each row within ``group`` in ``order`` order.
 
     ``bucket`` must be monotone in ``order`` within a group (for example
-    ``order div B``).  The window runs per (group, bucket); the count table
-    is aggregated on the same keys, so it needs no extra shuffle of the rows.
+    ``order div B``).  The window runs per (group, bucket).  Rows per (group,
+    bucket) are counted on the input, before the window, so the rows shuffle
+    once and the counts go through a partial aggregate; ``counts`` (group,
+    bucket, _n) gives them where the caller can count closer to the scan.
     """
     w = Window.partitionBy(group, bucket).orderBy(order)
     local = df.withColumn("_local", F.row_number().over(w) - 1)
-    counts = local.groupBy(group, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = df.groupBy(group, bucket).agg(F.count(F.lit(1)).alias("_n"))
     return (local.join(prefix_offsets(counts, group, bucket), [group, bucket])
             .withColumn(out, (F.col("_offset") + F.col("_local")).cast("bigint"))
             .drop("_local", "_offset"))

@@ -75,7 +75,7 @@ def qa(spark: SparkSession, sf_dir: str, bucket_size: int = DEFAULT_BUCKET) -> D
     length is spread over many tasks.  An assistant turn is keyed to the
     bucket of the turn before it, so a reply always sits in its question's
     bucket and ``lead`` finds it; positions are made global per conversation
-    by :func:`bucketed_rank`.  One shuffle of the rows (on conv_id, bucket).
+    by :func:`bucketed_rank`.  One shuffle of the rows (on conv_id, bucket), one of the bucket counts.
     """
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     key_turn = F.when(F.col("role") == "assistant", F.col("turn") - 1).otherwise(F.col("turn"))
@@ -88,7 +88,9 @@ def qa(spark: SparkSession, sf_dir: str, bucket_size: int = DEFAULT_BUCKET) -> D
     reply = (F.col("_next_role") == "assistant") & (F.col("_next_turn") == F.col("turn") + 1)
     users = nxt.where(F.col("role") == "user").select(
         "conv_id", "_bucket", "turn", "question", F.when(reply, F.col("_next_text")).alias("answer"))
-    return bucketed_rank(users, "conv_id", "turn", "_bucket", "idx").select(
+    per_bucket = (keyed.where(F.col("role") == "user").groupBy("conv_id", "_bucket")
+                  .agg(F.count(F.lit(1)).alias("_n")))  # counted on the scan, before the window
+    return bucketed_rank(users, "conv_id", "turn", "_bucket", "idx", per_bucket).select(
         "conv_id", "idx", "question", "answer")
 
 
