@@ -8,18 +8,22 @@ WINDOW - PERIOD + 1 words are hashed only at places whose index modulo ``PERIOD`
 difference cover: for any two places there is a shift below PERIOD that takes both into the
 cover.  So two equal windows share an equal anchor at the same shift.
 
-1. Anchors (6 of 31 places) are grouped by hash; a group of two or more ids yields its members.
-2. Each document gets its matched places back.  Every window that contains a matched anchor is a
-   candidate ("extension"): windows are grouped by a 128-bit hash, and a member whose id is not the
-   group's smallest is a repeat.
-3. Each document gets its repeats, drops the covered words and is digested.
-
-Only minima and maxima of ids are taken over a group, in a buffer that spills: a passage shared by
-very many documents takes one task's time but bounded memory, and no pairs are formed.
-
-Defined cases: null text has no words.  Documents of fewer than 50 words keep all words.  Rows with
-a null id sort before all others.  Rows with the same id never remove each other's words; their
-places are told apart by a 32-bit checksum of the text.  Repeated rows get a result each.  Other columns are not read.
+1. One pass gives each row's content key (SHA-256 of the text), word count and the digest it has if
+   nothing is removed.  Of rows with equal texts the one with the smallest id stands for all: a copy of 50
+   words or more loses every word, since each of its windows starts in the smallest row too.
+2. Anchors (6 of 31 places) are grouped by hash.  A group with two different texts yields its members.
+3. The representatives with such members get their places and their text.  Every window that contains a
+   matched anchor is a candidate ("extension"): windows are grouped by a 128-bit hash, and a member
+   whose id is not the group's smallest is a repeat.
+4. Those texts drop the covered words and are digested again.
+
+Only minima and maxima are taken over a group, in a buffer that spills: a passage shared by very many
+documents takes one task's time but bounded memory, and no pairs are formed.  Copies are joined by
+content with salted keys.
+
+Defined cases: null text has no words.  Documents of fewer than 50 words keep all words.  A null id
+sorts before all others.  Rows with the same id never remove each other's words, whether their texts
+are equal or not.  Repeated rows get a result each.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, map_batches, row_key, signed, text_bytes, window_hashes, word_hashes
+from .common import blocks, cut, map_batches, salted_join, signed, text_bytes, window_hashes, word_hashes
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members.
@@ -48,65 +52,69 @@ def _positions(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(hash, __id, spot) of the anchors of (__id, __tag, __text); a spot is a place and the row's tag above it."""
-    kind = docs.schema["__id"].dataType.simpleString()
+def plain_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __tag, __content, n_words, plain_sha256) of every row; the digest is that of all words."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    src = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__tag"), F.unhex(F.sha2(text, 256)).alias("__content"), text.alias("__text"))
+    kind = src.schema["__id"].dataType.simpleString()
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, off = text_bytes(batch.column("__text"))
+            words = [b[i:j].tobytes().split() for i, j in zip(off[:-1], off[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("__id", "__tag", "__content")), pa.array([len(w) for w in words], pa.int64()),
+                 pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())],
+                names=["__id", "__tag", "__content", "n_words", "plain_sha256"])
+
+    return map_batches(src, counted, f"__id {kind}, __tag bigint, __content binary, n_words bigint, plain_sha256 string")
+
+
+def anchors(texts: DataFrame) -> DataFrame:
+    """(hash, __tag, place) of the anchors of (__id, __tag, __text)."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = np.zeros(PERIOD, bool)
         member[list(COVER)] = True
         for batch in batches:
             b, off = text_bytes(batch.column("__text"))
-            tag = batch.column("__tag").to_numpy() << 32
+            tag = batch.column("__tag").to_numpy()
             for i, j in blocks(off):
                 (w,), _, _, rows = word_hashes(b[off[i]:off[j]], off[i:j + 1] - off[i])
                 row, place = _positions(rows, ANCHOR)
                 some = member[place % PERIOD] & (np.diff(rows) >= WINDOW)[row]
                 row, place = row[some], place[some]
-                h = window_hashes(w, ANCHOR)
-                yield pa.RecordBatch.from_arrays(
-                    [signed(h[rows[row] + place]) if len(row) else pa.array([], pa.int64()), batch.column("__id").take(pa.array(row + i)),
-                     pa.array(tag[row + i] + place)], names=["hash", "__id", "spot"])
+                at = window_hashes(w, ANCHOR)[rows[row] + place] if len(row) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([signed(at), pa.array(tag[row + i]), pa.array(place.astype(np.int32))], names=["hash", "__tag", "place"])
 
-    return map_batches(docs.select("__id", "__tag", "__text"), found, f"hash bigint, __id {kind}, spot bigint")
+    return map_batches(texts.select("__tag", "__text"), found, "hash bigint, __tag bigint, place int")
 
 
-def matched(rows: DataFrame, keys: list[str], all_members: bool) -> DataFrame:
-    """Members (__id, spot) of groups of equal ``keys`` that hold two ids or more: all of them, or those
-    whose id is not the smallest.  A group is streamed twice through a buffer that spills."""
-    group, own = Window.partitionBy(*keys), F.struct("__id")  # a struct orders null first
-    if all_members:
-        some = rows.withColumn("__lo", F.min(own).over(group)).withColumn("__hi", F.max(own).over(group)).filter("__lo < __hi")
-    else:
-        some = rows.withColumn("__lo", F.min(own).over(group)).filter(F.col("__lo") < own)
-    return some.select("__id", "spot")
+def matched(rows: DataFrame) -> DataFrame:
+    """(__tag, places) of the anchors that two different texts share."""
+    group = Window.partitionBy("hash")
+    shared = rows.withColumn("__lo", F.min("__tag").over(group)).withColumn("__hi", F.max("__tag").over(group)).filter("__lo < __hi")
+    return shared.groupBy("__tag").agg(F.collect_set("place").alias("places"))
 
 
-def row_tag(text_col: str) -> Column:
-    return F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+def repeated(windows_: DataFrame) -> DataFrame:
+    """(__id, __tag, places) of the windows that a smaller id has as well."""
+    own = F.struct("__id")  # a struct orders null first
+    later = windows_.withColumn("__least", F.min(own).over(Window.partitionBy("h1", "h2"))).filter(F.col("__least") < own)
+    return later.groupBy("__id", "__tag").agg(F.collect_set("place").alias("places"))
 
 
-def by_row(spots: DataFrame) -> DataFrame:
-    """(__id, __tag, places as a sorted array of distinct ints) of each row."""
-    place = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    return (spots.groupBy("__id", F.shiftrightunsigned("spot", 32).alias("__tag"))
-            .agg(F.sort_array(F.collect_set(place)).alias("places")))
+def with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
+    same = texts["__id"].eqNullSafe(places["__id"]) & (texts["__tag"] == places["__tag"])
+    return texts.join(places, same).select(texts["__id"], texts["__tag"], "__text", places["places"])
 
 
-def with_places(docs: DataFrame, places: DataFrame, how: str, *keep: str) -> DataFrame:
-    same = docs["__id"].eqNullSafe(places["__id"]) & (docs["__tag"] == places["__tag"])
-    return docs.join(places, same, how).select(docs["__id"], docs["__tag"], *keep, "__text", "places")
-
-
-def windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(h1, h2, __id, spot) of every window that contains a matched anchor; ``hits`` has (__id, __tag, places)."""
-    kind = docs.schema["__id"].dataType.simpleString()
-    rows = with_places(docs, hits, "inner")
+def windows(texts: DataFrame) -> DataFrame:
+    """(h1, h2, __id, __tag, place) of every window of (__id, __tag, __text, places) that contains a matched anchor."""
+    kind = texts.schema["__id"].dataType.simpleString()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, off = text_bytes(batch.column("__text"))
-            tag = batch.column("__tag").to_numpy() << 32
             flat, at = batch.column("places").flatten().to_numpy(), batch.column("places").offsets.to_numpy()
             at = at - at[0]
             for i, j in blocks(off):
@@ -116,65 +124,87 @@ def windows(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 hit = flat[at[i]:at[j]]
                 lo = np.maximum(hit - (PERIOD - 1), 0)
                 hi = np.minimum(hit, n[hit_row] - 1)
-                fine = lo <= hi
                 change = np.zeros(int(words[-1]) + 2, np.int64)
-                np.add.at(change, words[hit_row[fine]] + lo[fine], 1)
-                np.add.at(change, words[hit_row[fine]] + hi[fine] + 1, -1)
+                np.add.at(change, words[hit_row] + lo, 1)
+                np.add.at(change, words[hit_row] + hi + 1, -1)
                 spot = np.flatnonzero(np.cumsum(change) > 0)
                 row = np.searchsorted(words, spot, "right") - 1
                 h1, h2 = (window_hashes(h, WINDOW, f) for f, h in enumerate(hashes))
+                source = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(h1[spot]), signed(h2[spot]), batch.column("__id").take(pa.array(row + i)), pa.array(tag[row + i] + spot - words[row])],
-                    names=["h1", "h2", "__id", "spot"])
+                    [signed(h1[spot]), signed(h2[spot]), batch.column("__id").take(source), batch.column("__tag").take(source),
+                     pa.array((spot - words[row]).astype(np.int32))], names=["h1", "h2", "__id", "__tag", "place"])
 
-    return map_batches(rows, extend, f"h1 bigint, h2 bigint, __id {kind}, spot bigint")
+    return map_batches(texts, extend, f"h1 bigint, h2 bigint, __id {kind}, __tag bigint, place int")
 
 
-def removed_words(docs: DataFrame, repeats: DataFrame, with_text: bool = True) -> DataFrame:
-    """(__id, __key, n_words, n_removed, kept_sha256, kept_text) of every row of (__id, __tag, __key, __text);
-    ``repeats`` has (__id, __tag, places).  kept_text is null without ``with_text``."""
-    rows = with_places(docs, repeats, "left", "__key")
-    kind = docs.schema["__id"].dataType.simpleString()
+def without_repeats(texts: DataFrame) -> DataFrame:
+    """(__id, __tag, removed, left_sha256, left_text) of (__id, __tag, __text, places of repeated windows)."""
+    kind = texts.schema["__id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, off = text_bytes(batch.column("__text"))
-            n_words, n_removed, sha, kept = [], [], [], []
+            removed, left = [], []
             for i in range(len(batch)):
-                text = b[off[i]:off[i + 1]].tobytes()
-                words = text.split()
-                n_words.append(len(words))
-                places = batch.column("places")[i]
-                if places.is_valid:
-                    p = places.values.to_numpy()
-                    p = p[p + WINDOW <= len(words)]
-                    change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, p, 1)
-                    np.add.at(change, p + WINDOW, -1)
-                    stay = np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()
-                    n_removed.append(len(words) - len(stay))
-                    words = [words[k] for k in stay]
-                else:
-                    n_removed.append(0)
-                left = b" ".join(words)
-                sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left if with_text else None)
+                words = b[off[i]:off[i + 1]].tobytes().split()
+                p = batch.column("places")[i].values.to_numpy()
+                change = np.zeros(len(words) + 1, np.int64)
+                np.add.at(change, p, 1)
+                np.add.at(change, p + WINDOW, -1)
+                stay = np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()
+                removed.append(len(words) - len(stay))
+                left.append(b" ".join([words[k] for k in stay]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), batch.column("__key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()),
-                 pa.array(kept, pa.binary()).cast(pa.string())], names=["__id", "__key", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    return map_batches(rows, digest, f"__id {kind}, __key binary, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """One row per input row: the id column, n_words, n_removed, kept_sha256, kept_text, __key."""
-    own = [F.col(id_col).alias("__id"), row_tag(text_col).alias("__tag"), F.col(text_col).alias("__text")]
-    rows = docs.select(*own)
-    hits = cut(by_row(matched(anchors(rows), ["hash"], True)))
-    repeats = cut(by_row(matched(windows(rows, hits), ["h1", "h2"], False)))
-    return removed_words(docs.select(*own, row_key(id_col, text_col).alias("__key")), repeats, with_text).withColumnRenamed("__id", id_col)
+                [batch.column("__id"), batch.column("__tag"), pa.array(removed, pa.int64()),
+                 pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()), pa.array(left, pa.binary()).cast(pa.string())],
+                names=["__id", "__tag", "removed", "left_sha256", "left_text"])
+
+    return map_batches(texts, digest, f"__id {kind}, __tag bigint, removed bigint, left_sha256 string, left_text string")
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """One row per input row: the id column, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text."""
+    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__tag"), F.col(text_col).alias("__text"))
+    rows = cut(plain_words(docs, id_col, text_col))
+    least = rows.groupBy("__content").agg(F.min(F.struct("__id")).alias("least"))
+    rows = (salted_join(rows, least, ["__content"], "__id")
+            .withColumn("first", F.col("__id").eqNullSafe(F.col("least.__id"))).drop("least"))
+
+    hits = matched(anchors(texts))
+    firsts = rows.filter(F.col("first") & (F.col("n_words") >= WINDOW)).select("__id", "__tag").distinct()
+    chosen = cut(with_places(texts, firsts.join(hits, "__tag")).dropDuplicates(["__id", "__tag"]))
+    changed = without_repeats(with_places(chosen.drop("places"), repeated(windows(chosen))))
+    changed = cut(changed if with_text else changed.drop("left_text"))
+
+    same = rows["__id"].eqNullSafe(changed["__id"]) & (rows["__tag"] == changed["__tag"]) & rows["first"]
+    out = rows.join(changed, same, "left").select(rows["__id"], rows["__tag"], "n_words", "plain_sha256", "first",
+                                                  *[changed[c] for c in changed.columns if c not in ("__id", "__tag")])
+    gone = ~F.col("first") & (F.col("n_words") >= WINDOW)
+    n_removed = F.when(gone, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0)))
+    sha = F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("left_sha256", "plain_sha256"))
+    if not with_text:
+        return out.select(F.col("__id").alias(id_col), "n_words", n_removed.alias("n_removed"), sha.alias("kept_sha256"))
+    plain = F.array_join(F.filter(F.split(F.coalesce("__text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
+    each = out.withColumn("gone", gone).withColumn("n_removed", n_removed).withColumn("kept_sha256", sha).dropDuplicates(["__id", "__tag"])
+    joined = texts.join(each, texts["__id"].eqNullSafe(each["__id"]) & (texts["__tag"] == each["__tag"]))
+    return joined.select(texts["__id"].alias(id_col), "n_words", "n_removed", "kept_sha256",
+                         F.when(F.col("gone"), F.lit("")).otherwise(F.coalesce("left_text", plain)).alias("kept_text"))
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return substring_dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup(docs)
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM rep)),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

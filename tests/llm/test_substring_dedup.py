@@ -31,7 +31,9 @@ def brute(rows):
 
 def got(docs):
     cols = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
-    return Counter(tuple(r) for r in m.substring_dedup(docs).select(*cols).collect())
+    full = Counter(tuple(r) for r in m.substring_dedup(docs, with_text=True).select(*cols).collect())
+    assert Counter(tuple(r) for r in m.substring_dedup(docs).collect()) == Counter(x[:4] for x in full.elements())
+    return full
 
 
 def test_cover():
