@@ -1,4 +1,4 @@
-"""Write PLANS.md: the physical plan of every registered query (compact form).
+"""Write PLANS.md: the physical plan of every exam query (compact form).
 
 Usage: python tools/dump_plans.py [sf_dir]
 For each key: the operator tree, then the scan and exchange details that
@@ -44,14 +44,14 @@ def compact(plan: str) -> str:
 
 def main() -> None:
     from examlytics.session import get_spark
-    import __spark_entry__ as E
+    from examlytics.plans import catalog
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = get_spark()
+    spark = get_spark(master="local[8]", shuffle_partitions=8)
     out = ["# Physical plans", "",
            f"Generated by `python tools/dump_plans.py {sf_dir}` (local[8], AQE on; the initial plan, before",
            "runtime re-optimisation). Per query: the operator tree, then scan columns / pushed filters,",
            "shuffle partitioning, partial aggregates and partial window limits.", ""]
-    for key, fn in E.queries().items():
+    for key, fn in catalog.QUERIES.items():
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             fn(spark, sf_dir).explain("formatted")
