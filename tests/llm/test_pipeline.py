@@ -48,3 +48,10 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and len([k for k in names if k.startswith("op")]) >= 10
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_sql(spark):
+    from examlytics.llm import queries
+    from tools.check_oracle import check
+    report = check(spark, SF, sorted(queries.ORACLE_SQL))
+    assert all(v["ok"] is True for v in report.values()), report
