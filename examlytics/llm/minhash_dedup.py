@@ -46,8 +46,8 @@ PERCENT = 85
 BANDS, ROWS = 24, 5
 SIGNATURE = 1024
 SLACK = 4.75
-#: Copies of a bucket's first set, so that a hot one is compared in as many tasks.
-PARTS = 8
+#: Classes whose full sets are compared with those of another such block at a time.
+BLOCK = 512
 #: Classes of one bucket that are compared with each other at a time.
 TILE = 1024
 _SEED = 20_240_501
@@ -156,31 +156,36 @@ def most_unlike() -> int:
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= PERCENT * union of their full sets.
 
-    The set of ``a`` comes first in each part of ``a``'s pairs, then the sets of its partners, one at a
-    time: a task holds two sets."""
-    full = sets.select("class", "set")
-    partners = (pairs.join(full, pairs.b == full["class"])
-                .select("a", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int").alias("part"), "b", "set"))
-    hubs = (pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int").alias("part")).distinct()
-            .join(full, F.col("a") == full["class"]).select("a", "part", F.lit(None).cast("binary").alias("b"), "set"))
-    dealt = hubs.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    Classes are dealt to blocks of about BLOCK by hash, pairs to pairs of blocks.  A class's set goes once to each
+    pair of blocks that holds one of its pairs, ahead of the pairs; a task holds the sets of two blocks at a time."""
+    n = max(1, -(-sets.count() // BLOCK))
+
+    def block(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    placed = pairs.select(F.least(block("a"), block("b")).alias("lo"), F.greatest(block("a"), block("b")).alias("hi"), "a", "b")
+    wanted = placed.select("lo", "hi", F.explode(F.array("a", "b")).alias("class")).distinct()
+    shipped = wanted.join(sets.select("class", "set"), "class").select("lo", "hi", F.col("class").alias("a"), F.lit(None).cast("binary").alias("b"), "set")
+    dealt = (shipped.unionByName(placed.withColumn("set", F.lit(None).cast("binary")))
+             .repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.col("b").asc_nulls_first()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, mine = None, None
+        now, held = None, {}
         for batch in batches:
             kept = []
-            a, b, sets_ = batch.column("a"), batch.column("b"), batch.column("set")
-            for i in range(len(batch)):
-                x = np.frombuffer(sets_[i].as_buffer(), np.uint64)
-                if not b[i].is_valid:
-                    hub, mine = a[i].as_py(), x.copy()
+            full = batch.column("set")
+            for i, (lo, hi, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "a", "b")))):
+                if (lo, hi) != now:
+                    now, held = (lo, hi), {}
+                if b is None:
+                    held[a] = np.frombuffer(full[i].as_buffer(), np.uint64).copy()
                     continue
-                assert hub == a[i].as_py()
-                both = len(np.intersect1d(mine, x, assume_unique=True))
-                if 100 * both >= PERCENT * (len(mine) + len(x) - both):
+                x, y = held[a], held[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
                     kept.append(i)
             at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["u", "v"])
 
     return map_batches(dealt, check, "u binary, v binary")
 
