@@ -22,9 +22,13 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+#: Shingle similarity from which the near-duplicate stage links, in per cent (op3 has 85).
+NEAR_PERCENT = 80
+
+
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return minhash_dedup.keep_one(docs)
+    """One document of each component of near-duplicates, linked at NEAR_PERCENT and above."""
+    return minhash_dedup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@
    lower-cased), as 64-bit hashes; with fewer words, the whole sequence is the one shingle.
    Documents with the same set form a class: one 128-bit digest of the set.  Only classes are
    compared, so exact copies cost one row each, however many.
-2. ``BANDS`` x ``ROWS`` minima of universal hashes a*x + b give BANDS band keys.  A pair of
-   Jaccard similarity 0.85 misses all 24 bands of 5 with probability 8e-7.
+2. n x ``ROWS`` minima of universal hashes a*x + b give n band keys, n = ``bands_for(percent)``: a pair
+   of Jaccard similarity at the threshold misses all bands with probability below ``MISS`` (0.85: 24
+   bands of 5, 8e-7; 0.80: 35 bands of 5, 9e-7).
 3. Classes that share a band key with another get a longer signature, ``SIGNATURE`` minima of two
    bits each, and their full set, read in one more pass over the texts.
 4. Every class is paired with up to four hubs of each of its buckets.  Pairs pass signature verification (estimate within ``SLACK`` standard deviations) and
@@ -18,7 +19,8 @@
    is emitted, and a bucket of one component is skipped whole.
 
 Steps 2 and 3 are the only ones that can lose a link, with probability below 2e-6 for a pair at
-the threshold and less above it; nothing is capped.
+the threshold and less above it; nothing is capped.  The threshold ``percent`` is the caller's: op3
+links at ``PERCENT``.
 
 Defined cases: null text, empty text and text without words have the empty set (n_shingles 0), link with
 nothing and keep their own id as component.  Repeated rows share a class.  component_id is the
@@ -30,6 +32,7 @@ Tables without rows give no rows.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,8 +45,11 @@ from .common import blocks, cut, map_batches, mix64, powers, row_key, salted_joi
 from .components import components
 
 WIDTH = 5
+#: Threshold of op3.
 PERCENT = 85
-BANDS, ROWS = 24, 5
+ROWS = 5
+#: Most that banding may miss of the pairs at the threshold.
+MISS = 1e-6
 SIGNATURE = 1024
 SLACK = 4.75
 #: Classes whose full sets are compared with those of another such block at a time.
@@ -61,6 +67,11 @@ def universal(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return a, rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
 
 
+def bands_for(percent: int) -> int:
+    """Least number of bands of ROWS that a pair at the threshold all misses with probability MISS at most."""
+    return math.ceil(math.log(MISS) / math.log1p(-(percent / 100) ** ROWS)) if percent < 100 else 1
+
+
 def minima(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Minimum of each of ``n`` universal hashes over the set ``x``, some shingles at a time."""
     a, b = universal(n, seed)
@@ -95,19 +106,20 @@ def _signed_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(flat))
 
 
-def classes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def classes_of(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """One row per input row: __id, __key, n_shingles, __class (null for the empty set), __bands."""
     src = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
     kind = src.schema["__id"].dataType.simpleString()
+    n = bands_for(percent)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        tag = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             size, digest, bands = [], [], []
             for x in shingle_sets(batch.column("__text")):
                 size.append(len(x))
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                m = minima(x, BANDS * ROWS, _SEED).reshape(BANDS, ROWS) if len(x) else np.zeros((0, ROWS), np.uint64)
+                m = minima(x, n * ROWS, _SEED).reshape(n, ROWS) if len(x) else np.zeros((0, ROWS), np.uint64)
                 key = tag[:len(m)].copy()
                 for r in range(ROWS):
                     key = mix64(key + m[:, r])
@@ -147,14 +159,14 @@ def unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int64)
 
 
-def most_unlike() -> int:
+def most_unlike(percent: int = PERCENT) -> int:
     """Signature verification: differing minima that a pair at the threshold exceeds with probability 1e-6."""
-    p = 0.75 * (1 - PERCENT / 100)
+    p = 0.75 * (1 - percent / 100)
     return int(SIGNATURE * p + SLACK * (SIGNATURE * p * (1 - p)) ** 0.5) + 1
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= PERCENT * union of their full sets.
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets.
 
     Classes are dealt to blocks of about BLOCK by hash, pairs to pairs of blocks.  A class's set goes once to each
     pair of blocks that holds one of its pairs, ahead of the pairs; a task holds the sets of two blocks at a time."""
@@ -182,7 +194,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     continue
                 x, y = held[a], held[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     kept.append(i)
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["u", "v"])
@@ -194,7 +206,7 @@ def _words(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
 
 
-def alike(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, sig: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that pass signature verification."""
     both = (pairs.join(sig.select(F.col("class").alias("a"), F.col("sig").alias("sa")), "a")
             .join(sig.select(F.col("class").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb"))
@@ -202,25 +214,25 @@ def alike(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             far = unlike(_words(batch.column("sa"), SIGNATURE // 32), _words(batch.column("sb"), SIGNATURE // 32))
-            yield batch.select(["a", "b"]).filter(pa.array(far <= most_unlike()))
+            yield batch.select(["a", "b"]).filter(pa.array(far <= most_unlike(percent)))
 
     return map_batches(both, check, "a binary, b binary")
 
 
-def _tile_pairs(key: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _tile_pairs(key: tuple, rows: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
     """Pairs of one tile: classes of different components that pass signature verification, in
     the first band that they share."""
     t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
     name = np.array(t.column("class").to_pylist(), object)
     _, root = np.unique(np.array([r.hex() for r in t.column("root").to_pylist()]), return_inverse=True)
-    sig, bands = _words(t.column("sig"), SIGNATURE // 32), _words(t.column("bands"), BANDS)
+    sig, bands = _words(t.column("sig"), SIGNATURE // 32), _words(t.column("bands"), bands_for(percent))
     tile = t.column("tile").to_numpy()
     here = np.uint64(key[0] & 0xFFFFFFFFFFFFFFFF)
     left, right = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
     a, b = [], []
     for i in range(0, len(left), 32):
         some = left[i:i + 32]
-        x, y = np.nonzero((unlike(sig[some, None], sig[None, right]) <= most_unlike()) & (root[some, None] != root[None, right]))
+        x, y = np.nonzero((unlike(sig[some, None], sig[None, right]) <= most_unlike(percent)) & (root[some, None] != root[None, right]))
         x, y = some[x], right[y]
         fresh = x < y if key[1] == key[2] else np.ones(len(x), bool)
         x, y = x[fresh], y[fresh]
@@ -232,7 +244,7 @@ def _tile_pairs(key: tuple, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lo, pa.binary()), pa.array(hi, pa.binary())], names=["a", "b"])
 
 
-def cross_pairs(members: DataFrame, sig: DataFrame) -> DataFrame:
+def cross_pairs(members: DataFrame, sig: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): classes of one bucket but different components that pass signature verification.
 
     ``members`` has band, class, root.  A bucket is dealt to tiles of about TILE classes, and every
@@ -254,18 +266,18 @@ def cross_pairs(members: DataFrame, sig: DataFrame) -> DataFrame:
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(batch)]):
                 key = tuple(int(k[lo]) for k in keys)
                 if key != now and held:
-                    yield _tile_pairs(now, held)
+                    yield _tile_pairs(now, held, percent)
                     held = []
                 now = key
                 held.append(batch.slice(lo, hi - lo))
         if held:
-            yield _tile_pairs(now, held)
+            yield _tile_pairs(now, held, percent)
 
     return map_batches(dealt, pairs, "a binary, b binary")
 
 
-def near_components(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(class, root) of every class that links with another, from ``classes_of`` rows."""
+def near_components(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
+    """(class, root) of every class that links with another, from ``classes_of`` rows of the same ``percent``."""
     classes = (rows.filter("n_shingles > 0").groupBy(F.col("__class").alias("class"))
                .agg(F.min("__key").alias("__key"), F.first("__bands").alias("bands")))
     banded = classes.select("class", "__key", "bands", F.explode("bands").alias("band"))
@@ -280,18 +292,19 @@ def near_components(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str
 
     stars = (members.select("class", F.explode("hubs").alias("hub")).filter("class <> hub")
              .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
-    first = components(confirmed(cut(alike(stars, sig)), sets))
+    first = components(confirmed(cut(alike(stars, sig, percent)), sets, percent))
 
     known = members.select("band", "class").join(first.withColumnRenamed("node", "class"), "class", "left")
-    more = confirmed(cut(cross_pairs(known.withColumn("root", F.coalesce("root", "class")), sig)), sets)
+    more = confirmed(cut(cross_pairs(known.withColumn("root", F.coalesce("root", "class")), sig, percent)), sets, percent)
     linked = first.select(F.col("node").alias("u"), F.col("root").alias("v"))
     return components(linked.unionByName(more)).select(F.col("node").alias("class"), "root")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id column, n_shingles, component_id, kept, and __key."""
-    rows = cut(classes_of(docs, id_col, text_col))
-    linked = cut(near_components(rows, docs, id_col, text_col))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per input row: the id column, n_shingles, component_id, kept, and __key.  Sets with a
+    Jaccard similarity of ``percent`` per cent or more link."""
+    rows = cut(classes_of(docs, id_col, text_col, percent))
+    linked = cut(near_components(rows, docs, id_col, text_col, percent))
     rows = rows.drop("__bands")
     least = rows.filter("n_shingles > 0").groupBy(F.col("__class").alias("class")).agg(F.min("__id").alias("least"))
     roots = least.join(linked, "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -305,9 +318,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"), "__key", "__root")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of each component and every row with the empty set, with all columns."""
-    stay = near_duplicates(docs, id_col, text_col).filter("kept").select("__key", "__root").distinct()
+    stay = near_duplicates(docs, id_col, text_col, percent).filter("kept").select("__key", "__root").distinct()
     rows = docs.withColumn("__key", row_key(id_col, text_col)).join(stay, "__key")
     # rows that share the smallest id, or have no id at all: one by key, then by the other columns
     nth = Window.partitionBy("__root").orderBy("__key", F.xxhash64(*docs.columns))

@@ -55,3 +55,25 @@ def test_sql(spark):
     from tools.check_oracle import check
     report = check(spark, SF, sorted(queries.ORACLE_SQL))
     assert all(v["ok"] is True for v in report.values()), report
+
+
+def test_near_stage_links_from_080(spark):
+    """Pairs with a similarity from 0.80 up to 0.85 link in the pipeline's stage and not in op3; lower ones stay."""
+    from examlytics.llm import minhash_dedup
+    rows, similar = [], []
+    for p in range(60):
+        words = [f"p{p}w{i}" for i in range(104)]
+        other = list(words)
+        for e in range(p % 3):
+            other[20 + 30 * e] = "x"  # five shingles of 100: 0.90, 0.82 and, with the tail, 0.80 and lower
+        cut = {0: 20, 1: 0, 2: 0}[p % 3] + (p // 3) % 4
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(other[:len(other) - cut]))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        similar.append(100 * len(a & b) / len(a | b))
+    assert sum(80 <= s < 85 for s in similar) >= 20 and min(similar) < 80 < 85 < max(similar) and 80 in similar
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.no_near_copies(spark, docs, SF).collect()}
+    assert left == {2 * p for p in range(60)} | {2 * p + 1 for p in range(60) if similar[p] < 80}
+    assert {r.doc_id for r in minhash_dedup.keep_one(docs).collect()} == {2 * p for p in range(60)} | {
+        2 * p + 1 for p in range(60) if similar[p] < 85}
+    assert [minhash_dedup.bands_for(x) for x in (80, 85)] == [35, 24]
