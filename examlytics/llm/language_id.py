@@ -10,6 +10,11 @@ by ``max_languages`` x ``bins`` x 4 bytes, checked before it is broadcast.
 Scoring turns a block of texts into one sparse run of bins, looks up each language's row of the
 matrix and sums the runs per text.  ``score`` is the posterior of the predicted language.
 
+The posterior compares the learned languages with each other and says nothing of a text in none of
+them, so ``drop_unknown`` also holds every text to its language's fit: ``strangeness`` is how far the mean log
+probability of its n-grams lies below the mean of the language's training rows, in units that allow for the
+spread of short texts.  A language's bound is the ``ORDINARY`` quantile over all its training rows plus ``MARGIN``.
+
 Defined cases: a null text or one without a letter gets ``und`` and score 0.  Rows without a
 label teach nothing.  Equal scores go to the language that sorts first.  Without any training
 row every text is ``und``.  Very long texts are worked through in pieces.  Repeated rows and other
@@ -37,6 +42,13 @@ MAX_LANGUAGES = 100
 #: Characters worked through at a time.
 PIECE = 1 << 18
 UNKNOWN = "und"
+#: Strangeness is in nats times the root of the n-grams of a text; beyond about EVEN n-grams, texts differ
+#: by their subjects and no longer by their length.
+EVEN = 100
+#: Quantile of the training rows' strangeness that sets a language's bound, and what is allowed beyond it: on
+#: sf0.01, rows that did not teach lie up to 6 beyond it, the foreign and noise texts of the tests over 20.
+ORDINARY = 0.999
+MARGIN = 10.0
 
 
 @lru_cache(maxsize=1)
@@ -111,8 +123,8 @@ def pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         yield rows, held
 
 
-def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang", bins: int = BINS) -> tuple[list[str], np.ndarray]:
-    """Learned languages, sorted, and float32 log probabilities [language, bin]."""
+def counted(rows: DataFrame, text_col: str = "text", label_col: str = "lang", bins: int = BINS) -> tuple[list[str], np.ndarray]:
+    """Learned languages, sorted, and the n-grams of their rows [language, bin]."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         table = np.zeros((0, bins), np.int64)
@@ -140,35 +152,64 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang", bins
     counts = np.zeros((len(labels), bins))
     place = {x: i for i, x in enumerate(labels)}
     counts[[place[x] for x in found.column("__label").to_pylist()], found.column("__bin").to_numpy()] = found.column("n").to_numpy()
+    return labels, counts
+
+
+def log_probabilities(counts: np.ndarray) -> np.ndarray:
     total = counts.sum(1, keepdims=True)
-    logp = np.log(counts + ALPHA) - np.log(total + ALPHA * (bins - 1))
+    logp = np.log(counts + ALPHA) - np.log(total + ALPHA * (counts.shape[1] - 1))
     logp[:, 0] = 0.0
-    return labels, logp.astype(np.float32)
+    return logp.astype(np.float32)
 
 
-def score_texts(texts: list[str | None], labels: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
+def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang", bins: int = BINS) -> tuple[list[str], np.ndarray]:
+    """Learned languages, sorted, and float32 log probabilities [language, bin]."""
+    labels, counts = counted(rows, text_col, label_col, bins)
+    return labels, log_probabilities(counts)
+
+
+def totals(texts: list[str | None], labels: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of each text in each language, whether it has a letter, and its n-grams' number."""
     bins = logp.shape[1] if len(labels) else BINS
     total = np.zeros((len(texts), len(labels)))
     letters = np.zeros(len(texts), bool)
+    size = np.zeros(len(texts), np.int64)
     for at, held in pieces([t or "" for t in texts]):
         c, start, has = codes(held)
         np.logical_or.at(letters, at, has)
         if not len(labels):
             continue
         where = ngram_bins(c, bins)
+        np.add.at(size, at, np.add.reduceat((where > 0).sum(0), start))
         for k in range(len(labels)):
             per_place = logp[k][where[0]].astype(np.float64)
             for row in where[1:]:
                 per_place += logp[k][row]
             np.add.at(total[:, k], at, np.add.reduceat(per_place, start))
+    return total, letters, size
+
+
+def score_texts(texts: list[str | None], labels: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
+    total, letters, _ = totals(texts, labels, logp)
+    return named(total, letters, labels)
+
+
+def named(total: np.ndarray, letters: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
+    """The predicted language of each text and its posterior."""
     if not len(labels):
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return [UNKNOWN] * len(total), np.zeros(len(total))
     best = total.argmax(1)
-    top = total[np.arange(len(texts)), best]
+    top = total[np.arange(len(total)), best]
     posterior = 1.0 / np.exp(total - top[:, None]).sum(1)
     return [labels[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters.tolist())], np.where(letters, posterior, 0.0)
 
 
+def strangeness(total: np.ndarray, size: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """How far texts of ``size`` n-grams and log probability ``total`` lie below the ``usual`` mean of their language."""
+    n = np.maximum(size, 1)
+    return (usual - total / n) * np.sqrt(n / (1 + n / EVEN))
+
+
 def predict(rows: DataFrame, labels: list[str], logp: np.ndarray, text_col: str = "text",
             pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``rows`` with all their columns, the predicted language and its posterior (0 to 1)."""
@@ -191,11 +232,54 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def strange_bounds(rows: DataFrame, labels: list[str], logp: np.ndarray, usual: np.ndarray, text_col: str = "text",
+                   label_col: str = "lang") -> np.ndarray:
+    """The most strangeness that each language allows, from all rows that taught it."""
+    model = rows.sparkSession.sparkContext.broadcast((labels, logp))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table = model.value
+        place = {x: k for k, x in enumerate(names)}
+        for batch in batches:
+            total, letters, size = totals(batch.column("__text").to_pylist(), names, table)
+            own = np.array([place.get(x, -1) for x in batch.column("__label").to_pylist()], np.int64)
+            at = np.flatnonzero(letters & (own >= 0))
+            own = own[at]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(strangeness(total[at, own], size[at], usual[own]))],
+                                             names=["__own", "__far"])
+
+    labelled = rows.select(F.col(text_col).alias("__text"), F.col(label_col).cast("string").alias("__label")).dropna()
+    found = (map_batches(labelled, judged, "__own int, __far double").groupBy("__own")
+             .agg(F.percentile_approx("__far", ORDINARY, 10_000).alias("__far")).collect())  # a row per language
+    bounds = np.zeros(len(labels))
+    for r in found:
+        bounds[r["__own"]] = max(r["__far"], 0.0)
+    return bounds + MARGIN
+
+
 def drop_unknown(docs: DataFrame, min_score: float = 0.3, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """Rows with a letter whose language is found with a posterior of ``min_score`` or more."""
-    labels, logp = train(docs.filter(~held_out(id_col)), text_col, label_col)
-    kept = predict(docs, labels, logp, text_col, "__lang", "__score")
-    return kept.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).select(*docs.columns)
+    """Rows with a letter whose language is found with a posterior of ``min_score`` or more and that fit
+    it as its training rows do."""
+    teach = docs.filter(~held_out(id_col))
+    labels, counts = counted(teach, text_col, label_col)
+    logp = log_probabilities(counts)
+    usual = (counts * logp).sum(1) / counts.sum(1)
+    bounds = strange_bounds(teach, labels, logp, usual, text_col, label_col) if labels else usual
+    model = docs.sparkSession.sparkContext.broadcast((labels, logp, usual, bounds))
+    where = docs.columns.index(text_col)
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table, mean, most = model.value
+        for batch in batches:
+            total, letters, size = totals(batch.column(where).to_pylist(), names, table)
+            keep = letters & (len(names) > 0)
+            if len(names):
+                best = total.argmax(1)
+                keep &= named(total, letters, names)[1] >= min_score
+                keep &= strangeness(total[np.arange(len(best)), best], size, mean[best]) <= most[best]
+            yield batch.filter(pa.array(keep))
+
+    return map_batches(docs, fitting, docs.schema)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -63,3 +63,25 @@ def test_rejects_and_nulls(spark, docs, no_docs):
     assert sorted(r.text for r in kept.collect()) == sorted(expected)
     labels, logp = m.train(no_docs.withColumn("lang", F.lit("en")))
     assert labels == [] and set(r.lang_pred for r in m.predict(docs.select("text"), labels, logp).collect()) == {"und"}
+
+
+def test_texts_in_no_learned_language_are_dropped(spark):
+    """Foreign and noise texts go, short or long; clean ones of the learned languages stay, however short."""
+    import base64
+    import random
+    rng = random.Random(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = ["Tietokone on laite, joka suorittaa laskutoimituksia ja käsittelee tietoja ohjelman mukaan.",
+               "Komputer to maszyna elektroniczna przeznaczona do przetwarzania informacji, które da się zapisać.",
+               "Компьютер это устройство способное выполнять заданную последовательность операций"]
+    noise = [base64.b64encode(rng.randbytes(300)).decode(), "".join(rng.choice("asdfghjklqwertyuiop ") for _ in range(300)),
+             "asdfkjh qwlekrj xcvmn zpoiu"]
+    bad = [t * n for t in foreign + noise for n in (1, 200)]
+    clean = ["the", "of the and", "und der die", "le la des", "los de la", "Is and the of, the."]
+    rows = [(10**6 + i, t, None) for i, t in enumerate(bad)] + [(2 * 10**6 + i, t, None) for i, t in enumerate(clean)]
+    kept = m.drop_unknown(docs.unionByName(spark.createDataFrame(rows, docs.schema)))
+    left = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not [t[:40] for i, t, _ in rows[:len(bad)] if i in left]
+    assert not [t for i, t, _ in rows[len(bad):] if i not in left]
+    given = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert given <= left
