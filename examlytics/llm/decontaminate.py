@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Texts become tokens: lower-cased runs of letters and digits.  A seed is a fixed mask over a few
+Texts become tokens: lower-cased runs of letters and digits; in scripts that write no spaces between words
+(Chinese, Japanese, Thai, Lao, Khmer, Burmese) every letter is a token.  A seed is a fixed mask over a few
 consecutive tokens that looks at the positions marked 1 and ignores the others, so a hit survives
 substitutions at the ignored ones.  Every position of every training and benchmark text is hashed
-under each mask and the hashes are joined.  With the two masks of ``MASKS``, any ``WINDOW`` = 20
-aligned tokens with up to four substitutions contain a hit, as do shorter items with a fifth of their tokens
-substituted, but for one pattern of 15 tokens (tests/llm checks all patterns).
+under each mask and the hashes are joined.  With the first two masks of ``MASKS``, any ``WINDOW`` = 20
+aligned tokens with up to four substitutions contain a hit, as do most shorter items with a fifth of their tokens
+substituted.  Items of the lengths where they miss a pattern, or do not fit, have a shorter mask as well
+(``LENGTHS``), so that every permitted pattern of every length has a hit (tests/llm checks them all).
 
 Around each hit the two token runs are compared on the hit's diagonal, substitutions allowed:
 a document is contaminated by an item if ``WINDOW`` aligned tokens (all tokens of a shorter item)
@@ -17,8 +19,8 @@ positives only cost work, and every survivor goes through the exact join.  A sur
 row carries just the 2 * REACH + 1 token hashes around it.  The benchmark's rows go into the join
 as an ordinary side: Spark broadcasts it below its own threshold and shuffles beyond it.
 
-Defined cases: null or empty texts, and items of fewer than ``MIN_ITEM`` tokens, match nothing
-(shorter passages cannot be told from ordinary prose).  Repeated documents and repeated items are
+Defined cases: null or empty texts and items without tokens match nothing.  Items of one to four tokens match
+where a document holds them whole, common words too: what is in the benchmark is taken at its word.  Repeated documents and repeated items are
 judged one by one; several items or places count once each in ``hits``.  A null item id is reported as null.
 An empty benchmark leaves every document clean.  Other columns are not read; ``drop_contaminated``
 passes them through.
@@ -31,19 +33,27 @@ from pyspark.sql import functions as F
 
 from .common import cut, row_key
 
-#: Seeds: 1 marks a token that must agree.  All begin with two such tokens.
-MASKS = ("111011", "11100011")
+#: Seeds: 1 marks a token that must agree.  All but the last begin with two such tokens.
+MASKS = ("111011", "11100011", "1111", "111", "11", "1")
+#: Numbers of tokens of the items that each mask is for; None for all.
+LENGTHS = (None, None, (4, 8, 10, 11, 15), (3, 6, 7), (2, 5), (1,))
 WINDOW = 20
 PERCENT = 80
-MIN_ITEM = 8
+MIN_ITEM = 1
 #: Tokens kept on each side of a hit: a window that holds it lies within.
 REACH = WINDOW
 FILTER_BITS = 20
 SPLIT = "[^\\p{L}\\p{N}]+"
+#: Letters of scripts without spaces; none lies before the first of them, which is tested first.
+UNSPACED = ("[[\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u31F0-\\u31FF\\u3400-\\u4DBF\\u4E00-\\u9FFF"
+            "\\uA9E0-\\uA9FF\\uAA60-\\uAA7F\\uF900-\\uFAFF\\uFF66-\\uFF9F\\x{20000}-\\x{3FFFF}]&&\\p{L}]")
+PERHAPS_UNSPACED = "[\\u0E00-\\x{10FFFF}]"
 
 
 def token_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
+    given = F.coalesce(text, F.lit(""))
+    spaced = F.when(given.rlike(PERHAPS_UNSPACED), F.regexp_replace(given, UNSPACED, " $0 ")).otherwise(given)
+    words = F.filter(F.split(F.lower(spaced), SPLIT), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -54,14 +64,15 @@ def seed_hash(h: Column, i: Column, k: int) -> Column:
 
 
 def pair_hash(a: Column, b: Column) -> Column:
-    """Of the two tokens that every mask begins with."""
+    """Of the two tokens that every mask but the last begins with."""
     return a.bitwiseXOR(F.shiftleft(b, 1))
 
 
-def seeds_at(h: Column, places: Column) -> Column:
-    """(seed, at) of every mask at the given places."""
+def seeds_at(h: Column, places: Column, of_items: bool = False) -> Column:
+    """(seed, at) of every mask at the given places; of items, only of the masks for their length."""
     def under(k: int) -> Column:
-        return F.transform(places, lambda i: F.struct(seed_hash(h, i, k).alias("seed"), i.alias("at")))
+        seeds = F.transform(places, lambda i: F.struct(seed_hash(h, i, k).alias("seed"), i.alias("at")))
+        return F.when(F.size(h).isin(*LENGTHS[k]), seeds).otherwise(F.slice(seeds, 1, 0)) if of_items and LENGTHS[k] else seeds
 
     each = [under(k) for k in range(len(MASKS))]
     return F.filter(F.flatten(F.array(*each)), lambda s: s["seed"].isNotNull())
@@ -77,7 +88,7 @@ def benchmark_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     items = (benchmark.select(F.col(id_col).alias("__item"), token_hashes(F.col(text_col)).alias("__h"))
              .filter(F.size("__h") >= MIN_ITEM))
     h = F.col("__h")
-    return (items.withColumn("__s", F.explode(seeds_at(h, F.sequence(F.lit(0), F.size(h) - 1))))
+    return (items.withColumn("__s", F.explode(seeds_at(h, F.sequence(F.lit(0), F.size(h) - 1), of_items=True)))
             .select(F.col("__s.seed").alias("__seed"), "__item", F.size(h).alias("__item_tokens"),
                     around(h, F.col("__s.at")).alias("__theirs"), F.get(h, F.col("__s.at")).alias("__t0"),
                     F.get(h, F.col("__s.at") + 1).alias("__t1")))
@@ -93,7 +104,7 @@ def filter_table(seeds: DataFrame) -> Column:
     2**FILTER_BITS bits in 64-bit words."""
     hashes = seeds.select(F.explode(F.array("__seed", "__t0", pair_hash(F.col("__t0"), F.col("__t1")))).alias("x"))
     word, bit = _bit(F.col("x"))
-    rows = hashes.select(word.alias("w"), F.expr("1L").alias("one"), bit.alias("b")).groupBy("w").agg(
+    rows = hashes.filter("x is not null").select(word.alias("w"), F.expr("1L").alias("one"), bit.alias("b")).groupBy("w").agg(
         F.expr("bit_or(shiftleft(one, b))").alias("bits")).collect()  # at most 2**(FILTER_BITS - 6) rows
     table = [0] * (1 << (FILTER_BITS - 6))
     for r in rows:
@@ -126,9 +137,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         word, bit = _bit(s)
         return F.getbit(F.get(F.col("__table"), word), bit) == 1
 
-    # a cascade of cheaper tests first: the token, the pair, and only then the seeds
+    # a cascade of cheaper tests first: the token, the pair (or the token alone as an item), and only then the seeds
     places = F.filter(F.transform(F.col("__h"), lambda x, i: F.when(
-        maybe(x) & maybe(pair_hash(x, F.get(F.col("__h"), i + 1))), i)), lambda i: i.isNotNull())
+        maybe(x) & (maybe(pair_hash(x, F.get(F.col("__h"), i + 1))) | maybe(seed_hash(F.col("__h"), i, len(MASKS) - 1))), i)),
+        lambda i: i.isNotNull())
     marked = F.filter(seeds_at(F.col("__h"), F.col("__places")), lambda s: maybe(s["seed"]))
     with_context = F.transform(marked, lambda s: F.struct(s["seed"].alias("seed"), around(F.col("__h"), s["at"]).alias("ours")))
     hits = (rows.withColumn("__table", table).withColumn("__places", places).withColumn("__s", F.explode(with_context))

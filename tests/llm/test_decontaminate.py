@@ -80,3 +80,39 @@ def test_empty_tables(case):
     assert m.contaminated(df, bench.limit(0)).count() == 0
     assert m.drop_contaminated(df, bench.limit(0)).count() == df.count()
     assert m.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_every_length_has_masks_for_every_pattern():
+    for n in range(1, m.WINDOW + 1):
+        k = n * (100 - m.PERCENT) // 100
+        own = [mask for mask, lengths in zip(m.MASKS, m.LENGTHS) if lengths is None or n in lengths]
+        masks = [sum(1 << i for i, c in enumerate(mask) if c == "1") << s for mask in own for s in range(n - len(mask) + 1)]
+        assert all(any(not p & sum(1 << i for i in e) for p in masks) for e in itertools.combinations(range(n), k)), n
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    def words(n):
+        return [f"t{n}x{i}" for i in range(n)]
+
+    items = [(n, " ".join(words(n))) for n in range(1, 16)]
+    items += [(100, "中国的首都是哪一座城市"), (101, "日本で一番高い山は何ですか"), (102, "ประเทศไทยมีกี่จังหวัด"), (103, "𠀀𠀁𠀂")]
+    docs, expected = [], set()
+
+    def doc(text, item=None):
+        docs.append((len(docs), text))
+        if item is not None:
+            expected.add((len(docs) - 1, item))
+
+    for n in range(1, 16):
+        k = n // 5
+        for e in itertools.combinations(range(n), k):
+            if n < 9 or e in ((1, 4), (2, 4), (2, 5), (2, 8), (5, 7, 9)):
+                doc("before " + " ".join("sub" if i in e else w for i, w in enumerate(words(n))).upper() + " after", n)
+        doc(" ".join("sub" if i <= k else w for i, w in enumerate(words(n))))  # one substitution too many
+    doc("前文中国的首都是哪一座城市呢后文", 100)
+    doc("「日本で、一番高い山は何ですか?」", 101)
+    doc("ก่อนประเทศไทยมีกี่จังหวัดหลัง", 102)
+    doc("x𠀀𠀁𠀂y", 103)
+    doc("中国的城市")
+    found = m.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["__id"], r["__item"]) for r in found.collect()} == expected
