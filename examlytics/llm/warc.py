@@ -4,7 +4,8 @@
 of WARC files.  ``derive`` makes two records of every response:
 
 * a metadata record with a JSON body: the source's WARC headers, its HTTP status and headers, the page
-  title and its links;
+  title and its links.  ``source_fields`` and the HTTP headers are [name, value] pairs in the source's order, so
+  repeated fields all stay; ``source`` is the same by name, with the last value of a repeated one;
 * a conversion record whose body is the page's plain text (all visible blocks, a line each).
 
 Both keep the source's target URI and date and point to it by WARC-Refers-To; the conversion also
@@ -110,7 +111,7 @@ def derivatives(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     source = field(headers, "WARC-Record-ID")
     ids = {kind: record_id(kind, source) for kind in ("metadata", "conversion")}
     text = "".join(f"{b.text}\n" for b in page.blocks).encode("utf-8", "replace")
-    facts = json.dumps({"source": dict(headers), "http": {"status": status, "headers": dict(http)}, "payload": {
+    facts = json.dumps({"source": dict(headers), "source_fields": headers, "http": {"status": status, "headers": http}, "payload": {
         "length": len(payload), "digest": digest(payload)}, "html": {"title": page.title, "links": [u for u, _ in page.links]}},
         ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")
 

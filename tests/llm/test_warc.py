@@ -57,3 +57,15 @@ def test_query_reads_every_page(spark):
     row = out.filter((out.page_id == page.page_id) & (out.record_type == "conversion")).first()
     assert row.refers_to == source["WARC-Record-ID"] and row.source_digest == "sha1:" + __import__("base64").b32encode(
         hashlib.sha1(page.html.encode()).digest()).decode()
+
+
+def test_repeated_fields_all_stay(spark, tmp_path):
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Concurrent-To", "<urn:uuid:2>"),
+               ("WARC-Target-URI", "http://a/"), ("WARC-Concurrent-To", "<urn:uuid:3>")]
+    http = [["Set-Cookie", "a=1"], ["Content-Type", "text/html"], ["Set-Cookie", "b=2"]]
+    block = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http) + "\r\n<p>x</p>").encode()
+    (tmp_path / "a.warc").write_bytes(m.to_bytes(headers, block))
+    out = m.derive(m.read_records(spark.read.format("binaryFile").load(str(tmp_path))), "path")
+    ((_, body),) = m.parse(bytes(out.filter("record_type = 'metadata'").first().record))
+    facts = json.loads(body)
+    assert facts["source_fields"] == [list(h) for h in headers] and facts["http"]["headers"] == http
