@@ -8,11 +8,15 @@ from dataclasses import dataclass, field
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "canvas")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "annotation", "annotation-xml", "select", "object", "canvas")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not end a block.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp "
-                    "small span strike strong sub sup time tt u var wbr".split())
+                    "small span strike strong sub sup time tt u var wbr "
+                    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt "
+                    "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split())
+#: Elements that the head may hold; any other ends it.
+_IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: An element's start ends an open one of these kinds.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}}
@@ -64,6 +68,9 @@ def read(page: str) -> Page:
         parts, linked = [], []
 
     def say(raw: str) -> None:
+        nonlocal node
+        if node.tag == "head" and raw.strip():
+            node = node.parent
         if raw and not node.hidden:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -100,6 +107,8 @@ def read(page: str) -> Page:
             elif tag == "p":
                 flush(container())
             continue
+        if node.tag == "head" and tag not in _IN_HEAD:
+            node = node.parent
         attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if m[3].strip(" /\t\r\n") else {}
         if tag == "br":
             parts.append(" ")

@@ -13,7 +13,12 @@ The classifier is a logistic regression.  ``pages`` has no labels, so it learns
 prior weights; a sample without such markup leaves the prior as it is.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are
-trimmed and joined in page order by an empty line.  Scripts, styles, comments, hidden elements and the head are no blocks.
+trimmed and joined in page order by an empty line.  Scripts, styles, comments, hidden elements and the head are no blocks;
+the head ends at the first element or text that cannot be in it.
+
+Names: a class, id or role speaks of boilerplate by its parts (``cookie-notice``), but not behind a part that makes it a
+state or a subject (``has-sidebar``, ``tag-social``) and not as a layout (``content-sidebar-wrap``).  Inside an article or
+main only the containers below the outermost one are judged, articles themselves only as comments, and headers not at all.
 
 Defined cases: null or empty html and pages without content give the empty text.  Unclosed tags,
 quotes and comments run to the end of the page.  Repeated rows get a row each.  Pages of any length
@@ -25,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +54,18 @@ SMOOTH = 2.5
 SCALE = 100
 
 _MAIN = frozenset(("article", "main"))
-_BOILERPLATE = frozenset("nav footer aside form header menu dialog button fieldset legend figcaption".split())
+_BOILERPLATE = frozenset("nav footer aside form header menu dialog button fieldset legend".split())
 _MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body)(?:$|[\s_-])")
 _BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|contentinfo|sidebar|side|aside|complementary|"
+    r"(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|contentinfo|sidebar|side|aside|complementary|"
     r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|"
-    r"share|sharing|social|related|recommended|widget|toolbar|pagination|pager|tags|comments?|comment-\w+|disqus|replies|reply|respond|"
-    r"copyright|legal|skip|form|dialog)(?:$|[\s_-]|\d)")
+    r"share|sharing|social|related|recommended|widget|toolbar|pagination|pager|tags|comments?|disqus|replies|reply|respond|"
+    r"copyright|legal|skip|form|dialog)(?:\d.*)?")
+_PARTS = re.compile(r"[_-]+")
+#: What stands behind one of these parts of a name is a state or a subject, not the container's kind.
+_SAFE = frozenset("has no with without is not show hide hidden cat category categories tag topic term type format status layout".split())
+_WRAPS = frozenset("container grid inner wrap wrapper".split())
+_WRAPPED = frozenset("article content entry layout main page post site story".split())
 
 
 def _ancestors(node: Node | None) -> list[Node]:
@@ -65,13 +76,44 @@ def _ancestors(node: Node | None) -> list[Node]:
     return out[::-1]
 
 
+@lru_cache(maxsize=1 << 14)
+def boilerplate_names(names: str) -> frozenset[str]:
+    """The parts of a container's names that speak of boilerplate."""
+    out = set()
+    for name in names.split():
+        parts = [p for p in _PARTS.split(name) if p]
+        if not parts or parts[-1] == "layout" or (parts[-1] in _WRAPS and parts[0] in _WRAPPED):
+            continue
+        for part in parts:
+            if part in _SAFE:
+                break
+            if _BOILERPLATE_NAMES.fullmatch(part):
+                out.add(part)
+    return frozenset(out)
+
+
+def _named_boilerplate(chain: list[Node]) -> bool:
+    top = next((i for i, n in enumerate(chain) if n.tag in _MAIN), -1)
+    for i, n in enumerate(chain):
+        if i <= top or not n.names or n.tag in ("html", "body"):
+            continue
+        found = boilerplate_names(n.names)
+        if n.tag in _MAIN:
+            found = found & {"comment", "comments"}
+        elif top >= 0:
+            found = found - {"header"}
+        if found:
+            return True
+    return False
+
+
 def features(block: Block, known: dict[int, tuple]) -> list[float]:
     """In the order of PRIOR.  ``known`` remembers what a container and its ancestors give."""
     if id(block.node) not in known:
         chain = _ancestors(block.node)
         main_at = max((i for i, n in enumerate(chain) if n.tag in _MAIN), default=-1)
         bad = any(n.tag in _BOILERPLATE and not (n.tag == "header" and i > main_at >= 0) for i, n in enumerate(chain))
-        bad_name = any(n.names and _BOILERPLATE_NAMES.search(n.names) for n in chain if n.tag not in ("html", "body"))
+        bad_name = _named_boilerplate(chain)
         main_name = any(n.names and _MAIN_NAMES.search(n.names) for n in chain)
         known[id(block.node)] = (1.0, float(main_at >= 0), float(bad), float(main_name), float(bad_name)), float(any(n.tag == "h1" for n in chain))
     place, heading = known[id(block.node)]

@@ -81,3 +81,28 @@ def test_pages(spark):
     assert got == sorted([(1, "u", TEXT, len(TEXT)), (2, None, "", 0), (None, "", "", 0), (1, "u", TEXT, len(TEXT))], key=str)
     assert m.label_pages(pages).filter("content").count() == 6
     assert m.main_text(pages.limit(0)).count() == 0
+
+
+def test_names_of_wrappers_and_articles_lose_nothing():
+    rest = "<div class=sidebar><p>Something else that is said beside the article, at length.</p></div>"
+    for open_, close in [
+            ("<div class='layout has-sidebar'><article>", "</article></div>"), ("<div class='site no-ads'><article>", "</article></div>"),
+            ("<article class='post category-legal'>", "</article>"), ("<article class='post tag-social'>", "</article>"),
+            ("<div class='content-sidebar-wrap'><main>", "</main></div>"), ("<div class=sidebar-right><article>", "</article></div>"),
+            ("<main><div class=page-with-sidebar><article class='news legal'>", "</article></div></main>"),
+            ("<article><div class='entry-header'><p>Over the title</p></div>", "</article>")]:
+        over = "Over the title\n\n" if "Over" in open_ else ""
+        assert m.extract(f"<body>{rest}{open_}{ARTICLE}{close}{rest}</body>") == over + TEXT, open_
+    for name in ("comments", "post-comments", "cookie-notice", "widget2", "share-buttons", "related_posts", "site-footer"):
+        assert m.extract(f"<main>{ARTICLE}<div class='x {name}'><p>Not of the article, though it is long enough.</p></div></main>") == TEXT, name
+    prose = "".join(f"<p>This is a paragraph of running prose, number {i}, that goes on for a good while and ends here.</p>" for i in range(5))
+    assert m.extract(f"<body><div class='layout has-sidebar'>{prose}</div></body>").count("prose") == 5
+
+
+def test_captions_formulas_and_open_heads():
+    caption = "<figure><img src=x><figcaption>What the picture shows, in a sentence.</figcaption></figure>"
+    formula = "<p>The area is <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation>a=2</annotation></semantics></math> here.</p>"
+    assert m.extract(f"<article>{ARTICLE}{caption}{formula}</article>") == f"{TEXT}\n\nWhat the picture shows, in a sentence.\n\nThe area is a=2 here."
+    for head in ("<head><title>T</title><meta charset=utf-8>", "<head><title>T</title><script>x</script>", "<head>"):
+        assert m.extract(f"<html>{head}<article>{ARTICLE}</article></html>") == TEXT
+        assert m.extract(f"<html>{head}<body><article>{ARTICLE}</article></html>") == TEXT
