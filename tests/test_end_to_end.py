@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from examlytics.functions import constants as K
 from examlytics.operators import dashboard as D
 from examlytics.operators import parse as P

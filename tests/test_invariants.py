@@ -4,7 +4,7 @@ depend on the number of shuffle partitions."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from examlytics.operators import dashboard as D
 from examlytics.plans import catalog
 

@@ -2,7 +2,7 @@ import subprocess
 import sys
 import tempfile
 
-from conftest import ROOT, SF_SMALL
+from paths import ROOT, SF_SMALL
 from examlytics import jobs
 from examlytics.functions.questions import NO_CHOICES_QUESTIONS, SHORT_LIST_QUESTIONS
 from examlytics.operators import sessions as S

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from examlytics.operators.ordering import bucketed_rank
 from examlytics.plans import fixtures as fx
 

@@ -4,7 +4,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from examlytics.plans import catalog
 from examlytics.schemas import RESULT_COLUMNS
 from examlytics.sources import ingest, results_store
@@ -146,7 +146,7 @@ def test_roster_csv_drops_passwords(spark):
 def test_store_prunes_days_and_pushes_status(spark):
     import contextlib
     import io
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     from examlytics.operators import dashboard as D
     from examlytics.plans import catalog
     path = tempfile.mkdtemp(prefix="examlytics-store-") + "/results"

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from examlytics.operators import sessions as S
 from examlytics.plans import catalog, fixtures as fx
 from examlytics.sources import results_store
