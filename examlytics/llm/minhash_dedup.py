@@ -177,7 +177,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
     placed = pairs.select(F.least(block("a"), block("b")).alias("lo"), F.greatest(block("a"), block("b")).alias("hi"), "a", "b")
     wanted = placed.select("lo", "hi", F.explode(F.array("a", "b")).alias("class")).distinct()
-    shipped = wanted.join(sets.select("class", "set"), "class").select("lo", "hi", F.col("class").alias("a"), F.lit(None).cast("binary").alias("b"), "set")
+    shipped = wanted.join(sets.select("class", "set"), "class").select("lo", "hi", F.col("class").alias("a"), F.lit(None).cast(pairs.schema["a"].dataType).alias("b"), "set")
     dealt = (shipped.unionByName(placed.withColumn("set", F.lit(None).cast("binary")))
              .repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.col("b").asc_nulls_first()))
 
@@ -199,7 +199,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["u", "v"])
 
-    return map_batches(dealt, check, "u binary, v binary")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return map_batches(dealt, check, f"u {kind}, v {kind}")
 
 
 def _words(column: pa.Array, width: int) -> np.ndarray:
