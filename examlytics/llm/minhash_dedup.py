@@ -13,10 +13,9 @@
    are then confirmed on the full sets.  Components of the confirmed links follow by alternating
    large-star and small-star.
 5. Links that the first classes missed can only join different components.  So within each bucket
-   that still holds more than one component, the signatures of classes of different components
-   are compared, in tiles of bounded size; a passing pair is emitted once, in the first band that
-   it shares, confirmed on full sets, and the components are merged.  No pair within a component
-   is emitted, and a bucket of one component is skipped whole.
+   that still holds more than one component, classes of different components are compared on their
+   full sets, in pairs of tiles of bounded size, and only links that join two components are returned
+   (:mod:`near_links`), one a class and pair of tiles at most.  A bucket of one component is skipped whole.
 
 Steps 2 and 3 are the only ones that can lose a link, with probability below 2e-6 for a pair at
 the threshold and less above it; nothing is capped.  The threshold ``percent`` is the caller's: op3
@@ -43,6 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, cut, map_batches, mix64, powers, row_key, salted_join, text_bytes, word_hashes
 from .components import components
+from .near_links import spanning_links
 
 WIDTH = 5
 #: Threshold of op3.
@@ -54,8 +54,6 @@ SIGNATURE = 1024
 SLACK = 4.75
 #: Classes whose full sets are compared with those of another such block at a time.
 BLOCK = 512
-#: Classes of one bucket that are compared with each other at a time.
-TILE = 1024
 _SEED = 20_240_501
 _BASE = 0x9FB21C651E98DF25
 
@@ -220,83 +218,26 @@ def alike(pairs: DataFrame, sig: DataFrame, percent: int = PERCENT) -> DataFrame
     return map_batches(both, check, "a binary, b binary")
 
 
-def _tile_pairs(key: tuple, rows: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
-    """Pairs of one tile: classes of different components that pass signature verification, in
-    the first band that they share."""
-    t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-    name = np.array(t.column("class").to_pylist(), object)
-    _, root = np.unique(np.array([r.hex() for r in t.column("root").to_pylist()]), return_inverse=True)
-    sig, bands = _words(t.column("sig"), SIGNATURE // 32), _words(t.column("bands"), bands_for(percent))
-    tile = t.column("tile").to_numpy()
-    here = np.uint64(key[0] & 0xFFFFFFFFFFFFFFFF)
-    left, right = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
-    a, b = [], []
-    for i in range(0, len(left), 32):
-        some = left[i:i + 32]
-        x, y = np.nonzero((unlike(sig[some, None], sig[None, right]) <= most_unlike(percent)) & (root[some, None] != root[None, right]))
-        x, y = some[x], right[y]
-        fresh = x < y if key[1] == key[2] else np.ones(len(x), bool)
-        x, y = x[fresh], y[fresh]
-        same = bands[x] == bands[y]
-        first = bands[x, same.argmax(axis=1)] == here
-        a.extend(name[x[first]])
-        b.extend(name[y[first]])
-    lo, hi = [min(p) for p in zip(a, b)], [max(p) for p in zip(a, b)]
-    return pa.RecordBatch.from_arrays([pa.array(lo, pa.binary()), pa.array(hi, pa.binary())], names=["a", "b"])
-
-
-def cross_pairs(members: DataFrame, sig: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): classes of one bucket but different components that pass signature verification.
-
-    ``members`` has band, class, root.  A bucket is dealt to tiles of about TILE classes, and every
-    pair of tiles is a task's unit: memory is bounded and a large bucket is spread."""
-    bucket = Window.partitionBy("band")
-    open_ = (members.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket))
-             .withColumn("tiles", F.ceil(F.count(F.lit(1)).over(bucket) / TILE).cast("int")).filter("lo <> hi")
-             .withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .select("band", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "class", "root"))
-    dealt = (open_.join(sig, "class").select("band", "t1", "t2", "tile", "class", "root", "sig", "bands")
-             .repartition("band", "t1", "t2").sortWithinPartitions("band", "t1", "t2"))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in ("band", "t1", "t2")]
-            edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(batch)]):
-                key = tuple(int(k[lo]) for k in keys)
-                if key != now and held:
-                    yield _tile_pairs(now, held, percent)
-                    held = []
-                now = key
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield _tile_pairs(now, held, percent)
-
-    return map_batches(dealt, pairs, "a binary, b binary")
-
-
 def near_components(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """(class, root) of every class that links with another, from ``classes_of`` rows of the same ``percent``."""
     classes = (rows.filter("n_shingles > 0").groupBy(F.col("__class").alias("class"))
-               .agg(F.min("__key").alias("__key"), F.first("__bands").alias("bands")))
-    banded = classes.select("class", "__key", "bands", F.explode("bands").alias("band"))
+               .agg(F.min("__key").alias("__key"), F.first("n_shingles").alias("size"), F.first("__bands").alias("bands")))
+    banded = classes.select("class", "size", F.explode("bands").alias("band"))
     bucket = Window.partitionBy("band")
     hubs = [F.min("class"), F.max("class"), F.min_by("class", F.xxhash64("class", F.lit(1))), F.min_by("class", F.xxhash64("class", F.lit(2)))]
-    members = (banded.select("class", "band").withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
+    members = (banded.withColumn("n", F.count(F.lit(1)).over(bucket)).filter("n > 1")
                .withColumn("hubs", F.array_distinct(F.array(*[h.over(bucket) for h in hubs]))).drop("n"))
     members = cut(members)
     wanted = members.select("class").distinct().join(classes, "class")
     sets = cut(signatures(docs, wanted, id_col, text_col))
-    sig = sets.select("class", "sig", "bands")
+    sig = sets.select("class", "sig")
 
     stars = (members.select("class", F.explode("hubs").alias("hub")).filter("class <> hub")
              .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
     first = components(confirmed(cut(alike(stars, sig, percent)), sets, percent))
 
-    known = members.select("band", "class").join(first.withColumnRenamed("node", "class"), "class", "left")
-    more = confirmed(cut(cross_pairs(known.withColumn("root", F.coalesce("root", "class")), sig, percent)), sets, percent)
+    known = members.select(F.col("band").alias("bucket"), "class", "size").join(first.withColumnRenamed("node", "class"), "class", "left")
+    more = spanning_links(known.withColumn("root", F.coalesce("root", "class")), sets.withColumnRenamed("bands", "keys"), percent)
     linked = first.select(F.col("node").alias("u"), F.col("root").alias("v"))
     return components(linked.unionByName(more)).select(F.col("node").alias("class"), "root")
 
