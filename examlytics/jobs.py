@@ -9,13 +9,15 @@ unless a path is given, so that the next run goes on where the last one ended.
   results    evaluations (record_id, examiner_name, student_name, roll_number, department, project_title, result,
              saved_at) -> append to the results store (``--load`` names the append: repeated, it replaces itself)
   stream     the same as a Structured Streaming job into the same store
+  compact    results store: merge each day's loads into sized files and swap them; remove what is not live after --retain-hours
   terminations  violations (session_id, ts, event_id) as a stream -> sessions that must end (--sink parts, --out table)
+  merge      a stream's table (--sink, --kind violations, answers or terminations): merge its micro-batches and swap, while it runs
   dashboard  results store -> kpis / status / departments / marks series
   prompts    settings (doc_id, mode, section, difficulty, style, text) -> question prompts
   questions  responses (key, raw JSON, optional section) -> six questions per response
   grades     responses (prompt_id, kind, raw JSON) -> content of grading and model-answer calls
   sessions   typed and spoken answers, sessions (session_id, mode, n_questions), violations -> answers, progress,
-             resume points and finished sessions, without the terminated ones
+             resume points and finished sessions, without the terminated ones (--sink: those of a running terminations stream)
   final      questions (session_id, idx, question), answers, students -> final evaluation prompts
   reports    results store -> report table (latest record per roll number)
 """
@@ -35,6 +37,7 @@ from .operators import sessions as S
 from .schemas import EVALUATIONS, VIOLATIONS
 from .session import get_spark
 from .sources import reports, results_store
+from .streaming import batches
 from .streaming import streams as G
 
 
@@ -50,6 +53,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         checkpoint = args.checkpoint or f"{args.store.rstrip('/')}.checkpoint"
         raw = G.read_stream(spark, args.input, EVALUATIONS, args.max_files)
         G.results_stream(raw, checkpoint, args.store, trigger_available_now=args.once).awaitTermination()
+    elif args.job == "compact":
+        results_store.compact(spark, args.store, args.min_parts)
+        results_store.vacuum(spark, args.store, args.retain_hours)
+    elif args.job == "merge":
+        if args.kind == "terminations":
+            G.merge_terminations(spark, args.sink, min_parts=args.min_parts)
+        else:
+            G.merge_latest(spark, args.sink, STREAM_KEYS[args.kind], min_parts=args.min_parts)
+        batches.vacuum(spark, args.sink, args.retain_hours)
     elif args.job == "terminations":
         checkpoint = args.checkpoint or f"{args.sink.rstrip('/')}.checkpoint"
         rows = G.read_stream(spark, args.input, VIOLATIONS, args.max_files)
@@ -73,6 +85,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         log = S.merge_channels(read(args.typed), read(args.voice)) if args.voice else S.blank_answer_filter(read(args.typed))
         sessions = read(args.sessions)
         active = S.exclude_terminated(sessions, S.violations_terminate(read(args.violations))) if args.violations else sessions
+        active = S.exclude_terminated(active, G.terminations(spark, args.sink)) if args.sink else active
         _write(S.answer_upsert(log), f"{args.out}/answers")
         _write(S.progress(log, sessions=active), f"{args.out}/progress")
         _write(S.resume_point(log, sessions=active), f"{args.out}/resume")
@@ -86,7 +99,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         raise ValueError(args.job)
 
 
-JOBS = ["results", "stream", "terminations", "dashboard", "prompts", "questions", "grades", "sessions", "final", "reports"]
+STREAM_KEYS = {"violations": ["session_id"], "answers": ["session_id", "idx"]}
+JOBS = ["results", "stream", "compact", "terminations", "merge", "dashboard", "prompts", "questions", "grades", "sessions", "final", "reports"]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -101,6 +115,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--key", default="prompt_id")
     p.add_argument("--date-from")
     p.add_argument("--date-to")
+    p.add_argument("--kind", choices=[*STREAM_KEYS, "terminations"], default="terminations", help="merge: what the table holds")
+    p.add_argument("--min-parts", type=int, default=8, help="compact, merge: nothing is rewritten below this number of parts (a day)")
+    p.add_argument("--retain-hours", type=float, default=168.0, help="compact, merge: how long replaced files stay for readers")
     p.add_argument("--max-files", type=int, help="streams: files per micro-batch")
     p.add_argument("--once", action="store_true", help="streams: process what is there, then stop")
     return p

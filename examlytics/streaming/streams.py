@@ -3,8 +3,9 @@
 Sources are Parquet file streams with a declared schema; each job takes its
 domain's columns (a violation log, an answer log, saved evaluations), whatever
 table they come from.  Stateful jobs run
-in update mode and append each micro-batch's changed rows (tagged with the
-batch id) to a Parquet table; a reader keeps the last row per key.  Event
+in update mode and append each micro-batch's changed rows to a table of
+micro-batches (:mod:`batches`); a reader keeps the last row per key, and
+:func:`merge_latest` merges them into one row per key while the stream runs.  Event
 time is a UTC instant built from the wall-clock ``timestamp_ntz`` column
 (``withWatermark`` refuses ``timestamp_ntz``), independent of the session
 time zone.
@@ -12,8 +13,6 @@ time zone.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +20,8 @@ from ..functions import constants as K
 from ..operators.results import result_build
 from ..operators.sessions import blank_answer_filter
 from ..schemas import EVENTS
-from ..sources.literals import empty_frame
 from ..sources.results_store import results_append
+from . import batches
 
 
 def table_glob(sf_dir: str, name: str) -> str:
@@ -53,27 +52,31 @@ def utc_instant(ntz: str, spark: SparkSession) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ntz)).cast("timestamp")
 
 
-def _upsert_sink(path: str):
-    """Each micro-batch's changed rows go to their own ``batch_id=<n>``
-    directory, overwritten on a replay, so a retried batch leaves exactly
-    one copy (idempotent) and readers can order batches."""
+def _upsert_sink(path: str, checkpoint: str):
+    """Each micro-batch's changed rows are a part of their own, which a replay replaces."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batches.commit_batch(batch, path, batches.stream_name(checkpoint), batch_id)
     return write
 
 
+def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    values = [c for c in rows.columns if c not in keys and c != batches.ORDER]
+    latest = F.max_by(F.struct(*values), batches.ORDER).alias("_v")
+    return rows.groupBy(*keys).agg(latest).select(*keys, *[F.col("_v")[c].alias(c) for c in values])
+
+
 def last_per_key(spark: SparkSession, path: str, keys: list[str], schema: str | None = None) -> DataFrame:
-    """Read an update-mode table: the row from the latest batch per key.
+    """Read an update-mode table: the row from the latest batch per key, from the merged part and the tail.
     A sink that never received a batch (no input) reads as empty."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception as exc:  # noqa: BLE001 - only a missing sink is expected
-        if schema is None or "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return empty_frame(spark, schema)
-    values = [c for c in df.columns if c not in keys and c != "batch_id"]
-    latest = F.max_by(F.struct(*values), "batch_id").alias("_v")
-    return df.groupBy(*keys).agg(latest).select(*keys, *[F.col("_v")[c].alias(c) for c in values])
+    return _latest(batches.live_batches(spark, path, schema and f"{schema}, {batches.ORDER} bigint"), keys)
+
+
+def merge_latest(spark: SparkSession, path: str, keys: list[str], schema: str | None = None, min_parts: int = 8) -> bool:
+    """Merge an update-mode table into a snapshot of one row per key, sorted by key in sized files, and swap it in (the stream may
+    run).  Nothing is done below ``min_parts`` parts, so that a snapshot is rewritten once for many micro-batches."""
+    def merge(rows: DataFrame) -> DataFrame:
+        return _latest(rows, keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return batches.swap(spark, path, merge, schema and f"{schema}, {batches.ORDER} bigint", min_parts)
 
 
 def _start(df: DataFrame, checkpoint: str, sink, mode: str, trigger_available_now: bool):
@@ -94,7 +97,7 @@ def violations_stream(proctor: DataFrame, checkpoint: str, sink: str, delay: str
          .withWatermark("t", delay)
          .groupBy(F.window("t", "1 day"), "session_id").agg(F.count(F.lit(1)).alias("n_violations"))
          .select("session_id", "n_violations", (F.col("n_violations") >= K.VIOLATION_LIMIT).alias("must_end")))
-    return _start(v, checkpoint, _upsert_sink(sink), "update", trigger_available_now)
+    return _start(v, checkpoint, _upsert_sink(sink, checkpoint), "update", trigger_available_now)
 
 
 def dropped_rows(query) -> int:
@@ -113,7 +116,7 @@ def answers_stream(log: DataFrame, checkpoint: str, sink: str, delay: str = "8 d
            .groupBy("session_start", "session_id", "idx")
            .agg(F.max_by("answer", F.struct("ts", "event_id")).alias("answer"))
            .select("session_id", "idx", "answer"))
-    return _start(agg, checkpoint, _upsert_sink(sink), "update", trigger_available_now)
+    return _start(agg, checkpoint, _upsert_sink(sink, checkpoint), "update", trigger_available_now)
 
 
 def results_stream(raw: DataFrame, checkpoint: str, store: str, trigger_available_now: bool = True):
@@ -123,10 +126,10 @@ def results_stream(raw: DataFrame, checkpoint: str, store: str, trigger_availabl
     A micro-batch is a load named after the checkpoint and its number: a
     retried one replaces its own rows.
     """
-    name = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    name = batches.stream_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        results_append(batch, store, f"stream-{name}-{batch_id}")
+        results_append(batch, store, f"stream-{name}-{batch_id}", sequence=(name, batch_id))
 
     return _start(result_build(raw), checkpoint, write, "append", trigger_available_now)
 
@@ -135,9 +138,10 @@ def results_stream(raw: DataFrame, checkpoint: str, store: str, trigger_availabl
 # Terminations: the moment a session reaches the violation limit.  "k-th
 # smallest per key" over all input so far is kept as parts: every micro-batch
 # is reduced to a count and at most k earliest rows per session (a partial
-# group limit: a hot session sends k rows per map partition), written under
-# its batch number; the reader takes the k-th earliest over the parts.  There
-# is no state and no watermark: a late event revises the moment.
+# group limit: a hot session sends k rows per map partition) and committed as
+# a part; the reader takes the k-th earliest over the parts.  There is no state
+# and no watermark: a late event revises the moment.  Parts merge into a new
+# generation under the running stream.
 # ---------------------------------------------------------------------------
 
 TERMINATION_PARTS = "session_id string, n_violations bigint, ts timestamp_ntz, event_id bigint, batch_id bigint"
@@ -149,39 +153,48 @@ def _earliest(rows: DataFrame, limit: int) -> DataFrame:
             .where(F.col("_rn") <= limit))
 
 
+def _parts(counts: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per session carries the count (so that parts add up), the others its earliest events."""
+    rows = rows.drop("_rn").withColumn("n_violations", F.lit(0).cast("bigint"))
+    return (counts.withColumn("ts", F.lit(None).cast("timestamp_ntz")).withColumn("event_id", F.lit(None).cast("bigint"))
+            .unionByName(rows))
+
+
 def terminations_stream(proctor: DataFrame, checkpoint: str, sink: str, limit: int = K.VIOLATION_LIMIT,
                         trigger_available_now: bool = True):
     """Parts for :func:`terminations`; ``proctor``: session_id, ts, event_id."""
+    name = batches.stream_name(checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_violations"))
-        rows = _earliest(batch, limit).drop("_rn")
-        # one row per session carries the count, so that the parts add up
-        parts = (counts.withColumn("ts", F.lit(None).cast("timestamp_ntz")).withColumn("event_id", F.lit(None).cast("bigint"))
-                 .unionByName(rows.withColumn("n_violations", F.lit(0).cast("bigint"))))
-        parts.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        batches.commit_batch(_parts(counts, _earliest(batch, limit)), sink, name, batch_id)
 
     return _start(proctor.select("session_id", "ts", "event_id"), checkpoint, write, "append", trigger_available_now)
 
 
+def _counts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("session_id").agg(F.sum("n_violations").alias("n_violations"))
+
+
 def terminations(spark: SparkSession, sink: str, limit: int = K.VIOLATION_LIMIT) -> DataFrame:
     """Sessions that have reached ``limit`` violations so far: count and moment, as ``violations_terminate``
     gives over all input.  A sink without any batch reads as empty."""
-    try:
-        parts = spark.read.schema(TERMINATION_PARTS).parquet(sink)
-        parts.schema
-    except Exception as exc:  # noqa: BLE001 - only a missing sink is expected
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        parts = empty_frame(spark, TERMINATION_PARTS)
-    counts = parts.groupBy("session_id").agg(F.sum("n_violations").alias("n_violations"))
+    parts = batches.live_batches(spark, sink, TERMINATION_PARTS)
     kth = _earliest(parts.where(F.col("event_id").isNotNull()), limit).where(F.col("_rn") == limit)
-    return kth.join(counts, "session_id").select(
+    return kth.join(_counts(parts), "session_id").select(
         "session_id", "n_violations", F.col("ts").alias("terminated_at"), F.col("event_id").alias("terminating_event_id"))
 
 
+def _generation(parts: DataFrame, limit: int) -> DataFrame:
+    return _parts(_counts(parts), _earliest(parts.where(F.col("event_id").isNotNull()), limit)).hint("rebalance")
+
+
+def merge_terminations(spark: SparkSession, sink: str, limit: int = K.VIOLATION_LIMIT, min_parts: int = 8) -> bool:
+    """Merge the parts into a new generation (a count and at most ``limit`` rows per session) and swap it in; the stream may
+    run.  A session's events may come later still: they add to the generation's."""
+    return batches.swap(spark, sink, lambda parts: _generation(parts, limit), TERMINATION_PARTS, min_parts)
+
+
 def compact_terminations(spark: SparkSession, sink: str, out: str, limit: int = K.VIOLATION_LIMIT) -> None:
-    """Rewrite the parts to one part per session at a new place (for a stream that starts anew from there)."""
-    parts = spark.read.schema(TERMINATION_PARTS).parquet(sink)
-    rows = _earliest(parts.where(F.col("event_id").isNotNull()), limit).drop("_rn").withColumn("n_violations", F.lit(0).cast("bigint"))
-    counts = parts.groupBy("session_id").agg(F.sum("n_violations").alias("n_violations"))
-    rows.unionByName(counts, allowMissingColumns=True).write.parquet(f"{out}/batch_id=-1")
+    """Write one generation of the parts at a new place (a copy for a stream that starts anew from there)."""
+    batches.commit_batch(_generation(batches.live_batches(spark, sink, TERMINATION_PARTS), limit), out, "copy", 0)
