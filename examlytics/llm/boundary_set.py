@@ -46,7 +46,7 @@ class Runs:
     """First value of each run and the number of values before it."""
 
     def __init__(self, low: np.ndarray):
-        begins = np.flatnonzero(np.diff(low, prefix=low[0] - 2) != 1)
+        begins = np.flatnonzero(np.diff(low, prepend=low[0] - 2) != 1)
         self.first, self.before = low[begins].astype(np.uint16), begins.astype(np.int32)
         self.nbytes = self.first.nbytes + self.before.nbytes
 
