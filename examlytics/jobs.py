@@ -12,10 +12,11 @@ unless a path is given, so that the next run goes on where the last one ended.
   compact    results store: merge each day's loads into sized files and swap them; remove what is not live after --retain-hours
   terminations  violations (session_id, ts, event_id) as a stream -> sessions that must end (--sink parts, --out table)
   merge      a stream's table (--sink, --kind violations, answers or terminations): merge its micro-batches and swap, while it runs
-  dashboard  results store -> kpis / status / departments / marks series
+  dashboard  results store -> kpis / status / departments / marks series, from the states and the series kept beside it
   prompts    settings (doc_id, mode, section, difficulty, style, text) -> question prompts
   questions  responses (key, raw JSON, optional section) -> six questions per response
-  grades     responses (prompt_id, kind, raw JSON) -> content of grading and model-answer calls
+  grades     responses (prompt_id, kind, raw JSON) -> content of grading and model-answer calls (--prompts prompt_id, kind: one
+             row for every prompt, answered or not)
   sessions   typed and spoken answers, sessions (session_id, mode, n_questions), violations -> answers, progress,
              resume points and finished sessions, without the terminated ones (--sink: those of a running terminations stream)
   final      questions (session_id, idx, question), answers, students -> final evaluation prompts
@@ -36,7 +37,7 @@ from .operators import results as R
 from .operators import sessions as S
 from .schemas import EVALUATIONS, VIOLATIONS
 from .session import get_spark
-from .sources import reports, results_store
+from .sources import dashboard_store, reports, results_store
 from .streaming import batches
 from .streaming import streams as G
 
@@ -68,11 +69,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         G.terminations_stream(rows, checkpoint, args.sink, trigger_available_now=args.once).awaitTermination()
         _write(G.terminations(spark, args.sink), args.out)
     elif args.job == "dashboard":
-        saved = results_store.saved_results(spark, args.store, args.date_from, args.date_to)
-        _write(D.overview_kpis(saved), f"{args.out}/kpis")
-        _write(D.status_distribution(saved), f"{args.out}/status")
-        _write(D.department_distribution(saved), f"{args.out}/departments")
-        _write(D.marks_series(saved), f"{args.out}/marks_series")
+        states = dashboard_store.states(spark, args.store, args.date_from, args.date_to)
+        _write(dashboard_store.overview_kpis(states), f"{args.out}/kpis")
+        _write(D.value_counts(states, "status", "n", "first"), f"{args.out}/status")
+        _write(D.value_counts(states, "department", "n", "first"), f"{args.out}/departments")
+        _write(dashboard_store.marks_series(spark, args.store, args.date_from, args.date_to), f"{args.out}/marks_series")
     elif args.job == "prompts":
         _write(B.prompt_questions(read(args.input)), args.out)
     elif args.job == "questions":
@@ -80,7 +81,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         section = "section" if "section" in rows.columns else None
         _write(P.questions_from_responses(rows, args.key, section_col=section), args.out)
     elif args.job == "grades":
-        _write(P.completion_extract(read(args.input)), args.out)
+        rows = read(args.input)
+        if args.prompts:     # a prompt whose call gave no response has an outcome too
+            kinds = [P.completion_for_prompts(read(args.prompts).where(F.col("kind") == k), rows, "prompt_id", k) for k in P.FALLBACK_BY_KIND]
+            _write(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), args.out)
+        else:
+            _write(P.completion_extract(rows), args.out)
     elif args.job == "sessions":
         log = S.merge_channels(read(args.typed), read(args.voice)) if args.voice else S.blank_answer_filter(read(args.typed))
         sessions = read(args.sessions)
@@ -110,7 +116,7 @@ def parser() -> argparse.ArgumentParser:
     for name, what in [("input", "input table"), ("store", "results store path"), ("sink", "terminations: parts path"), ("out", "output path"),
                        ("typed", "typed answers"), ("voice", "spoken answers"), ("sessions", "sessions"), ("violations", "violations"),
                        ("answers", "final answers"), ("students", "student attributes"), ("checkpoint", "stream checkpoint"),
-                       ("load", "results: name of this append")]:
+                       ("load", "results: name of this append"), ("prompts", "grades: all prompts")]:
         p.add_argument(f"--{name}", help=what)
     p.add_argument("--key", default="prompt_id")
     p.add_argument("--date-from")

@@ -139,7 +139,7 @@ def rollup(rows: DataFrame, height: int = HEIGHT) -> DataFrame:
     return _summed(inner.unionByName(up(complete)))
 
 
-def _id_digests(ends: DataFrame) -> DataFrame:
+def _id_digests(ends: DataFrame, most: int = RUN) -> DataFrame:
     """(key, ends_sha256): digest of the comma-joined decimal ids of each key, numerically ascending."""
     dealt = ends.select("key", "conv", decimal().alias("id")).repartitionByRange("key", "conv").sortWithinPartitions("key", "conv")
 
@@ -148,7 +148,7 @@ def _id_digests(ends: DataFrame) -> DataFrame:
         out: list[tuple] = []
         for batch in batches:
             for k, c, i in zip(*(batch.column(n).to_pylist() for n in ("key", "conv", "id"))):
-                if ids and (k != key or len(ids) == RUN):
+                if ids and (k != key or len(ids) == most):
                     out.append((key, first, ",".join(ids)))
                     ids = []
                 if not ids:

@@ -163,12 +163,12 @@ def most_unlike(percent: int = PERCENT) -> int:
     return int(SIGNATURE * p + SLACK * (SIGNATURE * p * (1 - p)) ** 0.5) + 1
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets.
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, n_sets: int | None = None) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets (``n_sets`` of them).
 
     Classes are dealt to blocks of about BLOCK by hash, pairs to pairs of blocks.  A class's set goes once to each
     pair of blocks that holds one of its pairs, ahead of the pairs; a task holds the sets of two blocks at a time."""
-    n = max(1, -(-sets.count() // BLOCK))
+    n = max(1, -(-(sets.count() if n_sets is None else n_sets) // BLOCK))
 
     def block(c: str):
         return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

@@ -11,7 +11,9 @@ is not compared with itself.  Inside a pair of tiles
   confirmed once, however many buckets it meets in), and unless links found before in the tiles join it already;
 * only the links that join two components are returned: at most one a set and pair of tiles.
 
-So what is returned, and what is shipped, grows with the sets and not with their pairs.
+So what is returned, and what is shipped, grows with the sets and not with their pairs.  Where most buckets hold
+unrelated sets, or the same sets meet in many buckets, :func:`clusters` first makes, by bitmaps alone, one bucket of whatever
+can link, and leaves out the rest.
 """
 
 from __future__ import annotations
@@ -23,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, salted_join
+from .common import cut, map_batches, salted_join
+from .components import components
 
 #: Sets and bytes of a tile; a task holds two tiles.
 TILE_SETS = 1024
 TILE_BYTES = 8 << 20
+#: Bits of the parity bitmaps that are shipped instead of sets.
+BITS = 1024
+#: Parts of a bucket's members when it is joined back to them.
+SALTS = 4
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -94,35 +101,24 @@ def _parts(n: Column, elements: Column) -> Column:
     return F.greatest(F.ceil(n / TILE_SETS), F.ceil(8 * elements / TILE_BYTES)).cast("int")
 
 
-def spanning_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): confirmed links between classes of different roots that share a bucket, enough of them to
-    join whatever any such link joins.
-
-    ``members``: bucket, class, root, size; ``sets``: class, keys (all its buckets), set (sorted, 8 bytes an element)."""
+def _dealt(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """Rows of the pairs of tiles: bucket, t1, t2, tile, class, root and the columns of ``payload`` (by class)."""
     per_root = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
     open_ = (per_root.groupBy("bucket").agg(F.max(F.struct("n", "elements", "root")).alias("big"), F.sum("n").alias("n"), F.sum("elements").alias("elements"))
              .filter("n > big.n")
              .select("bucket", F.col("big.root").alias("big"), _parts(F.col("big.n"), F.col("big.elements")).alias("big_tiles"),
                      _parts(F.col("n") - F.col("big.n"), F.col("elements") - F.col("big.elements")).alias("rest_tiles")))
-    placed = salted_join(members, open_, ["bucket"], "class")
+    placed = salted_join(members, open_, ["bucket"], "class", salts=SALTS)
     in_big, place = F.col("root") == F.col("big"), F.xxhash64("class", "bucket")
     tile = F.when(in_big, F.pmod(place, "big_tiles")).otherwise(F.col("big_tiles") + F.pmod(place, "rest_tiles")).cast("int")
     other = F.explode(F.sequence(F.when(in_big, F.col("big_tiles")).otherwise(F.lit(0)), F.col("big_tiles") + F.col("rest_tiles") - 1))
     placed = placed.select("bucket", "class", "root", tile.alias("tile"), other.alias("other")).select(
         "bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "class", "root")
-    dealt = (placed.join(sets.select("class", "keys", "set"), "class").select("bucket", "t1", "t2", "tile", "class", "root", "keys", "set")
-             .repartition("bucket", "t1", "t2").sortWithinPartitions("bucket", "t1", "t2"))
+    return placed.join(payload, "class").repartition("bucket", "t1", "t2").sortWithinPartitions("bucket", "t1", "t2")
 
-    def links(key: tuple, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        name = t.column("class").combine_chunks()
-        full = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")]
-        keys = [np.asarray(k.values) for k in t.column("keys")]
-        tile = t.column("tile").to_numpy()
-        left, right = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
-        found = _tile_links(key[0], full, keys, t.column("root").to_pylist(), left, right, percent)
-        return pa.RecordBatch.from_arrays([name.take(pa.array([p[k] for p in found], pa.int64())) for k in (0, 1)], names=["u", "v"])
 
+def _by_tiles(fn):
+    """Batches sorted by bucket, t1, t2 -> ``fn(key, batches)`` of each."""
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
@@ -131,12 +127,89 @@ def spanning_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(batch)]):
                 key = tuple(int(k[lo]) for k in keys)
                 if key != now and held:
-                    yield links(now, held)
+                    yield fn(now, pa.Table.from_batches(held))
                     held = []
                 now = key
                 held.append(batch.slice(lo, hi - lo))
         if held:
-            yield links(now, held)
+            yield fn(now, pa.Table.from_batches(held))
+    return tiles
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(class, size, bits) of sets (class, set): the parity bitmap of BITS cells."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([len(x) for x in full], pa.int64()),
+                                              pa.array([parity([x], BITS).tobytes() for x in full], pa.binary())], names=["class", "size", "bits"])
+
+    return map_batches(sets.select("class", "set"), made, f"class {sets.schema['class'].dataType.simpleString()}, size bigint, bits binary")
+
+
+def may_link(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b with parity bitmaps x and y (last axis: words) can be at the threshold."""
+    c = needed(a, b, percent)
+    return (c <= np.minimum(a, b)) & (np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= a + b - 2 * c)
+
+
+def bit_words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def clusters(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """(class, bucket): the members that can link, by size and parity bitmap, with one of another root in their bucket, and
+    their cluster (the number of one of its classes).  Whatever can link is in one cluster; each class is in one only, so its set
+    need not be shipped to all the buckets that it is in.
+
+    ``members``: bucket, class (bigint), root, size; ``light``: class, size, bits.  A pair of tiles returns one link
+    for each member that has any, and the links that join roots: not the pairs."""
+    def links(key: tuple, t: pa.Table) -> pa.RecordBatch:
+        size, maps, tile = t.column("n").to_numpy(), bit_words(t.column("bits")), t.column("tile").to_numpy()
+        number: dict = {}
+        root = np.array([number.setdefault(r, len(number)) for r in t.column("root").to_pylist()])
+        up = list(range(len(number)))
+        left, right = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
+        rows = max(1, (1 << 22) // max(1, len(right) * maps.shape[1]))
+        u, v = [], []
+        for i in range(0, len(left), rows):
+            some = left[i:i + rows]
+            near = may_link(size[some, None], size[None, right], maps[some, None], maps[None, right], percent) & (root[some, None] != root[None, right])
+            met = np.flatnonzero(near.any(axis=0))
+            u.extend(right[met].tolist())
+            v.extend(some[near[:, met].argmax(axis=0)].tolist())
+            for x in np.flatnonzero(near.any(axis=1)):
+                partners = right[near[x]]
+                _, first = np.unique(root[partners], return_index=True)
+                for j, y in enumerate(partners[first].tolist()):
+                    p, q = _find(up, int(root[some[x]])), _find(up, int(root[y]))
+                    if j == 0 or p != q:
+                        up[p] = q
+                        u.append(int(some[x]))
+                        v.append(y)
+        name = t.column("class").combine_chunks()
+        return pa.RecordBatch.from_arrays([name.take(pa.array(k, pa.int64())) for k in (u, v)], names=["u", "v"])
+
+    dealt = _dealt(members, light.select("class", F.col("size").alias("n"), "bits"))
+    met = cut(map_batches(dealt, _by_tiles(links), "u bigint, v bigint").distinct())
+    some = met.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    same_root = some.join(members.select("class", "root").distinct(), "class").select(F.col("class").alias("u"), F.col("root").alias("v"))
+    return components(met.unionByName(same_root)).select(F.col("node").alias("class"), F.col("root").alias("bucket")).join(some, "class")
+
+
+def spanning_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): confirmed links between classes of different roots that share a bucket, enough of them to
+    join whatever any such link joins.
+
+    ``members``: bucket, class, root, size; ``sets``: class, keys (all its buckets), set (sorted, 8 bytes an element)."""
+    def links(key: tuple, t: pa.Table) -> pa.RecordBatch:
+        name = t.column("class").combine_chunks()
+        full = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("set")]
+        keys = [np.asarray(k.values) for k in t.column("keys")]
+        tile = t.column("tile").to_numpy()
+        left, right = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
+        found = _tile_links(key[0], full, keys, t.column("root").to_pylist(), left, right, percent)
+        return pa.RecordBatch.from_arrays([name.take(pa.array([p[k] for p in found], pa.int64())) for k in (0, 1)], names=["u", "v"])
 
     kind = members.schema["class"].dataType.simpleString()
-    return map_batches(dealt, tiles, f"u {kind}, v {kind}")
+    return map_batches(_dealt(members, sets.select("class", "keys", "set")), _by_tiles(links), f"u {kind}, v {kind}")

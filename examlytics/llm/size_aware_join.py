@@ -13,9 +13,11 @@
    threshold share one of the first n - ceil(t n) + 1 of each, so only these are listed.  The order is rarest
    first: by counts in ``COUNTERS`` cells over all sets (a table of fixed size), then by hash, so very frequent
    shingles come last and their lists are short or empty.
-5. Each list links its members with two hubs (confirmed on full sets).  Lists that then still hold
+   A first pass finds the elements that two different sets list, a second one their members.
+5. Each list links its members with two hubs: by size and parity bitmap first, then on full sets, which are
+   read for the classes that need them only.  Lists of more than three that then still hold
    more than one component go to :mod:`near_links`: every remaining pair of different components is
-   compared, only links that join components are returned.
+   compared, by bitmaps and then, within clusters of what can link, on full sets; only links that join components are returned.
 6. Components by alternating large-star and small-star.
 
 Every pair at the threshold is found, whatever the cell counts are; nothing is capped or sampled.
@@ -38,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bit_table import bit_table, holds
 from .common import cut, map_batches, row_key, salted_join
 from .components import components
 from .minhash_dedup import confirmed, shingle_sets
-from .near_links import needed, parity, spanning_links
+from .near_links import BITS, bit_words, clusters, may_link, needed, parity, spanning_links
 
 PERCENT = 80
 #: Cells of the element counts (a power of two); 8 bytes each on the driver and in every task.
@@ -51,10 +54,8 @@ _CHUNK = 1 << 12
 MOST_SMALL = 40
 #: Cost, in 8-byte words shuffled, of a listed element, an enumerated subset and an element (with its text) that is verified.
 LISTED, SUBSET, VERIFIED = 8, 8, 2
-#: Bits of the parity bitmaps that hubs and list members are compared by.
-BITS = 2048
 #: Parts of an inverted list's members when it is joined back to them.
-SALTS = 8
+SALTS = 2
 
 
 def element_counts(docs: DataFrame, text_col: str, cells: int = COUNTERS) -> np.ndarray:
@@ -91,9 +92,9 @@ def element_counts(docs: DataFrame, text_col: str, cells: int = COUNTERS) -> np.
     return out.reshape(-1)
 
 
-def set_rows(docs: DataFrame, counts, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """One row per input row: __id, __key, size, digest (null for the empty set), keys (the elements that are listed), and the
-    whole set if it may be small."""
+def set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: __id, __key, size, digest (null for the empty set), tag (its first 64 bits), bits (the parity
+    bitmap) and the whole set if it may be small."""
     src = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
     kind = src.schema["__id"].dataType.simpleString()
 
@@ -101,17 +102,49 @@ def set_rows(docs: DataFrame, counts, id_col: str, text_col: str, percent: int)
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
-                size, digest, keys, small = [], [], [], []
+                size, digest, bits, small = [], [], [], []
                 for x in shingle_sets(batch.column("__text")):
                     size.append(len(x))
-                    digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                    keys.append(_first_elements(x, counts.value, percent))
+                    digest.append(_digest(x) if len(x) else None)
+                    bits.append(parity([x], BITS).tobytes())
                     small.append(x.tobytes() if 0 < len(x) <= MOST_SMALL else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("__id"), batch.column("__key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), _lists(keys),
-                     pa.array(small, pa.binary())], names=["__id", "__key", "size", "digest", "keys", "small"])
+                    [batch.column("__id"), batch.column("__key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
+                     pa.array([_tag(d) if d else None for d in digest], pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
+                    names=["__id", "__key", "size", "digest", "tag", "bits", "small"])
 
-    return map_batches(src, made, f"__id {kind}, __key binary, size bigint, digest binary, keys array<bigint>, small binary")
+    return map_batches(src, made, f"__id {kind}, __key binary, size bigint, digest binary, tag bigint, bits binary, small binary")
+
+
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
+def _tag(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def postings(docs: DataFrame, text_col: str, counts, least: int, percent: int, only=None) -> DataFrame:
+    """(bucket, tag): the listed elements of every set of ``least`` or more, those that the bit table ``only`` holds."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, tags, held = [], [], 0
+            for x in shingle_sets(batch.column("__text")):
+                if len(x) < max(1, least):
+                    continue
+                some = _first_elements(x, counts.value, percent)
+                if only is not None:
+                    some = some[holds(only.value, some)]
+                keys.append(some)
+                tags.append(np.full(len(some), _tag(_digest(x)), np.int64))
+                held += len(some)
+                if held > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(tags))], names=["bucket", "tag"])
+                    keys, tags, held = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(tags))], names=["bucket", "tag"])
+
+    return map_batches(docs.select(F.col(text_col).alias("__text")), made, "bucket bigint, tag bigint")
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -170,30 +203,27 @@ def _first_elements(x: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarr
     return x[np.lexsort((x, rank))[:n]].view(np.int64)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(class, size, keys, set, bits) of the wanted classes (class, __key, size, keys), from their texts: the sorted set and its parity bitmap."""
-    texts = docs.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text")).join(wanted, "__key").dropDuplicates(["__key"])
+def full_sets(docs: DataFrame, wanted: DataFrame, counts, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(class, keys, set) of the wanted classes (class, __key), from their texts: the listed elements and the sorted set."""
+    spark = docs.sparkSession
+    only = spark.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("__key"))))
+    texts = docs.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text")).withColumn("__hash", F.xxhash64("__key"))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(holds(only.value, batch.column("__hash").to_numpy()))).select(["__key", "__text"])
+
+    texts = map_batches(texts, some, "__key binary, __text string").join(wanted, "__key").dropDuplicates(["__key"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
                 sets = list(shingle_sets(batch.column("__text")))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("class", "size", "keys")), pa.array([x.tobytes() for x in sets], pa.binary()),
-                     pa.array([m.tobytes() for m in parity(sets, BITS)], pa.binary())], names=["class", "size", "keys", "set", "bits"])
-
-    return map_batches(texts.select("__text", "class", "size", "keys"), made, "class bigint, size bigint, keys array<bigint>, set binary, bits binary")
-
-
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
-
+                yield pa.RecordBatch.from_arrays([batch.column("class"), _lists([_first_elements(x, counts.value, percent) for x in sets]),
+                                                  pa.array([x.tobytes() for x in sets], pa.binary())], names=["class", "keys", "set"])
 
-def may_link(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes a and b with parity bitmaps x and y can be at the threshold."""
-    c = needed(a, b, percent)
-    return (c <= np.minimum(a, b)) & (np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= a + b - 2 * c)
+    return map_batches(texts.select("__text", "class"), made, "class bigint, keys array<bigint>, set binary")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,28 +235,43 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if len(batch):
                 a, b = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-                yield batch.select(["a", "b"]).filter(pa.array(may_link(a, b, _bits(batch.column("ma")), _bits(batch.column("mb")), percent)))
+                yield batch.select(["a", "b"]).filter(pa.array(may_link(a, b, bit_words(batch.column("ma")), bit_words(batch.column("mb")), percent)))
 
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
     return map_batches(both, check, "a bigint, b bigint")
 
 
-def large_links(docs: DataFrame, classes: DataFrame, most: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(u, v): links that join classes (class, __key, size, keys) of which one at least is large."""
-    listed_ = classes.filter(F.col("size") >= -(-percent * (most + 1) // 100)).select("class", "size", F.explode("keys").alias("bucket"))
-    lists = (listed_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest"))
-             .filter((F.col("n") > 1) & (F.col("largest") > most)).select("bucket"))
-    members = cut(salted_join(listed_, lists, ["bucket"], "class", salts=SALTS))
-    held = cut(full_sets(docs, members.select("class").distinct().join(classes, "class").select("class", "__key", "size", "keys"), id_col, text_col))
+def large_links(docs: DataFrame, classes: DataFrame, counts, most: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(u, v): links that join classes (class, tag, __key, size, bits) of which one at least is large."""
+    spark = docs.sparkSession
+    least = -(-percent * (most + 1) // 100)
+    lists = cut(postings(docs, text_col, counts, least, percent).groupBy("bucket").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"))
+                .filter("lo < hi").select("bucket"))
+    only = spark.sparkContext.broadcast(bit_table(lists))
+    pairs = postings(docs, text_col, counts, least, percent, only).distinct()
+    members = salted_join(pairs, lists, ["bucket"], "tag", salts=SALTS).join(classes.select("tag", "class", "size"), "tag")
+    members = cut(members.select("bucket", "class", "size"))
 
     order = F.struct(F.xxhash64("class"), "class")
-    hubs = members.groupBy("bucket").agg(F.array(F.min(order)["class"], F.max(order)["class"]).alias("hubs"))
-    stars = (salted_join(members, hubs, ["bucket"], "class", salts=SALTS).select("class", F.explode("hubs").alias("hub")).filter("class <> hub")
+    hubs = cut(members.groupBy("bucket").agg(F.min(order)["class"].alias("lo"), F.max(order)["class"].alias("hi"), F.count(F.lit(1)).alias("n")))
+    stars = (salted_join(members, hubs, ["bucket"], "class", salts=SALTS).select("class", F.explode(F.array("lo", "hi")).alias("hub")).filter("class <> hub")
              .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
-    first = cut(components(confirmed(cut(likely(stars, held, percent)), held, percent)))
-    known = members.select("bucket", "class", "size").join(first.withColumnRenamed("node", "class"), "class", "left")
-    more = spanning_links(known.withColumn("root", F.coalesce("root", "class")), held, percent)
-    return first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+    stars = cut(likely(stars, classes, percent))
+    named = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "__key"), "class")
+    first = confirmed(stars, full_sets(docs, named, counts, id_col, text_col, percent), percent, n_sets=named.count())
+    first = cut(components(first))
+    # in lists of up to three the hubs have met every pair
+    long_ = salted_join(members, hubs.filter("n > 3").select("bucket"), ["bucket"], "class", salts=SALTS)
+    known = cut(long_.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")))
+    linked = first.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    left = cut(clusters(known, classes, percent))
+    if left.isEmpty():
+        return linked
+    roots = known.select("class", "root", "size").distinct()
+    named = left.join(classes.select("class", "__key"), "class")
+    held = full_sets(docs, named.select("class", "__key"), counts, id_col, text_col, percent)
+    held = held.drop("keys").join(left.select("class", F.array("bucket").alias("keys")), "class")
+    return linked.unionByName(spanning_links(left.join(roots, "class"), held, percent))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
@@ -234,16 +279,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: the id column, n_shingles, component_id.  Sets with a Jaccard similarity of ``percent``
     per cent or more link."""
     counts = docs.sparkSession.sparkContext.broadcast(element_counts(docs, text_col, cells))
-    rows = cut(set_rows(docs, counts, id_col, text_col, percent))
+    rows = cut(set_rows(docs, id_col, text_col))
     some = rows.filter("size > 0")
     # the number stands for the class from here on: it is fixed by the checkpoint
-    classes = cut(some.groupBy("digest").agg(F.min("__key").alias("__key"), F.first("size").alias("size"), F.first("keys").alias("keys"),
-                                             F.first("small").alias("small"), F.min("__id").alias("least"))
+    classes = cut(some.groupBy("digest").agg(F.min("__key").alias("__key"), F.min("__id").alias("least"),
+                                             *[F.first(c).alias(c) for c in ("size", "tag", "bits", "small")])
                   .withColumn("class", F.monotonically_increasing_id()))
     histogram = {r["size"]: r["n"] for r in classes.filter(F.col("size") <= 2 * MOST_SMALL).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     most = boundary(histogram, percent)
     small = small_links(classes.filter(F.col("size") <= most).withColumnRenamed("small", "set"), most, percent)
-    large = large_links(docs, classes.select("class", "__key", "size", "keys"), most, percent, id_col, text_col)
+    large = large_links(docs, classes.select("class", "tag", "__key", "size", "bits"), counts, most, percent, id_col, text_col)
     linked = cut(components(small.unionByName(large)))
 
     roots = classes.select("class", "digest", "least").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

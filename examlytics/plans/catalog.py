@@ -16,6 +16,7 @@ from ..operators import prompts as B
 from ..operators import results as R
 from ..operators import sessions as S
 from ..session import scratch_path
+from ..sources import dashboard_store as K
 from ..sources import ingest as I
 from ..sources import reports, results_store, roster
 from ..sources.literals import literal_frame
@@ -36,6 +37,7 @@ LITERAL_FILES = [
     ("archive.zip", "application/zip"),
 ]
 LITERAL_LABELS = [(-1, "absent"), (-2, ""), (-3, None), (-4, "N/A"), (-5, "nan")]
+ANSWER_SINK = "session_id string, idx bigint, answer string"
 STRIP_AROUND = " \t\u00a0\u3000\x1c\n"
 URL_PATH = r"^[a-zA-Z]+://[^/?#]*([^?#]*)"
 
@@ -74,6 +76,35 @@ def _results_append(spark, sf_dir):
     return results_store.saved_results(spark, path)
 
 
+def _loaded_store(spark, sf_dir, students: bool = False, between=None):
+    """A store as it comes to be: three loads, ``between`` (a refresh of what is kept beside the store), a compaction, a load after
+    it, and an earlier load repeated (it was cut short the first time)."""
+    path = scratch_path(spark, "store")
+    r = results(spark, sf_dir, students)
+    of = F.pmod(F.col("record_id").cast("bigint"), F.lit(4))
+    for i in range(3):
+        rows = r.where(of == i)
+        results_store.results_append(rows.where("status = 'PASS'") if i == 1 else rows, path, f"load-{i}")
+    if between is not None:
+        between(spark, path)
+    results_store.compact(spark, path)
+    results_store.results_append(r.where(of == 3), path, "load-3")
+    results_store.results_append(r.where(of == 1), path, "load-1")
+    return path
+
+
+def _results_compacted(spark, sf_dir):
+    return results_store.saved_results(spark, _loaded_store(spark, sf_dir, students=True))
+
+
+def _states(spark, sf_dir, students: bool = False):
+    return K.states(spark, _loaded_store(spark, sf_dir, students, between=K.refresh_states))
+
+
+def _marks_series_stored(spark, sf_dir):
+    return K.marks_series(spark, _loaded_store(spark, sf_dir, between=K.refresh_series))
+
+
 def _ingest_files(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages", "url").select(
         F.regexp_extract("url", URL_PATH, 1).alias("name"), F.lit("text/html").alias("media_type"))
@@ -110,7 +141,34 @@ def _violations_stream(spark, sf_dir):
 def _answers_stream(spark, sf_dir):
     ck, sink = _stream_dir(spark, "answers")
     G.answers_stream(fx.answers_of(_stream_input(spark, sf_dir)), ck, sink, delay="400 days").awaitTermination()
-    return G.last_per_key(spark, sink, ["session_id", "idx"], "session_id string, idx bigint, answer string")
+    return G.last_per_key(spark, sink, ["session_id", "idx"], ANSWER_SINK)
+
+
+def _answers_merged(spark, sf_dir):
+    """The answer stream in two runs, its table merged after the first and read with the tail of the second."""
+    ck, sink = _stream_dir(spark, "answers")
+    path = scratch_path(spark, "stream-input")
+    for half in range(2):
+        part = read_table(spark, sf_dir, "events").where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half)
+        part.repartition(2, F.xxhash64("event_id", F.lit(1))).write.mode("append").parquet(path)
+        log = fx.answers_of(G.read_event_stream(spark, path, max_files_per_trigger=1))
+        G.answers_stream(log, ck, sink, delay="400 days").awaitTermination()
+        if half == 0:
+            G.merge_latest(spark, sink, ["session_id", "idx"], ANSWER_SINK, min_parts=1)
+    return G.last_per_key(spark, sink, ["session_id", "idx"], ANSWER_SINK)
+
+
+def _terminations_merged(spark, sf_dir):
+    """The same of the terminations: a generation of the first run's parts and the tail of the second."""
+    ck, sink = _stream_dir(spark, "terminations")
+    path = scratch_path(spark, "stream-input")
+    for half in range(2):
+        part = read_table(spark, sf_dir, "events").where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half)
+        part.repartition(2, F.xxhash64("event_id", F.lit(1))).write.mode("append").parquet(path)
+        G.terminations_stream(fx.proctor_of(G.read_event_stream(spark, path, max_files_per_trigger=1)), ck, sink).awaitTermination()
+        if half == 0:
+            G.merge_terminations(spark, sink, min_parts=1)
+    return G.terminations(spark, sink)
 
 
 def _terminations_stream(spark, sf_dir):
@@ -190,6 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_ingest": lambda s, d: I.text_ingest(fx.upload_bytes(s, d)),
     "ingest_route": lambda s, d: I.ingest_route(_ingest_files(s, d)),
     "results_append": _results_append,
+    "results_compacted": _results_compacted,
     "report_text": _report_text,
     # B: settings and prompt datasets
     "settings_resolve": lambda s, d: B.settings_resolve(fx.settings(s, d)),
@@ -239,10 +298,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "student_search": lambda s, d: D.student_search(results(s, d), SEARCH_PATTERN),
     "pass_records": lambda s, d: D.pass_records(results(s, d)),
     "fail_records": lambda s, d: D.fail_records(results(s, d)),
+    "kpis_from_states": lambda s, d: K.overview_kpis(_states(s, d)),
+    "status_from_states": lambda s, d: D.value_counts(_states(s, d), "status", "n", "first"),
+    "department_from_states": lambda s, d: D.value_counts(_states(s, d, students=True), "department", "n", "first"),
+    "marks_series_stored": _marks_series_stored,
     "record_count": lambda s, d: D.record_count(results(s, d, students=False)),
     # G: streaming forms
     "violations_stream": _violations_stream,
     "answers_stream": _answers_stream,
     "results_stream": _results_stream,
     "terminations_stream": _terminations_stream,
+    "answers_merged": _answers_merged,
+    "terminations_merged": _terminations_merged,
 }

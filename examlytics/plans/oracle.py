@@ -390,7 +390,13 @@ def _build() -> dict[str, str]:
     o["violations_stream"] = with_views(
         f"""SELECT session_id, count(*) AS n_violations, count(*) >= {K.VIOLATION_LIMIT} AS must_end
             FROM proctor GROUP BY session_id""", "proctor")
+    for key, same in SAME_ROWS.items():
+        o[key] = o[same]
     return o
 
 
+#: Queries over what is kept beside a store or a stream's table: the same rows as from the records.
+SAME_ROWS = {"results_compacted": "result_build", "kpis_from_states": "overview_kpis", "status_from_states": "status_distribution",
+             "department_from_states": "department_distribution", "marks_series_stored": "marks_series", "answers_merged": "answer_upsert",
+             "terminations_merged": "violations_terminate"}
 ORACLE_SQL = _build()

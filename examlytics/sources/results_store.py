@@ -81,10 +81,10 @@ def results_append(records: DataFrame, path: str, load: str | None = None, seque
         fresh = load is None or (sequence is not None and state.facts.get(f"last {sequence[0]}", -1) < sequence[1])
         merged = [] if fresh else [k for k, v in state.entries.items() if v["load"] is None]
         if merged:
-            rows = _scan(spark, path, merged)
+            rows = scan_keys(spark, path, merged)
             hit = [entry(str(r[0] or NO_DAY), r[1]) for r in rows.where(F.col(LOAD_COL) == name).select(PARTITION_COL, PART_COL).distinct().collect()]
             if hit:
-                kept = _write_part(_scan(spark, path, hit).where(F.col(LOAD_COL) != name).select(*RESULT_COLUMNS, LOAD_COL), path)
+                kept = _write_part(scan_keys(spark, path, hit).where(F.col(LOAD_COL) != name).select(*RESULT_COLUMNS, LOAD_COL), path)
                 put.update({k: {"load": None} for k in kept})
                 old += hit
         change = {"put": put, "drop": old}
@@ -102,7 +102,8 @@ def refuse_foreign_layout(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} was written by a stream file sink; use another store")
 
 
-def _scan(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+def scan_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The rows of these directories, with their load, day and part."""
     return spark.read.schema(STORED).option("basePath", path).parquet(*[f"{path.rstrip('/')}/{k}" for k in keys])
 
 
@@ -116,24 +117,23 @@ def live_keys(spark: SparkSession, path: str, date_from: str | None = None, date
     return [k for k in keys if not ranged or (day_of(k) != NO_DAY and lo <= day_of(k) <= hi)]
 
 
-def saved_results(spark: SparkSession, path: str, date_from: str | None = None, date_to: str | None = None, load: bool = False) -> DataFrame:
+def saved_results(spark: SparkSession, path: str, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Scan of the results table with the declared schema.  A missing table
     reads as an empty frame that still has every column.
 
     ``date_from`` / ``date_to`` (inclusive, 'yyyy-MM-dd') choose the day directories that are listed and read.
-    ``load`` adds the columns saved_date, part and load.
     """
     refuse_foreign_layout(spark, path)
     for day in (date_from, date_to):
         if day is not None:
             dt.date.fromisoformat(day)
     keys = live_keys(spark, path, date_from, date_to)
-    df = _scan(spark, path, keys) if keys else empty_frame(spark, STORED)
+    df = scan_keys(spark, path, keys) if keys else empty_frame(spark, STORED)
     if date_from is not None:
         df = df.where(F.col(PARTITION_COL) >= F.lit(date_from).cast("date"))
     if date_to is not None:
         df = df.where(F.col(PARTITION_COL) <= F.lit(date_to).cast("date"))
-    return df if load else df.select(*RESULT_COLUMNS)
+    return df.select(*RESULT_COLUMNS)
 
 
 def compact(spark: SparkSession, path: str, min_parts: int = 2) -> int:
@@ -147,7 +147,7 @@ def compact(spark: SparkSession, path: str, min_parts: int = 2) -> int:
     days = {d: ks for d, ks in days.items() if len(ks) >= min_parts}
     if not days:
         return 0
-    rows = _scan(spark, path, sorted(k for ks in days.values() for k in ks)).select(*RESULT_COLUMNS, LOAD_COL)
+    rows = scan_keys(spark, path, sorted(k for ks in days.values() for k in ks)).select(*RESULT_COLUMNS, LOAD_COL)
     made = _write_part(rows, path)
     swapped: list[str] = []
 
