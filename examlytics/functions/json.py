@@ -41,9 +41,9 @@ def _has_key(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
 
 
-def completion_content(raw) -> Column:
+def completion_content(raw, v=None) -> Column:
     """``choices[0].message.content`` as text; null when absent or unreadable."""
-    return F.try_variant_get(F.try_parse_json(_c(raw)), CONTENT_PATH, "string")
+    return F.try_variant_get(F.try_parse_json(_c(raw)) if v is None else _c(v), CONTENT_PATH, "string")
 
 
 def parsed(raw) -> Column:
@@ -52,7 +52,12 @@ def parsed(raw) -> Column:
     return F.try_parse_json(_c(raw))
 
 
-def completion_state(raw, v=None) -> Column:
+def document_kind(raw, v) -> Column:
+    """Kind of the parsed document ``v``; computed once and passed as ``kind=``."""
+    return _kind(_c(v), _c(raw))
+
+
+def completion_state(raw, v=None, kind=None) -> Column:
     """Outcome of a question-generation response.
 
     * ``ok``          – content is a string at ``choices[0].message.content``
@@ -63,7 +68,7 @@ def completion_state(raw, v=None) -> Column:
     """
     r = _c(raw)
     v = F.try_parse_json(r) if v is None else _c(v)
-    kind = _kind(v, r)
+    kind = _kind(v, r) if kind is None else _c(kind)
     content_is_string = F.schema_of_variant(
         F.try_variant_get(v, CONTENT_PATH, "variant")) == F.lit("STRING")
     in_test = (F.when(kind == "object", _has_key(v, "choices"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.json import (completion_content, completion_state as _state, parsed, transcription_failed,
+from ..functions.json import (completion_content, completion_state as _state, document_kind, parsed, transcription_failed,
                               transcription_text)
 from ..functions.questions import (chosen_questions, fallback_questions, limit_questions, parse_questions,
                                    parsed_count, with_fallback)
@@ -32,12 +32,17 @@ def completion_extract(responses: DataFrame, raw_col: str = "raw", kind_col: str
 
 def completion_state(responses: DataFrame, raw_col: str = "raw") -> DataFrame:
     """ok / no_choices / failed for a question-generation response."""
-    staged = responses.select("prompt_id", raw_col, parsed(raw_col).alias("_v"))
-    return staged.select("prompt_id", _state(raw_col, v="_v").alias("state"))
+    return _parsed_once(responses, "prompt_id", raw_col).select("prompt_id", _state(raw_col, v="_v", kind="_kind").alias("state"))
 
 
-def _exploded(df: DataFrame, key: str, arr: str, extra=()) -> DataFrame:
-    return df.select(key, *extra, F.posexplode(arr).alias("idx", "question")).select(
+def _parsed_once(responses: DataFrame, key: str, raw_col: str, *extra) -> DataFrame:
+    """The parsed document (_v) and its kind (_kind) as columns of their own, so that neither is computed again where it is used."""
+    staged = responses.select(key, raw_col, *extra, parsed(raw_col).alias("_v"))
+    return staged.select("*", document_kind(raw_col, "_v").alias("_kind"))
+
+
+def _exploded(df: DataFrame, key: str, arr: str, extra=(), explode=F.posexplode) -> DataFrame:
+    return df.select(key, *extra, explode(arr).alias("idx", "question")).select(
         key, F.col("idx").cast("bigint").alias("idx"), "question", *extra)
 
 
@@ -70,11 +75,12 @@ def questions_from_responses(responses: DataFrame, key: str = "prompt_id", raw_c
     reply, the parsed list, and the fallback that the state calls for, opening with the session's section
     (``section_col``; null or absent: the default section)."""
     section = F.lit(K.DEFAULT_SECTION) if section_col is None else F.coalesce(F.col(section_col), F.lit(K.DEFAULT_SECTION))
-    staged = responses.select(key, raw_col, section.alias("_section"), parsed(raw_col).alias("_v"))
-    read = staged.select(key, "_section", _state(raw_col, v="_v").alias("_state"),
-                         parse_questions(completion_content(raw_col)).alias("_parsed"))
+    staged = _parsed_once(responses, key, raw_col, section.alias("_section"))
+    read = staged.select(key, "_section", _state(raw_col, v="_v", kind="_kind").alias("_state"),
+                         parse_questions(completion_content(raw_col, v="_v")).alias("_parsed"))
     ok = F.when(F.col("_state") == "ok", F.col("_parsed"))
-    return _exploded(read.select(key, chosen_questions("_state", ok, "_section").alias("qs")), key, "qs")
+    # the list is never empty; posexplode would infer a filter on its size, with the whole chain in it
+    return _exploded(read.select(key, chosen_questions("_state", ok, "_section").alias("qs")), key, "qs", explode=F.posexplode_outer)
 
 
 def transcription_normalize(transcriptions: DataFrame, key: str = "item_id",

@@ -117,7 +117,7 @@ def question_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question-generation replies of sessions: a text's numbered sentences as completions, with each document's section,
     and the broken replies.  Documents of few sentences have too few questions."""
     docs = settings(spark, sf_dir).select("doc_id", "section", "text")
-    part = F.transform(F.slice(F.split("text", r"\. |\.\n"), 1, 7), lambda x, i: F.concat(F.lit("Q"), (i + 1).cast("string"), F.lit(": "), x))
+    part = F.transform(F.split("text", r"\. |\.\n"), lambda x, i: F.concat(F.lit("Q"), (i + 1).cast("string"), F.lit(": "), x))
     content = F.array_join(part, "\n")
     derived = docs.select(F.concat(F.lit("q:"), F.col("doc_id").cast("string")).alias("prompt_id"),
                           F.when(F.col("doc_id") % 8 != 7, F.col("section")).alias("section"), _chat_json(content).alias("raw"))

@@ -100,7 +100,7 @@ VIEWS = {
     "question_responses": f"""SELECT 'q:' || CAST(doc_id AS VARCHAR) AS prompt_id, CASE WHEN doc_id % 8 <> 7 THEN section END AS section,
           CAST(to_json({{'choices': [{{'message': {{'content': array_to_string(list_transform(range(1, 1 + len(p)),
             lambda i: 'Q' || CAST(i AS VARCHAR) || ': ' || p[i]), chr(10))}}}}]}}) AS VARCHAR) AS raw
-          FROM (SELECT doc_id, section, string_split_regex(text, '\\. |\\.\\n')[1:7] AS p FROM settings)
+          FROM (SELECT doc_id, section, string_split_regex(text, '\\. |\\.\\n') AS p FROM settings)
         UNION ALL SELECT prompt_id, 'Logical', raw FROM {values(fx.BAD_RESPONSES, ['prompt_id', 'kind', 'raw'])}""",
     "qa": """SELECT u.conv_id, row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) - 1 AS idx,
         u.text AS question, a.text AS answer
