@@ -47,6 +47,12 @@ def row_key(id_col: str, text_col: str) -> Column:
                                    F.coalesce(F.col(text_col), null)), 256))
 
 
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__row, __key): every row as one struct beside its identity, so that no column of the caller's is in the way of
+    an operator's own; ``select("__row.*")`` gives the rows back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), row_key(id_col, text_col).alias("__key"))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str, salts: int = 16,
                 how: str = "inner") -> DataFrame:
     """Equi-join whose left side may hold one key in a third of its rows: left rows go to one of

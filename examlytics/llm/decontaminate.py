@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, keyed_rows, row_key
 
 #: Seeds: 1 marks a token that must agree.  All but the last begin with two such tokens.
 MASKS = ("111011", "11100011", "1111", "111", "11", "1")
@@ -152,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
     bad = contaminated(docs, benchmark, id_col, text_col).select("__key").distinct()
-    return docs.withColumn("__key", row_key(id_col, text_col)).join(bad, "__key", "left_anti").select(*docs.columns)
+    return keyed_rows(docs, id_col, text_col).join(bad, "__key", "left_anti").select("__row.*")
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

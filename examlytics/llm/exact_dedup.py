@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, row_key, salted_join, text_bytes
+from .common import cut, keyed_rows, map_batches, row_key, salted_join, text_bytes
 
 CHUNK_BYTES = 1 << 16
 #: Fixed primes below 2**31 and bases of the two hashes.
@@ -146,10 +146,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     stay = exact_groups(docs, id_col, text_col).filter("kept").select("__key")
-    rows = docs.withColumn("__key", row_key(id_col, text_col)).join(stay, "__key")
+    rows = keyed_rows(docs, id_col, text_col).join(stay, "__key")
     # rows that agree in id and text but not in other columns: the first by the columns' hash
-    first = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*docs.columns)
+    first = Window.partitionBy("__key").orderBy(F.xxhash64("__row"))
+    return rows.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select("__row.*")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

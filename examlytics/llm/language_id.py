@@ -212,7 +212,8 @@ def strangeness(total: np.ndarray, size: np.ndarray, usual: np.ndarray) -> np.nd
 
 def predict(rows: DataFrame, labels: list[str], logp: np.ndarray, text_col: str = "text",
             pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``rows`` with all their columns, the predicted language and its posterior (0 to 1)."""
+    """``rows`` with all their columns, the predicted language and its posterior (0 to 1); columns of these two names are replaced."""
+    rows = rows.drop(pred_col, score_col)
     model = rows.sparkSession.sparkContext.broadcast((labels, logp))
     where = rows.columns.index(text_col)
 

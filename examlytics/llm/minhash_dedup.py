@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, map_batches, mix64, powers, row_key, salted_join, text_bytes, word_hashes
+from .common import blocks, cut, keyed_rows, map_batches, mix64, powers, row_key, salted_join, text_bytes, word_hashes
 from .components import components
 from .near_links import spanning_links
 
@@ -263,11 +263,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of each component and every row with the empty set, with all columns."""
     stay = near_duplicates(docs, id_col, text_col, percent).filter("kept").select("__key", "__root").distinct()
-    rows = docs.withColumn("__key", row_key(id_col, text_col)).join(stay, "__key")
+    rows = keyed_rows(docs, id_col, text_col).join(stay, "__key")
     # rows that share the smallest id, or have no id at all: one by key, then by the other columns
-    nth = Window.partitionBy("__root").orderBy("__key", F.xxhash64(*docs.columns))
+    nth = Window.partitionBy("__root").orderBy("__key", F.xxhash64("__row"))
     single = rows.filter("__root is not null").withColumn("__nth", F.row_number().over(nth)).filter("__nth = 1")
-    return single.select(*docs.columns).unionByName(rows.filter("__root is null").select(*docs.columns))
+    return single.select("__row.*").unionByName(rows.filter("__root is null").select("__row.*"))
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,9 +30,9 @@ from .components import components
 
 #: Sets and bytes of a tile; a task holds two tiles.
 TILE_SETS = 1024
-TILE_BYTES = 8 << 20
-#: Bits of the parity bitmaps that are shipped instead of sets.
-BITS = 1024
+TILE_BYTES = 16 << 20
+#: Logarithms of the least and the largest number of cells of a parity bitmap that is shipped instead of a set.
+LEAST_BITS, MOST_BITS = 9, 16
 #: Parts of a bucket's members when it is joined back to them.
 SALTS = 4
 
@@ -136,15 +136,31 @@ def _by_tiles(fn):
     return tiles
 
 
-def bitmaps(sets: DataFrame) -> DataFrame:
-    """(class, size, bits) of sets (class, set): the parity bitmap of BITS cells."""
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            full = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("set")]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([len(x) for x in full], pa.int64()),
-                                              pa.array([parity([x], BITS).tobytes() for x in full], pa.binary())], names=["class", "size", "bits"])
+def bitmap(x: np.ndarray) -> bytes:
+    """Parity bitmap of a set, with about as many cells as elements."""
+    return parity([x], 1 << int(np.clip(np.ceil(np.log2(max(1, len(x)))), LEAST_BITS, MOST_BITS))).tobytes()
+
+
+class Bitmaps:
+    """Parity bitmaps of different lengths.  Folding one in half by xor gives the bitmap of half the cells, so any two can be compared."""
 
-    return map_batches(sets.select("class", "set"), made, f"class {sets.schema['class'].dataType.simpleString()}, size bigint, bits binary")
+    def __init__(self, column):
+        raw = column.to_pylist()
+        self.words = np.array([len(m) // 8 for m in raw], np.int64)
+        self.groups = {}
+        self.place = np.empty(len(raw), np.int64)
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.place[at] = np.arange(len(at))
+            self.groups[w] = np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(-1, w)
+
+    def take(self, rows: np.ndarray, own: int, words: int) -> np.ndarray:
+        """Bitmaps of ``rows``, which have ``own`` words, folded to ``words``."""
+        m = self.groups[own][self.place[rows]]
+        while m.shape[-1] > words:
+            half = m.shape[-1] // 2
+            m = m[..., :half] ^ m[..., half:]
+        return m
 
 
 def may_link(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -153,8 +169,31 @@ def may_link(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, percent
     return (c <= np.minimum(a, b)) & (np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= a + b - 2 * c)
 
 
-def bit_words(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def may_link_pairs(a: np.ndarray, b: np.ndarray, x: Bitmaps, y: Bitmaps, percent: int) -> np.ndarray:
+    """``may_link`` of each row of two columns."""
+    out = np.zeros(len(a), bool)
+    for p, q in {*zip(x.words.tolist(), y.words.tolist())}:
+        at = np.flatnonzero((x.words == p) & (y.words == q))
+        w = min(p, q)
+        out[at] = may_link(a[at], b[at], x.take(at, p, w), y.take(at, q, w), percent)
+    return out
+
+
+def may_link_matrix(size: np.ndarray, maps: Bitmaps, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """``may_link`` of each of ``left`` with each of ``right``; sizes too unlike are not compared."""
+    out = np.zeros((len(left), len(right)), bool)
+    for p in np.unique(maps.words[left]).tolist():
+        i = np.flatnonzero(maps.words[left] == p)
+        for q in np.unique(maps.words[right]).tolist():
+            if max(p, q) > 2 * min(p, q):
+                continue
+            j = np.flatnonzero(maps.words[right] == q)
+            a, b, w = left[i], right[j], min(p, q)
+            step = max(1, (1 << 22) // max(1, len(j) * w))
+            for k in range(0, len(i), step):
+                some = a[k:k + step]
+                out[np.ix_(i[k:k + step], j)] = may_link(size[some, None], size[None, b], maps.take(some, p, w)[:, None], maps.take(b, q, w)[None], percent)
+    return out
 
 
 def clusters(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
@@ -165,16 +204,15 @@ def clusters(members: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     ``members``: bucket, class (bigint), root, size; ``light``: class, size, bits.  A pair of tiles returns one link
     for each member that has any, and the links that join roots: not the pairs."""
     def links(key: tuple, t: pa.Table) -> pa.RecordBatch:
-        size, maps, tile = t.column("n").to_numpy(), bit_words(t.column("bits")), t.column("tile").to_numpy()
+        size, maps, tile = t.column("n").to_numpy(), Bitmaps(t.column("bits")), t.column("tile").to_numpy()
         number: dict = {}
         root = np.array([number.setdefault(r, len(number)) for r in t.column("root").to_pylist()])
         up = list(range(len(number)))
         left, right = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
-        rows = max(1, (1 << 22) // max(1, len(right) * maps.shape[1]))
         u, v = [], []
-        for i in range(0, len(left), rows):
-            some = left[i:i + rows]
-            near = may_link(size[some, None], size[None, right], maps[some, None], maps[None, right], percent) & (root[some, None] != root[None, right])
+        for i in range(0, len(left), 256):
+            some = left[i:i + 256]
+            near = may_link_matrix(size, maps, some, right, percent) & (root[some, None] != root[None, right])
             met = np.flatnonzero(near.any(axis=0))
             u.extend(right[met].tolist())
             v.extend(some[near[:, met].argmax(axis=0)].tolist())

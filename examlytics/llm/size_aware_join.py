@@ -44,7 +44,7 @@ from .bit_table import bit_table, holds
 from .common import cut, map_batches, row_key, salted_join
 from .components import components
 from .minhash_dedup import confirmed, shingle_sets
-from .near_links import BITS, bit_words, clusters, may_link, needed, parity, spanning_links
+from .near_links import Bitmaps, bitmap, clusters, may_link_pairs, needed, spanning_links
 
 PERCENT = 80
 #: Cells of the element counts (a power of two); 8 bytes each on the driver and in every task.
@@ -106,7 +106,7 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for x in shingle_sets(batch.column("__text")):
                     size.append(len(x))
                     digest.append(_digest(x) if len(x) else None)
-                    bits.append(parity([x], BITS).tobytes())
+                    bits.append(bitmap(x))
                     small.append(x.tobytes() if 0 < len(x) <= MOST_SMALL else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__id"), batch.column("__key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
@@ -235,7 +235,7 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if len(batch):
                 a, b = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-                yield batch.select(["a", "b"]).filter(pa.array(may_link(a, b, bit_words(batch.column("ma")), bit_words(batch.column("mb")), percent)))
+                yield batch.select(["a", "b"]).filter(pa.array(may_link_pairs(a, b, Bitmaps(batch.column("ma")), Bitmaps(batch.column("mb")), percent)))
 
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
     return map_batches(both, check, "a bigint, b bigint")

@@ -126,7 +126,8 @@ def derivatives(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
 
 
 def responses(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` with all columns and ``record``: the bytes of a response record."""
+    """``pages`` with all columns and ``record``: the bytes of a response record (a column of this name is replaced)."""
+    pages = pages.drop("record") if "record" not in (url_col, html_col) else pages
     src = pages.select("*", F.coalesce(F.col(url_col), F.lit("")).alias("__url"), F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
     schema = pages.select("*", F.lit(b"").alias("record")).schema
 
