@@ -107,12 +107,24 @@ def check_languages(n: int) -> None:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
 
 
+def cuts(text: str, most: int = PIECE) -> Iterator[str]:
+    """A text in parts of about ``most`` characters, each cut before a character that is not a letter.  No n-gram runs across such a
+    character, and one that begins or ends there meets the blank of the part, so the parts have the n-grams of the whole text.
+    A run of letters longer than ``most`` stays in one part."""
+    at = 0
+    while at < len(text):
+        end = at + most
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
     """Rows and texts in runs of about PIECE characters; a longer text comes in several pieces."""
     rows, held, size = [], [], 0
     for i, t in enumerate(texts):
-        for at in range(0, max(len(t), 1), PIECE):
-            part = t[at:at + PIECE] if len(t) > PIECE else t
+        for part in cuts(t) if len(t) > PIECE else [t]:
             rows.append(i)
             held.append(part)
             size += len(part)

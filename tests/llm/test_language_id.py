@@ -85,3 +85,19 @@ def test_texts_in_no_learned_language_are_dropped(spark):
     assert not [t for i, t, _ in rows[len(bad):] if i not in left]
     given = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
     assert given <= left
+
+
+def test_long_texts_have_the_ngrams_of_the_whole():
+    """A text in pieces counts as it does whole, whatever stands at the cuts."""
+    rng = np.random.default_rng(3)
+    letters = "abcdé ß.,\n1語"
+    for most in (1, 2, 3, 7, 50):
+        text = "".join(rng.choice(list(letters), 400))
+        whole = m.ngram_bins(m.codes([text])[0], m.BINS)
+        parts = list(m.cuts(text, most))
+        assert "".join(parts) == text and (most > 1 or len(parts) > 50)
+        cut = m.ngram_bins(m.codes(parts)[0], m.BINS)
+        for x, y in zip(whole, cut):
+            assert np.bincount(x[x > 0], minlength=m.BINS).tolist() == np.bincount(y[y > 0], minlength=m.BINS).tolist()
+    run = "a" * 1000
+    assert list(m.cuts(run, 10)) == [run] and list(m.cuts("", 10)) == []
