@@ -20,7 +20,9 @@ unless a path is given, so that the next run goes on where the last one ended.
   sessions   typed and spoken answers, sessions (session_id, mode, n_questions), violations -> answers, progress,
              resume points and finished sessions, without the terminated ones (--sink: those of a running terminations stream)
   final      questions (session_id, idx, question), answers, students -> final evaluation prompts
-  reports    results store -> report table (latest record per roll number)
+  reports    results store -> report table (latest record per roll number); with --latest from a table of latest records that is
+             brought up to date with the store's new loads (--roll: one student's report)
+  search     results store -> records whose student name matches --pattern, through the trigram index beside the store
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from .operators import results as R
 from .operators import sessions as S
 from .schemas import EVALUATIONS, VIOLATIONS
 from .session import get_spark
-from .sources import dashboard_store, reports, results_store
+from .sources import dashboard_store, name_index, reports, results_store
 from .streaming import batches
 from .streaming import streams as G
 
@@ -100,13 +102,21 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         transcripts = S.transcript_assemble(read(args.input), read(args.answers), "session_id")
         _write(B.prompt_final(transcripts, read(args.students), "session_id"), args.out)
     elif args.job == "reports":
-        reports.write_reports(reports.report_text(results_store.saved_results(spark, args.store)), args.out)
+        if args.latest:
+            reports.refresh_latest(spark, args.store, args.latest)
+            reports.vacuum_latest(spark, args.latest, args.retain_hours)
+            rows = reports.render_reports(reports.latest_records(spark, args.latest, args.roll))
+        else:
+            rows = reports.report_text(results_store.saved_results(spark, args.store))
+        reports.write_reports(rows, args.out)
+    elif args.job == "search":
+        _write(name_index.indexed_search(spark, args.store, args.pattern), args.out)
     else:  # pragma: no cover - argparse restricts the choices
         raise ValueError(args.job)
 
 
 STREAM_KEYS = {"violations": ["session_id"], "answers": ["session_id", "idx"]}
-JOBS = ["results", "stream", "compact", "terminations", "merge", "dashboard", "prompts", "questions", "grades", "sessions", "final", "reports"]
+JOBS = ["results", "stream", "compact", "terminations", "merge", "dashboard", "prompts", "questions", "grades", "sessions", "final", "reports", "search"]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -116,7 +126,8 @@ def parser() -> argparse.ArgumentParser:
     for name, what in [("input", "input table"), ("store", "results store path"), ("sink", "terminations: parts path"), ("out", "output path"),
                        ("typed", "typed answers"), ("voice", "spoken answers"), ("sessions", "sessions"), ("violations", "violations"),
                        ("answers", "final answers"), ("students", "student attributes"), ("checkpoint", "stream checkpoint"),
-                       ("load", "results: name of this append"), ("prompts", "grades: all prompts")]:
+                       ("load", "results: name of this append"), ("prompts", "grades: all prompts"), ("latest", "reports: table of latest records"), ("roll", "reports: one roll number"),
+                       ("pattern", "search: regular expression")]:
         p.add_argument(f"--{name}", help=what)
     p.add_argument("--key", default="prompt_id")
     p.add_argument("--date-from")

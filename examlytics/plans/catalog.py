@@ -20,6 +20,7 @@ from ..sources import dashboard_store as K
 from ..sources import ingest as I
 from ..sources import reports, results_store, roster
 from ..sources.literals import literal_frame
+from ..sources.name_index import indexed_search, refresh_index
 from ..sources.tables import read_table
 from ..streaming import streams as G
 from . import fixtures as fx
@@ -105,6 +106,18 @@ def _marks_series_stored(spark, sf_dir):
     return K.marks_series(spark, _loaded_store(spark, sf_dir, between=K.refresh_series))
 
 
+def _report_text_kept(spark, sf_dir):
+    """Reports of the kept table of latest records, refreshed before and after the store's later loads."""
+    table = scratch_path(spark, "latest")
+    path = _loaded_store(spark, sf_dir, students=True, between=lambda s, p: reports.refresh_latest(s, p, table))
+    reports.refresh_latest(spark, path, table)
+    return reports.render_reports(reports.latest_records(spark, table))
+
+
+def _student_search_indexed(spark, sf_dir):
+    return indexed_search(spark, _loaded_store(spark, sf_dir, students=True, between=refresh_index), SEARCH_PATTERN)
+
+
 def _ingest_files(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages", "url").select(
         F.regexp_extract("url", URL_PATH, 1).alias("name"), F.lit("text/html").alias("media_type"))
@@ -250,6 +263,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "results_append": _results_append,
     "results_compacted": _results_compacted,
     "report_text": _report_text,
+    "report_text_kept": _report_text_kept,
     # B: settings and prompt datasets
     "settings_resolve": lambda s, d: B.settings_resolve(fx.settings(s, d)),
     "section_template": lambda s, d: B.section_template(B.settings_resolve(fx.settings(s, d))),
@@ -296,6 +310,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "department_distribution": _department_distribution,
     "marks_series": lambda s, d: D.marks_series(results(s, d, students=False)),
     "student_search": lambda s, d: D.student_search(results(s, d), SEARCH_PATTERN),
+    "student_search_indexed": _student_search_indexed,
     "pass_records": lambda s, d: D.pass_records(results(s, d)),
     "fail_records": lambda s, d: D.fail_records(results(s, d)),
     "kpis_from_states": lambda s, d: K.overview_kpis(_states(s, d)),

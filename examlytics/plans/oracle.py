@@ -398,5 +398,5 @@ def _build() -> dict[str, str]:
 #: Queries over what is kept beside a store or a stream's table: the same rows as from the records.
 SAME_ROWS = {"results_compacted": "result_build", "kpis_from_states": "overview_kpis", "status_from_states": "status_distribution",
              "department_from_states": "department_distribution", "marks_series_stored": "marks_series", "answers_merged": "answer_upsert",
-             "terminations_merged": "violations_terminate"}
+             "terminations_merged": "violations_terminate", "report_text_kept": "report_text", "student_search_indexed": "student_search"}
 ORACLE_SQL = _build()
