@@ -26,10 +26,11 @@ def bit_table(values: DataFrame, log: int = LOG) -> np.ndarray:
     name = values.columns[0]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << log, bool)
+        table = np.zeros((1 << log) // 8, np.uint8)
         for batch in batches:
-            bits[batch.column(name).to_numpy() & ((1 << log) - 1)] = True
-        parts = np.packbits(bits, bitorder="little").reshape(-1, min(_PART, (1 << log) // 8))
+            at = batch.column(name).to_numpy() & ((1 << log) - 1)
+            np.bitwise_or.at(table, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        parts = table.reshape(-1, min(_PART, (1 << log) // 8))
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())],
                                          names=["part", "bits"])

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from examlytics.llm import minhash_dedup as m
+from examlytics.llm import minhash_dedup as m, near_links
 from examlytics.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,7 +53,7 @@ def test_matches_brute_force(docs):
 
 def test_chain_in_small_tiles(spark, monkeypatch):
     """A chain of small edits: neighbours link, the ends do not; tiles of two classes lose none."""
-    monkeypatch.setattr(m, "TILE", 2)
+    monkeypatch.setattr(near_links, "TILE_SETS", 2)
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in rng.integers(0, 10_000, 150)]
     rows = []
