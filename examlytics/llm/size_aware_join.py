@@ -31,6 +31,7 @@ Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -60,7 +61,7 @@ SALTS = 2
 
 def element_counts(docs: DataFrame, text_col: str, cells: int = COUNTERS) -> np.ndarray:
     """Number of elements in each of ``cells`` cells, over the sets of all rows.  Tasks add up whole tables and send
-    them in chunks; the driver gets ``cells`` numbers."""
+    them in compressed chunks; the driver gets ``cells`` numbers."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, some, held = np.zeros(cells, np.int64), [], 0
         for batch in batches:
@@ -73,14 +74,14 @@ def element_counts(docs: DataFrame, text_col: str, cells: int = COUNTERS) -> np.
         if some:
             total += np.bincount(np.concatenate(some), minlength=cells)
         parts = total.reshape(-1, _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
                                          names=["chunk", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, s in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-                held[c] = held.get(c, 0) + np.frombuffer(s.as_buffer(), np.int64)
+                held[c] = held.get(c, 0) + np.frombuffer(zlib.decompress(s.as_buffer()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([h.tobytes() for h in held.values()], pa.binary())],
                                          names=["chunk", "counts"])
 
