@@ -51,6 +51,10 @@ def one_line(value: str) -> str:
     return " ".join(value.split())
 
 
+#: Type of the row that stands for a record that cannot be read.
+BROKEN = "broken"
+
+
 def to_bytes(headers: Headers, block: bytes) -> bytes:
     head = "".join(f"{k}: {one_line(v)}\r\n" for k, v in headers)
     return f"{VERSION}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode("utf-8", "replace") + block + b"\r\n\r\n"
@@ -77,17 +81,28 @@ def field(headers: Headers, name: str) -> str:
 
 
 def parse(data: bytes) -> Iterator[tuple[Headers, bytes]]:
-    """Records of the bytes of an uncompressed WARC file."""
+    """Records of the bytes of an uncompressed WARC file; a ValueError where no whole record follows."""
     at = 0
     while at < len(data):
         version, headers, body = split_head(data, at)
         if not version.startswith("WARC/"):
             raise ValueError(f"no record starts at {at}")
         size = int(field(headers, "Content-Length"))
+        if size < 0 or body + size > len(data):
+            raise ValueError(f"the record at {at} is cut short")
         yield [h for h in headers if h[0].lower() != "content-length"], data[body:body + size]
         at = body + size + 4
 
 
+def record_end(data: bytes, at: int) -> int:
+    """Where the record that starts at ``at`` ends, with its two line breaks."""
+    version, headers, body = split_head(data, at)
+    size = int(field(headers, "Content-Length"))
+    if not version.startswith("WARC/") or size < 0 or body + size > len(data):
+        raise ValueError(f"no whole record at {at}")
+    return min(body + size + 4, len(data))
+
+
 def response(url: str, page: str, date: str = NO_DATE) -> tuple[Headers, bytes]:
     payload = page.encode("utf-8", "replace")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
@@ -144,14 +159,21 @@ def read_records(files: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                for headers, block in parse(data.as_py() or b""):
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([to_bytes(headers, block)], pa.binary())], names=["path", "record"])
+                raw, at = data.as_py() or b"", 0
+                while at < len(raw):
+                    try:
+                        end = record_end(raw, at)
+                    except ValueError:
+                        end = len(raw)             # what follows a broken record is kept as one, which derive marks
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([raw[at:end]], pa.binary())], names=["path", "record"])
+                    at = end
 
     return map_batches(files.select("path", "content"), split, "path string, record binary")
 
 
 def derive(records: DataFrame, id_col: str, record_col: str = "record") -> DataFrame:
-    """(id, record_type, record_id, refers_to, target_uri, source_digest, block_digest, content_length, record)."""
+    """(id, record_type, record_id, refers_to, target_uri, source_digest, block_digest, content_length, record).  A record that cannot be
+    read (no WARC head, a missing or wrong length, cut short) gives one row of type ``broken`` without a record; the others go on."""
     src = records.select(F.col(id_col).alias("__id"), F.col(record_col).alias("__record"))
     kind = src.schema["__id"].dataType.simpleString()
     named = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI",
@@ -163,14 +185,18 @@ def derive(records: DataFrame, id_col: str, record_col: str = "record") -> DataF
                 batch = whole.slice(at, 500)
                 row, found = [], []
                 for i, data in enumerate(batch.column("__record").to_pylist()):
-                    for headers, block in parse(data or b""):
-                        for made_ in derivatives(headers, block):
-                            row.append(i)
-                            found.append(made_)
+                    try:
+                        for headers, block in parse(data or b""):
+                            for made_ in derivatives(headers, block):
+                                row.append(i)
+                                found.append(made_)
+                    except ValueError:
+                        row.append(i)
+                        found.append(([("WARC-Type", BROKEN)], b""))
                 columns = [pa.array([field(h, name) for h, _ in found], pa.string()) for name in named.values()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__id").take(pa.array(row, pa.int64())), *columns, pa.array([len(b) for _, b in found], pa.int64()),
-                     pa.array([to_bytes(h, b) for h, b in found], pa.binary())], names=["__id", *named, "content_length", "record"])
+                     pa.array([None if field(h, "WARC-Type") == BROKEN else to_bytes(h, b) for h, b in found], pa.binary())], names=["__id", *named, "content_length", "record"])
 
     return map_batches(src, made, f"__id {kind}, {', '.join(f'{c} string' for c in named)}, content_length bigint, record binary"
                        ).withColumnRenamed("__id", id_col)

@@ -69,3 +69,19 @@ def test_repeated_fields_all_stay(spark, tmp_path):
     ((_, body),) = m.parse(bytes(out.filter("record_type = 'metadata'").first().record))
     facts = json.loads(body)
     assert facts["source_fields"] == [list(h) for h in headers] and facts["http"]["headers"] == http
+
+
+def test_broken_records_do_not_stop_the_others(spark):
+    good = m.to_bytes(*m.response("http://a/", "<p>text</p>"))
+    head = b"WARC/1.1\r\nWARC-Type: response\r\n"
+    broken = [b"garbage", head + b"\r\nx\r\n\r\n", head + b"Content-Length: ten\r\n\r\nx", head + b"Content-Length: -9\r\n\r\nx", good[:-20], good + b"rest"]
+    rows = [(i, None if b is None else bytearray(b)) for i, b in enumerate([good, *broken, b"", None])]
+    got = m.derive(spark.createDataFrame(rows, "id long, record binary"), "id").collect()
+    kinds = {}
+    for r in got:
+        kinds.setdefault(r.id, []).append(r.record_type)
+    assert kinds == {0: ["metadata", "conversion"], **{i: ["broken"] for i in range(1, 6)}, 6: ["metadata", "conversion", "broken"]}
+    assert all((r.record is None) == (r.record_type == "broken") for r in got)
+    files = spark.createDataFrame([("f", bytearray(good + good + b"garbage" + good))], "path string, content binary")
+    read = [bytes(r.record) for r in m.read_records(files).collect()]
+    assert read == [good, good, b"garbage" + good]
