@@ -11,6 +11,7 @@ from .html_extract import op8_html_extract
 from .language_id import op2_language_id
 from .minhash_dedup import op3_minhash_dedup
 from .packing import op7_best_fit_packing
+from .shingle_sql import components_sql
 from .size_aware_join import op11_ngram_jaccard_join
 from .substring_dedup import OP10_SQL, op10_substring_dedup
 from .token_counts import op6_token_counts
@@ -21,4 +22,5 @@ QUERIES = {f.__name__: f for f in (
     op7_best_fit_packing, op8_html_extract, op9_warc_derivatives, op10_substring_dedup,
     op11_ngram_jaccard_join, op12_fill_in_middle, op13_conversation_trie)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op10_substring_dedup": OP10_SQL,
+              "op3_minhash_dedup": components_sql(85, kept=True), "op11_ngram_jaccard_join": components_sql(80, kept=False),
               "op12_fill_in_middle": OP12_SQL, "op13_conversation_trie": OP13_SQL}
