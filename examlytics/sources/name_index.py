@@ -25,6 +25,8 @@ from .literals import empty_frame
 
 INDEX = "key string, name string, gram string"
 _SPECIAL = set("\\^$.|?*+()[]{}")
+#: Index rows that a task sorts, about.  A trigram that all names share is dealt over as many tasks as it needs.
+TASK_ROWS = 1 << 20
 
 
 def required_runs(pattern: str) -> list[str]:
@@ -110,10 +112,12 @@ def refresh_index(spark: SparkSession, path: str) -> int:
         made = uuid.uuid4().hex
         key = F.concat(F.lit(f"{store.PARTITION_COL}="), F.coalesce(F.col(store.PARTITION_COL).cast("string"), F.lit(store.NO_DAY)),
                        F.lit(f"/{store.PART_COL}="), F.col(store.PART_COL))
-        names = (store.scan_keys(spark, path, missing).where("student_name is not null")
-                 .select(key.alias("key"), F.col("student_name").alias("name")).distinct())
+        records = store.scan_keys(spark, path, missing).where("student_name is not null")
+        most = records.agg(F.sum(F.greatest(F.length("student_name") - 2, F.lit(1)))).first()[0] or 0        # trigrams with repetitions
+        names = records.select(key.alias("key"), F.col("student_name").alias("name")).distinct()
         rows = names.select("key", "name", F.explode(_grams(F.col("name"))).alias("gram"))
-        rows.repartitionByRange("gram").sortWithinPartitions("gram", "name").write.parquet(f"{table}/refresh={made}")
+        (rows.repartitionByRange(max(1, -(-most // TASK_ROWS)), "gram", "name", "key").sortWithinPartitions("gram", "name")
+         .write.parquet(f"{table}/refresh={made}"))
         change["put"] = {k: {"refresh": made} for k in missing}
     ledger.commit(spark, table, lambda state: change)
     return len(missing)

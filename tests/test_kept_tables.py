@@ -104,3 +104,19 @@ def test_parts_without_a_match_are_not_scanned(spark, named_store):
     found = N.indexed_search(spark, named_store, "keith")
     days = {os.path.dirname(f).split("saved_date=")[1].split("/")[0] for f in found.inputFiles() if "saved_date=" in f}
     assert len(days) == 1 and found.count() == 1
+
+
+def test_a_trigram_of_all_names_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """Every name begins with ``customer``: one trigram has a row for each of them."""
+    monkeypatch.setattr(N, "TASK_ROWS", 500, raising=False)
+    path = str(tmp_path / "hot")
+    base = records(spark, [0]).drop("record_id", "student_name")
+    names = spark.range(1000).select(F.col("id").cast("string").alias("record_id"), F.format_string("Customer#%04d", "id").alias("student_name"))
+    store.results_append(names.crossJoin(base), path, "one")
+    N.refresh_index(spark, path)
+    index = spark.read.parquet(f"{path}/_names/refresh=*")
+    a_file = [r[1] for r in index.groupBy(F.input_file_name()).count().collect()]
+    assert index.where("gram = 'cus'").count() == 1000 and max(a_file) <= 1000
+    want = D.student_search(store.saved_results(spark, path), "customer#00+1[0-9]$")
+    found = N.indexed_search(spark, path, "customer#00+1[0-9]$")
+    assert rows(found) == rows(want) and found.count() == 10
