@@ -12,7 +12,8 @@ cover.  So two equal windows share an equal anchor at the same shift.
    nothing is removed.  Of rows with equal texts the one with the smallest id stands for all: a copy of 50
    words or more loses every word, since each of its windows starts in the smallest row too.
 2. Anchors (6 of 31 places) are grouped by hash.  A group with two different texts yields its members.
-3. The representatives with such members get their places and their text.  Every window that contains a
+3. The representatives with such members get their places and their text (a bit table drops most other texts
+   before they are shuffled).  Every window that contains a
    matched anchor is a candidate ("extension"): windows are grouped by a 128-bit hash, and a member
    whose id is not the group's smallest is a repeat.
 4. Those texts drop the covered words and are digested again.
@@ -36,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bit_table import bit_table, holds
 from .common import blocks, cut, map_batches, salted_join, signed, text_bytes, window_hashes, word_hashes
 
 WINDOW = 50
@@ -103,9 +105,25 @@ def repeated(windows_: DataFrame) -> DataFrame:
     return later.groupBy("__id", "__tag").agg(F.collect_set("place").alias("places"))
 
 
+def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(__id, __tag, __text) of the wanted (__id, __tag), once each: a bit table drops most other texts before the shuffle, and the
+    rows stay dealt by ``__row`` for :func:`with_places`."""
+    only = texts.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("__id", "__tag"))))
+    kind = texts.schema["__id"].dataType.simpleString()
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(holds(only.value, batch.column("__hash").to_numpy()))).select(["__id", "__tag", "__text"])
+
+    found = map_batches(texts.select("__id", "__tag", "__text", F.xxhash64("__id", "__tag").alias("__hash")), some, f"__id {kind}, __tag bigint, __text string")
+    return found.withColumn("__row", F.struct("__id", "__tag")).dropDuplicates(["__row"])
+
+
 def with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
-    same = texts["__id"].eqNullSafe(places["__id"]) & (texts["__tag"] == places["__tag"])
-    return texts.join(places, same).select(texts["__id"], texts["__tag"], "__text", places["places"])
+    """(__id, __tag, __text, places) of the rows that have places; a struct is equal to another where both hold null."""
+    row = F.struct("__id", "__tag")
+    texts = texts if "__row" in texts.columns else texts.withColumn("__row", row)
+    return texts.join(places.select(row.alias("__row"), "places"), "__row").select("__id", "__tag", "__text", "places")
 
 
 def windows(texts: DataFrame) -> DataFrame:
@@ -167,13 +185,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: the id column, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text."""
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__tag"), F.col(text_col).alias("__text"))
     rows = cut(plain_words(docs, id_col, text_col))
-    least = rows.groupBy("__content").agg(F.min(F.struct("__id")).alias("least"))
-    rows = (salted_join(rows, least, ["__content"], "__id")
-            .withColumn("first", F.col("__id").eqNullSafe(F.col("least.__id"))).drop("least"))
+    # a text that no other row has needs no partner
+    least = rows.groupBy("__content").agg(F.min(F.struct("__id")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    rows = (salted_join(rows, least, ["__content"], "__id", how="left")
+            .withColumn("first", F.col("least").isNull() | F.col("__id").eqNullSafe(F.col("least.__id"))).drop("least"))
 
     hits = matched(anchors(texts))
     firsts = rows.filter(F.col("first") & (F.col("n_words") >= WINDOW)).select("__id", "__tag").distinct()
-    chosen = cut(with_places(texts, firsts.join(hits, "__tag")).dropDuplicates(["__id", "__tag"]))
+    wanted = cut(firsts.join(hits, "__tag"))
+    chosen = cut(with_places(texts_of(texts, wanted), wanted))
     changed = without_repeats(with_places(chosen.drop("places"), repeated(windows(chosen))))
     changed = cut(changed if with_text else changed.drop("left_text"))
 

@@ -76,3 +76,23 @@ def test_blocks_do_not_change_results(docs, texts):
 
 def test_empty(no_docs):
     assert m.substring_dedup(no_docs).count() == 0
+
+
+def test_only_wanted_texts_are_shuffled_and_once(spark):
+    """Repeated rows and a null id among them; the rows of the bit table's pass stay dealt for the join."""
+    rows = [(i, i, f"text {i}") for i in range(300)] + [(None, 7, "text 7"), (7, 7, "text 7")]
+    texts = spark.createDataFrame(rows, "__id long, __tag long, __text string")
+    wanted = spark.createDataFrame([(None, 7, [1]), (7, 7, [2]), (9, 9, [3])], "__id long, __tag long, places array<int>")
+    found = m.with_places(m.texts_of(texts, wanted), wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "__hash" in plan
+    assert Counter((r[0], r[2], *r[3]) for r in found.collect()) == Counter([(None, "text 7", 1), (7, "text 7", 2), (9, "text 9", 3)])
+
+
+def test_single_texts_are_not_joined_for_the_smallest_id(spark, monkeypatch):
+    seen = []
+    join = m.salted_join
+    monkeypatch.setattr(m, "salted_join", lambda left, right, *a, **k: seen.append(right.count()) or join(left, right, *a, **k))
+    docs = spark.createDataFrame([(i, f"{'w ' * 60}{max(i, 3)}") for i in range(40)] + [(None, "x"), (5, "x")], "doc_id long, text string")
+    assert got(docs) == brute(docs.collect())
+    assert set(seen) == {2}
