@@ -253,10 +253,13 @@ def large_links(docs: DataFrame, classes: DataFrame, counts, most: int, percent:
     members = salted_join(pairs, lists, ["bucket"], "tag", salts=SALTS).join(classes.select("tag", "class", "size"), "tag")
     members = cut(members.select("bucket", "class", "size"))
 
-    order = F.struct(F.xxhash64("class"), "class")
-    hubs = cut(members.groupBy("bucket").agg(F.min(order)["class"].alias("lo"), F.max(order)["class"].alias("hi"), F.count(F.lit(1)).alias("n")))
-    stars = (salted_join(members, hubs, ["bucket"], "class", salts=SALTS).select("class", F.explode(F.array("lo", "hi")).alias("hub")).filter("class <> hub")
-             .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct())
+    # the numbers of classes follow their digests, so the hubs are any two of a list
+    hubs = cut(members.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")))
+    # the hubs of a list of two are its members
+    stars = (salted_join(members.select("bucket", "class"), hubs.filter("n > 2").drop("n"), ["bucket"], "class", salts=SALTS)
+             .select("class", F.explode(F.array("lo", "hi")).alias("hub")).filter("class <> hub")
+             .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
+             .unionByName(hubs.filter("n = 2 and lo < hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct())
     stars = cut(likely(stars, classes, percent))
     named = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "__key"), "class")
     first = confirmed(stars, full_sets(docs, named, counts, id_col, text_col, percent), percent, n_sets=named.count())

@@ -142,3 +142,13 @@ def test_links_grow_with_the_family_not_its_pairs(spark, monkeypatch, edits):
                 up[find(a)] = find(b)
             got = [find(i) for i in range(n)]
             assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+def test_lists_of_two_need_no_join_with_their_hubs(spark, monkeypatch):
+    """Pairs of near copies only: every inverted list has two members."""
+    joined = []
+    join = j.salted_join
+    monkeypatch.setattr(j, "salted_join", lambda left, right, *a, **k: ("lo" in right.columns and joined.append(right.count())) or join(left, right, *a, **k))
+    texts = [" ".join(f"p{p}-{x if x != 10 * c else 'own'}" for x in range(120)) for p in range(6) for c in (1, 2)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert joined == [0]
