@@ -175,8 +175,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, n_sets:
 
     placed = pairs.select(F.least(block("a"), block("b")).alias("lo"), F.greatest(block("a"), block("b")).alias("hi"), "a", "b")
     wanted = placed.select("lo", "hi", F.explode(F.array("a", "b")).alias("class")).distinct()
-    shipped = wanted.join(sets.select("class", "set"), "class").select("lo", "hi", F.col("class").alias("a"), F.lit(None).cast(pairs.schema["a"].dataType).alias("b"), "set")
-    dealt = (shipped.unionByName(placed.withColumn("set", F.lit(None).cast("binary")))
+    return confirmed_in_blocks(placed, wanted.join(sets.select("class", "set"), "class"), percent)
+
+
+def confirmed_in_blocks(placed: DataFrame, shipped: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The confirmed pairs of ``placed`` (lo, hi, a, b); ``shipped``: lo, hi, class, set of both sides of each."""
+    none = F.lit(None).cast(placed.schema["a"].dataType)
+    dealt = (shipped.select("lo", "hi", F.col("class").alias("a"), none.alias("b"), "set")
+             .unionByName(placed.withColumn("set", F.lit(None).cast("binary")))
              .repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.col("b").asc_nulls_first()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +203,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, n_sets:
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["u", "v"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
+    kind = placed.schema["a"].dataType.simpleString()
     return map_batches(dealt, check, f"u {kind}, v {kind}")
 
 

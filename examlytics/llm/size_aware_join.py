@@ -13,10 +13,11 @@
    threshold share one of the first n - ceil(t n) + 1 of each, so only these are listed.  The order is rarest
    first: by counts in ``COUNTERS`` cells over all sets (a table of fixed size), then by hash, so very frequent
    shingles come last and their lists are short or empty.
-   A first pass finds the elements that two different sets list, a second one their members.
+   A listed element is shuffled once, with the tag of its set (once a set and task, however many copies): what
+   lists one set only, or sets too unlike in size, ends there.
 5. Each list links its members with two hubs: by size and parity bitmap first, then on full sets, which are
-   read for the classes that need them only.  Lists of more than three that then still hold
-   more than one component go to :mod:`near_links`: every remaining pair of different components is
+   read for the classes that need them only.  The other members of lists of more than three, where they then still hold
+   more than one component, go to :mod:`near_links`: every remaining pair of different components is
    compared, by bitmaps and then, within clusters of what can link, on full sets; only links that join components are returned.
 6. Components by alternating large-star and small-star.
 
@@ -31,6 +32,7 @@ Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import combinations
@@ -38,13 +40,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bit_table import bit_table, holds
 from .common import cut, map_batches, row_key, salted_join
 from .components import components
-from .minhash_dedup import confirmed, shingle_sets
+from .minhash_dedup import BLOCK, confirmed_in_blocks, shingle_sets
 from .near_links import Bitmaps, bitmap, clusters, may_link_pairs, needed, spanning_links
 
 PERCENT = 80
@@ -57,6 +59,10 @@ MOST_SMALL = 40
 LISTED, SUBSET, VERIFIED = 8, 8, 2
 #: Parts of an inverted list's members when it is joined back to them.
 SALTS = 2
+#: Ratio of the sizes that follow each other in tags.
+STEP = 1.05
+#: Leading bits of an element that name its list.  Elements that share them share a list: more to compare, nothing lost.
+NAMED = 40
 
 
 def element_counts(docs: DataFrame, text_col: str, cells: int = COUNTERS) -> np.ndarray:
@@ -94,7 +100,7 @@ def element_counts(docs: DataFrame, text_col: str, cells: int = COUNTERS) -> np.
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: __id, __key, size, digest (null for the empty set), tag (its first 64 bits), bits (the parity
+    """One row per input row: __id, __key, size, digest (null for the empty set), tag (of digest and size), bits (the parity
     bitmap) and the whole set if it may be small."""
     src = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text"))
     kind = src.schema["__id"].dataType.simpleString()
@@ -111,7 +117,7 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     small.append(x.tobytes() if 0 < len(x) <= MOST_SMALL else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__id"), batch.column("__key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                     pa.array([_tag(d) if d else None for d in digest], pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
+                     pa.array([_tag(d, n) if d else None for d, n in zip(digest, size)], pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.binary())],
                     names=["__id", "__key", "size", "digest", "tag", "bits", "small"])
 
     return map_batches(src, made, f"__id {kind}, __key binary, size bigint, digest binary, tag bigint, bits binary, small binary")
@@ -121,23 +127,33 @@ def _digest(x: np.ndarray) -> bytes:
     return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
-def _tag(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+def _tag(digest: bytes, size: int) -> int:
+    """56 bits of a set's digest over 8 bits of its size, so that tags tell most sets that are too unlike in size to link."""
+    return int.from_bytes(digest[:7], "little", signed=True) << 8 | min(255, int(math.log(size) / math.log(STEP)))
 
 
-def postings(docs: DataFrame, text_col: str, counts, least: int, percent: int, only=None) -> DataFrame:
-    """(bucket, tag): the listed elements of every set of ``least`` or more, those that the bit table ``only`` holds."""
+def _size_code(tag: str) -> Column:
+    return F.col(tag).bitwiseAND(F.lit(255))
+
+
+def size_steps(percent: int) -> int:
+    """Most by which the size codes of two sets that link differ."""
+    return int(math.log(100 / percent) / math.log(STEP) + 1e-9) + 1
+
+
+def postings(docs: DataFrame, text_col: str, counts, least: int, percent: int) -> DataFrame:
+    """(bucket, tag): the lists of the listed elements of every set of ``least`` or more, once a set and task."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             keys, tags, held = [], [], 0
             for x in shingle_sets(batch.column("__text")):
-                if len(x) < max(1, least):
+                if len(x) < max(1, least) or (digest := _digest(x)) in seen:
                     continue
-                some = _first_elements(x, counts.value, percent)
-                if only is not None:
-                    some = some[holds(only.value, some)]
+                seen.add(digest)
+                some = _first_elements(x, counts.value, percent) >> (64 - NAMED) << (64 - NAMED)
                 keys.append(some)
-                tags.append(np.full(len(some), _tag(_digest(x)), np.int64))
+                tags.append(np.full(len(some), _tag(digest, len(x)), np.int64))
                 held += len(some)
                 if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(tags))], names=["bucket", "tag"])
@@ -148,9 +164,17 @@ def postings(docs: DataFrame, text_col: str, counts, least: int, percent: int, o
     return map_batches(docs.select(F.col(text_col).alias("__text")), made, "bucket bigint, tag bigint")
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(flat))
+def shared_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """(bucket, tag, hi, n): the n > 1 members of each list of ``rows`` (bucket, tag) that by size can link with another, of a
+    list of two the lesser only.  hi: the largest tag, in the rows of the least and the largest (null in the others)."""
+    bucket = Window.partitionBy("bucket")
+    lo, hi = F.min("tag").over(bucket), F.max("tag").over(bucket)
+    members = rows.withColumns({"lo": lo, "hi": hi}).filter("lo < hi").select("bucket", "tag").distinct()
+    code, by_size = _size_code("tag"), bucket.orderBy(_size_code("tag"))
+    steps = members.withColumns({"down": code - F.lag(code).over(by_size), "up": F.lead(code).over(by_size) - code})
+    near = steps.filter(F.least("down", "up") <= size_steps(percent)).select("bucket", "tag")
+    near = near.withColumns({"lo": lo, "hi": hi, "n": F.count(F.lit(1)).over(bucket)}).filter("n > 2 or tag = lo")
+    return near.select("bucket", "tag", F.when(F.expr("tag in (lo, hi)"), F.col("hi")).alias("hi"), "n")
 
 
 def listed(n: int, percent: int) -> int:
@@ -204,8 +228,8 @@ def _first_elements(x: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarr
     return x[np.lexsort((x, rank))[:n]].view(np.int64)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, counts, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(class, keys, set) of the wanted classes (class, __key), from their texts: the listed elements and the sorted set."""
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The sorted set of each wanted class, from its text, and the columns of ``wanted`` (one row a __key) but __key."""
     spark = docs.sparkSession
     only = spark.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("__key"))))
     texts = docs.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("__text")).withColumn("__hash", F.xxhash64("__key"))
@@ -215,22 +239,23 @@ def full_sets(docs: DataFrame, wanted: DataFrame, counts, id_col: str, text_col:
             yield batch.filter(pa.array(holds(only.value, batch.column("__hash").to_numpy()))).select(["__key", "__text"])
 
     texts = map_batches(texts, some, "__key binary, __text string").join(wanted, "__key").dropDuplicates(["__key"])
+    kept = [c for c in wanted.columns if c != "__key"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
-                sets = list(shingle_sets(batch.column("__text")))
-                yield pa.RecordBatch.from_arrays([batch.column("class"), _lists([_first_elements(x, counts.value, percent) for x in sets]),
-                                                  pa.array([x.tobytes() for x in sets], pa.binary())], names=["class", "keys", "set"])
+                sets = pa.array([x.tobytes() for x in shingle_sets(batch.column("__text"))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], sets], names=[*kept, "set"])
 
-    return map_batches(texts.select("__text", "class"), made, "class bigint, keys array<bigint>, set binary")
+    kinds = [f"{c} {wanted.schema[c].dataType.simpleString()}" for c in kept]
+    return map_batches(texts.select("__text", *kept), made, ", ".join([*kinds, "set binary"]))
 
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that can be at the threshold by size and parity bitmap."""
-    def of(c: str) -> DataFrame:
-        return sets.select(F.col("class").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"m{c}"))
+    """The pairs (a, b) of classes, of the pairs (s, t) of their tags, that can be at the threshold by size and parity bitmap."""
+    def of(c: str, tag: str) -> DataFrame:
+        return sets.select(F.col("tag").alias(tag), F.col("class").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"m{c}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,43 +263,53 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 a, b = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
                 yield batch.select(["a", "b"]).filter(pa.array(may_link_pairs(a, b, Bitmaps(batch.column("ma")), Bitmaps(batch.column("mb")), percent)))
 
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
+    both = pairs.join(of("a", "s"), "s").join(of("b", "t"), "t").select("a", "b", "na", "nb", "ma", "mb")
     return map_batches(both, check, "a bigint, b bigint")
 
 
+def confirmed_stars(stars: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of classes (class, __key) at the threshold, on their full sets.
+
+    A class is dealt to a block with the others of the least class that it meets, so most pairs lie in one block and a set goes
+    to few; of a class that more than BLOCK meet, by hash.  A set goes from its text to the blocks, without a join on its way."""
+    met = stars.select(F.inline(F.array(*[F.struct(F.col(x).alias("class"), F.col(y).alias("other")) for x, y in ("ab", "ba")])))
+    places = cut(met.groupBy("class").agg(F.min("other").alias("least")).select("class", F.least("class", "least").alias("place")))
+    n = max(1, -(-places.count() // BLOCK))
+    sizes = places.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    block = F.pmod(F.xxhash64("place", F.pmod(F.xxhash64("class"), "parts")), F.lit(n)).cast("int")
+    blocks = salted_join(places, sizes, ["place"], "class", salts=SALTS).select("class", block.alias("block"))
+    x, y = (blocks.select(F.col("class").alias(c), F.col("block").alias(f"at_{c}")) for c in ("a", "b"))
+    placed = cut(stars.join(x, "a").join(y, "b").select(F.least("at_a", "at_b").alias("lo"), F.greatest("at_a", "at_b").alias("hi"), "a", "b"))
+    wanted = (placed.select(F.explode(F.array("a", "b")).alias("class"), F.struct("lo", "hi").alias("at"))
+              .groupBy("class").agg(F.collect_set("at").alias("ats")).join(classes.select("class", "__key"), "class"))
+    shipped = full_sets(docs, wanted, id_col, text_col).select("class", "set", F.inline("ats"))
+    return confirmed_in_blocks(placed, shipped, percent)
+
+
 def large_links(docs: DataFrame, classes: DataFrame, counts, most: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(u, v): links that join classes (class, tag, __key, size, bits) of which one at least is large."""
-    spark = docs.sparkSession
     least = -(-percent * (most + 1) // 100)
-    lists = cut(postings(docs, text_col, counts, least, percent).groupBy("bucket").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"))
-                .filter("lo < hi").select("bucket"))
-    only = spark.sparkContext.broadcast(bit_table(lists))
-    pairs = postings(docs, text_col, counts, least, percent, only).distinct()
-    members = salted_join(pairs, lists, ["bucket"], "tag", salts=SALTS).join(classes.select("tag", "class", "size"), "tag")
-    members = cut(members.select("bucket", "class", "size"))
-
-    # the numbers of classes follow their digests, so the hubs are any two of a list
-    hubs = cut(members.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")))
-    # the hubs of a list of two are its members
-    stars = (salted_join(members.select("bucket", "class"), hubs.filter("n > 2").drop("n"), ["bucket"], "class", salts=SALTS)
-             .select("class", F.explode(F.array("lo", "hi")).alias("hub")).filter("class <> hub")
-             .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
-             .unionByName(hubs.filter("n = 2 and lo < hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct())
+    lists = cut(shared_lists(postings(docs, text_col, counts, least, percent), percent))
+    hubs = lists.filter("tag < hi").select("bucket", F.col("tag").alias("lo"), "hi", "n")
+    members = lists.filter("n > 2")
+    # the hubs of a list, any two, are its members if it has two
+    stars = (salted_join(members.select("bucket", "tag"), hubs.filter("n > 2").drop("n"), ["bucket"], "tag", salts=SALTS)
+             .select("tag", F.explode(F.array("lo", "hi")).alias("hub")).filter("tag <> hub")
+             .select(F.least("tag", "hub").alias("s"), F.greatest("tag", "hub").alias("t"))
+             .unionByName(hubs.filter("n = 2").select(F.col("lo").alias("s"), F.col("hi").alias("t")))
+             .filter(F.abs(_size_code("s") - _size_code("t")) <= size_steps(percent)).distinct())
     stars = cut(likely(stars, classes, percent))
-    named = stars.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "__key"), "class")
-    first = confirmed(stars, full_sets(docs, named, counts, id_col, text_col, percent), percent, n_sets=named.count())
-    first = cut(components(first))
-    # in lists of up to three the hubs have met every pair
-    long_ = salted_join(members, hubs.filter("n > 3").select("bucket"), ["bucket"], "class", salts=SALTS)
+    first = cut(components(confirmed_stars(stars, docs, classes, percent, id_col, text_col)))
+    # the hubs have met all: in lists of up to three that is every pair
+    long_ = members.filter("n > 3 and hi is null").join(classes.select("tag", "class", "size"), "tag").select("bucket", "class", "size")
     known = cut(long_.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")))
     linked = first.select(F.col("node").alias("u"), F.col("root").alias("v"))
     left = cut(clusters(known, classes, percent))
     if left.isEmpty():
         return linked
     roots = known.select("class", "root", "size").distinct()
-    named = left.join(classes.select("class", "__key"), "class")
-    held = full_sets(docs, named.select("class", "__key"), counts, id_col, text_col, percent)
-    held = held.drop("keys").join(left.select("class", F.array("bucket").alias("keys")), "class")
+    named = left.join(classes.select("class", "__key"), "class").select("class", "__key", F.array("bucket").alias("keys"))
+    held = full_sets(docs, named, id_col, text_col)
     return linked.unionByName(spanning_links(left.join(roots, "class"), held, percent))
 
 
@@ -286,7 +321,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = cut(set_rows(docs, id_col, text_col))
     some = rows.filter("size > 0")
     # the number stands for the class from here on: it is fixed by the checkpoint
-    classes = cut(some.groupBy("digest").agg(F.min("__key").alias("__key"), F.min("__id").alias("least"),
+    classes = cut(some.groupBy("digest").agg(F.min("__key").alias("__key"), F.min("__id").alias("least"), F.count(F.lit(1)).alias("rows"),
                                              *[F.first(c).alias(c) for c in ("size", "tag", "bits", "small")])
                   .withColumn("class", F.monotonically_increasing_id()))
     histogram = {r["size"]: r["n"] for r in classes.filter(F.col("size") <= 2 * MOST_SMALL).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -295,10 +330,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     large = large_links(docs, classes.select("class", "tag", "__key", "size", "bits"), counts, most, percent, id_col, text_col)
     linked = cut(components(small.unionByName(large)))
 
-    roots = classes.select("class", "digest", "least").join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # what has no link and no copy keeps its own id and joins nothing
+    known = classes.select("class", "digest", "least", "rows")
+    roots = known.join(linked.withColumnRenamed("node", "class"), "class")
     by_root = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = salted_join(roots.select("digest", "root"), by_root, ["root"], "digest").select("digest", "component_id")
-    ids = salted_join(some.select("__id", "__key", "size", "digest"), named, ["digest"], "__key").select("__id", "size", "component_id")
+    copies = known.filter("rows > 1").join(linked.select(F.col("node").alias("class")), "class", "left_anti").select("digest", F.col("least").alias("component_id"))
+    ids = salted_join(some.select("__id", "__key", "size", "digest"), named.unionByName(copies), ["digest"], "__key", how="left")
+    # null only where all ids of the component are, or where the row stands alone
+    ids = ids.select("__id", "size", F.coalesce("component_id", "__id").alias("component_id"))
     out = ids.unionByName(rows.filter("size = 0").select("__id", "size", F.col("__id").alias("component_id")))
     return out.select(F.col("__id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 

@@ -152,3 +152,55 @@ def test_lists_of_two_need_no_join_with_their_hubs(spark, monkeypatch):
     texts = [" ".join(f"p{p}-{x if x != 10 * c else 'own'}" for x in range(120)) for p in range(6) for c in (1, 2)]
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert joined == [0]
+
+
+def test_listed_elements_are_read_and_shuffled_once(spark, monkeypatch):
+    """One pass over the texts makes the lists: copies post once a task, elements of one set end in it."""
+    made = []
+    post = j.postings
+    monkeypatch.setattr(j, "postings", lambda *a, **k: made.append(post(*a, **k)) or made[-1])
+    texts = [" ".join(f"p{p}-{x if x != 10 * c else 'own'}" for x in range(120)) for p in range(3) for c in (1, 2, 2, 2)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    assert len(made) == 1
+    sizes = Counter(r.tag for r in made[0].collect())
+    assert len(sizes) == 6 and set(sizes.values()) == {j.listed(116, 80)}
+
+
+def test_shared_lists(spark):
+    """Tags are 256 k + size code; a list of one set, however often, and sets too unlike in size go."""
+    lists = {1: [(5, 9)], 2: [(5, 9), (5, 9)], 3: [(7, 9), (-4, 4), (7, 9)], 4: [(1, 9), (2, 9), (3, 9), (2, 9)], 5: [(1, 9), (2, 15)],
+             6: [(1, 20), (2, 9), (3, 20), (4, 40), (5, 15), (6, 25)]}
+    rows = [(b, 256 * k + code) for b, v in lists.items() for k, code in v]
+    got = j.shared_lists(spark.createDataFrame(rows, "bucket long, tag long").repartition(3), 80).collect()
+    assert sorted((r.bucket, r.tag // 256, r.hi and r.hi // 256, r.n) for r in got) == [
+        (3, -4, 7, 2), (4, 1, 3, 3), (4, 2, None, 3), (4, 3, 3, 3), (6, 1, 6, 4), (6, 3, None, 4), (6, 5, None, 4), (6, 6, 6, 4)]
+
+
+def test_size_codes_pass_every_pair_that_can_link():
+    code = lambda n: j._tag(bytes(16), n) & 255
+    for percent in (60, 80, 85, 100):
+        for n in [*range(1, 2000), 10_000, 99_999, 250_000, 1_000_000]:
+            assert code(100 * n // percent) - code(n) <= j.size_steps(percent)
+    assert -(1 << 63) <= j._tag(b"\x80" * 16, 1) < j._tag(b"\x7f" * 16, 1) < 1 << 63
+
+
+def test_only_copies_and_linked_rows_are_named_by_a_join(spark, monkeypatch):
+    named = []
+    join = j.salted_join
+    monkeypatch.setattr(j, "salted_join", lambda left, right, keys, *a, **k: (keys == ["digest"] and named.append(right.count())) or join(left, right, keys, *a, **k))
+    alone = [" ".join(f"d{i}-{x}" for x in range(40)) for i in range(30)]
+    pair = [" ".join(f"p{x if x != 10 * c else 'own'}" for x in range(120)) for c in (1, 2)]
+    rows = [*enumerate(alone + pair), (50, alone[0]), (None, alone[1]), (None, "only this"), (None, "no id"), (None, "no id"), (60, None), (None, "")]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert named == [5]
+
+
+def test_a_family_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(j, "BLOCK", 8)
+    texts = family(60, 80, 1, 4) + family(7, 90, 1, 6) + family(40, 100, 3, 7)
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+
+
+def test_lists_that_share_leading_bits_lose_nothing(spark, monkeypatch, docs):
+    monkeypatch.setattr(j, "NAMED", 6)
+    check(docs)
