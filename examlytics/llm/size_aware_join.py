@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .bit_table import bit_table, holds
 from .common import cut, map_batches, row_key, salted_join
-from .components import components
+from .components import FEW, components
 from .minhash_dedup import BLOCK, confirmed_in_blocks, shingle_sets
 from .near_links import Bitmaps, bitmap, clusters, may_link_pairs, needed, spanning_links
 
@@ -271,15 +271,20 @@ def confirmed_stars(stars: DataFrame, docs: DataFrame, classes: DataFrame, perce
     """The pairs (a, b) of classes (class, __key) at the threshold, on their full sets.
 
     A class is dealt to a block with the others of the least class that it meets, so most pairs lie in one block and a set goes
-    to few; of a class that more than BLOCK meet, by hash.  A set goes from its text to the blocks, without a join on its way."""
+    to few; of a class that more than BLOCK meet, by hash.  A set goes from its text to the blocks, without a join on its way.
+    Up to FEW pairs are dealt in one partition, where no step shuffles."""
+    few = stars.count() <= FEW
+    stars = stars.coalesce(1) if few else stars
     met = stars.select(F.inline(F.array(*[F.struct(F.col(x).alias("class"), F.col(y).alias("other")) for x, y in ("ab", "ba")])))
     places = cut(met.groupBy("class").agg(F.min("other").alias("least")).select("class", F.least("class", "least").alias("place")))
+    places = places.coalesce(1) if few else places
     n = max(1, -(-places.count() // BLOCK))
     sizes = places.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     block = F.pmod(F.xxhash64("place", F.pmod(F.xxhash64("class"), "parts")), F.lit(n)).cast("int")
     blocks = salted_join(places, sizes, ["place"], "class", salts=SALTS).select("class", block.alias("block"))
     x, y = (blocks.select(F.col("class").alias(c), F.col("block").alias(f"at_{c}")) for c in ("a", "b"))
     placed = cut(stars.join(x, "a").join(y, "b").select(F.least("at_a", "at_b").alias("lo"), F.greatest("at_a", "at_b").alias("hi"), "a", "b"))
+    placed = placed.coalesce(1) if few else placed
     wanted = (placed.select(F.explode(F.array("a", "b")).alias("class"), F.struct("lo", "hi").alias("at"))
               .groupBy("class").agg(F.collect_set("at").alias("ats")).join(classes.select("class", "__key"), "class"))
     shipped = full_sets(docs, wanted, id_col, text_col).select("class", "set", F.inline("ats"))

@@ -195,8 +195,10 @@ def test_only_copies_and_linked_rows_are_named_by_a_join(spark, monkeypatch):
     assert named == [5]
 
 
-def test_a_family_of_several_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_a_family_of_several_blocks(spark, monkeypatch, few):
     monkeypatch.setattr(j, "BLOCK", 8)
+    monkeypatch.setattr(j, "FEW", few)
     texts = family(60, 80, 1, 4) + family(7, 90, 1, 6) + family(40, 100, 3, 7)
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
 
